@@ -23,9 +23,17 @@ _NONE = np.iinfo(np.int64).max
 #: What Unicode calls white space. Python's own list also has x1c to x1f.
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _GAPS = re.compile(f"[{''.join(map(chr, _SPACES))}]+")
+_OWN_GAPS = re.compile("[\x1c-\x1f]")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Entries a task keeps of texts already encoded, about 100 MB.
-CACHE = 300_000
+#: Words and pieces of text that a worker keeps encoded, about 150 MB each.
+CACHE = 400_000
+
+
+def pieces(text: str | None) -> list[str]:
+    """A text cut at white space."""
+    if not text:
+        return []
+    return [c for c in _GAPS.split(text) if c] if _OWN_GAPS.search(text) else text.split()
 
 
 class WordBpe:
@@ -69,9 +77,13 @@ class WordBpe:
         # The tokens that encode to themselves, by their text without the suffix.
         self.inner = {s: i for s, i in vocab.items() if sound[i] and not ends[i]}
         self.final = {s[: -len(suffix)]: i for s, i in vocab.items() if sound[i] and ends[i]}
+        # The longest token that starts with these three characters.
         self.longest: dict[str, int] = {}
         for s in [*self.inner, *self.final]:
-            self.longest[s[:2]] = max(self.longest.get(s[:2], 0), len(s))
+            self.longest[s[:3]] = max(self.longest.get(s[:3], 0), len(s))
+        self.pair_table = {k: int(self.rank[t]) << 20 | t for k, t in self.merge.items()}
+        self.words: dict[str, list[int]] = {}
+        self.chunks: dict[str, tuple[str, str, int]] = {}
 
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x << 32 | y
@@ -104,7 +116,7 @@ class WordBpe:
         out, i, n = [], 0, len(word)
         inner, final, longest = self.inner, self.final, self.longest
         while i < n:
-            end = min(n, i + max(1, longest.get(word[i : i + 2], 1)))
+            end = min(n, i + longest.get(word[i : i + 3], 2))
             t = None
             if end == n:
                 t = final.get(word[i:])
@@ -123,14 +135,34 @@ class WordBpe:
     def exact(self, word: str) -> list[int]:
         """Merging by rank, lowest first and leftmost at equal rank."""
         ids = [*map(self.inner_base.__getitem__, word[:-1]), self.final_base[word[-1]]]
+        if len(ids) > 64:
+            return self._exact_long(ids)
+        table, none = self.pair_table, _NONE
+        # rank << 20 | token of every adjacent pair
+        cost = [table.get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while cost:
+            best = min(cost)
+            if best == none:
+                break
+            i = cost.index(best)
+            ids[i : i + 2] = (best & 0xFFFFF,)
+            del cost[i]
+            if i:
+                cost[i - 1] = table.get((ids[i - 1], ids[i]), none)
+            if i < len(cost):
+                cost[i] = table.get((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _exact_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap, for words whose pairs are many."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        alive, merge, rank = [True] * len(ids), self.merge, self.rank
+        alive, table = [True] * len(ids), self.pair_table
         heap = []
 
         def push(i: int) -> None:
             j = after[i]
-            if j < len(ids) and (t := merge.get((ids[i], ids[j]))) is not None:
-                heapq.heappush(heap, (int(rank[t]), i, t, ids[i], ids[j]))
+            if j < len(ids) and (c := table.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(heap, (c >> 20, i, c & 0xFFFFF, ids[i], ids[j]))
 
         for i in range(len(ids) - 1):
             push(i)
@@ -175,13 +207,16 @@ class WordBpe:
                 elif p:
                     plan += self.split_words(p)
             plans.append(plan)
-        words = list(dict.fromkeys(w for p in plans for w in p if isinstance(w, str)))
-        known = dict(zip(words, self.encode_words(words), strict=True))
+        known = self.words
+        if len(known) > CACHE:
+            known.clear()
+        words = list({w for p in plans for w in p if isinstance(w, str) and w not in known})
+        known.update(zip(words, self.encode_words(words), strict=True))
         return [[t for w in p for t in (known[w] if isinstance(w, str) else (w,))] for p in plans]
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one text; None encodes to nothing."""
-        chunks = [c for c in _GAPS.split(text or "") if c]
+        chunks = pieces(text)
         uniq = list(dict.fromkeys(chunks))
         known = dict(zip(uniq, self.encode_chunks(uniq), strict=True))
         return [t for c in chunks for t in known[c]]
@@ -213,21 +248,21 @@ def encoded(docs: DataFrame, path: str | None = None, keep_text: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
-        cache: dict[str, tuple[str, str, int]] = {}
+        cache = bpe.chunks  # lives as long as the Python worker
         for b in batches:
-            if len(cache) > CACHE:
-                cache.clear()
             for at in range(0, b.num_rows, 512):
+                if len(cache) > CACHE:
+                    cache.clear()
                 part = b.slice(at, 512)
-                texts = [_GAPS.split(x or "") for x in part.column("text").to_pylist()]
+                texts = [pieces(x) for x in part.column("text").to_pylist()]
                 new = list({c for t in texts for c in t if c not in cache})
                 for c, ids in zip(new, bpe.encode_chunks(new), strict=True):
                     cache[c] = " ".join(map(str, ids)), bpe.decode(ids), len(ids)
                 cols: list[list] = [[], [], [], [], []]
                 for t in texts:
-                    got = [cache[c] for c in t if c]
-                    ids, decoded = " ".join([g[0] for g in got]), " ".join([g[1] for g in got])
-                    cols[0].append(sum([g[2] for g in got]))
+                    each = zip(*map(cache.__getitem__, t), strict=True) if t else iter(((), (), ()))
+                    ids, decoded, n = " ".join(next(each)), " ".join(next(each)), sum(next(each))
+                    cols[0].append(n)
                     cols[1].append(hashlib.sha256(ids.encode()).hexdigest())
                     cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_text:
