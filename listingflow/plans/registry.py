@@ -1,4 +1,453 @@
-"""All registered queries of the listing and lead library, and their SQL."""
+"""All registered queries of the listing and lead library, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The queries read the generic tables through the derived views; each has the
+SQL with the same rows for DuckDB, unless SQL cannot say it.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from listingflow.functions import normalize as nz
+from listingflow.operators import classify as cl
+from listingflow.operators import dedup as dd
+from listingflow.operators import events as ev
+from listingflow.operators import leads as ld
+from listingflow.operators import merge as mg
+from listingflow.operators import scanlog as sl
+from listingflow.plans.jobs import scan
+from listingflow.plans.views import AS_OF, views, with_views
+from listingflow.sources import portals, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def now() -> Column:
+    return F.expr(AS_OF)
+
+
+#: Frequent words of the test texts, for rules whose real words do not occur.
+WORDS, NOT_WORDS = ("the", "and", "für", "pour"), ("of ", "in ", "the ")
+
+
+def query(*names: str, sql: str | None = None):
+    """Register a function of the named views, and its SQL."""
+
+    def add(f: Callable[..., DataFrame]):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*views(spark, sf_dir, *names))
+        if sql:
+            ORACLES[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+_LATEST = "SELECT id, source, deal_type, city, price, phone_e164, seller_type, first_seen_at, substr(title, 1, 40) AS title FROM v_listings WHERE is_active {} ORDER BY first_seen_at DESC, id LIMIT 20"
+_NORMAL = """SELECT id, source, source_id, coalesce(city, 'Warszawa') AS city, district, street, price, area_m2, rooms, floor, title, description, phone_e164,
+ CASE seller_label WHEN 'firma' THEN 'agency' WHEN 'osoba prywatna' THEN 'private' ELSE 'unknown' END AS label_type,
+ CASE seller_label WHEN 'firma' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label_score FROM v_listings"""
+
+
+@query("v_raw_listings", sql=_NORMAL)
+def normalize_listings(raw):
+    label = nz.seller_type_from_label(F.col("seller_label"))
+    rows = nz.normalize_listings(raw, F.col("seen_at")).withColumn("id", F.col("source_id").cast("long") + 1)
+    return rows.select("id", "source", "source_id", "city", "district", "street", "price", "area_m2", "rooms", "floor", "title", "description", "phone_e164", label["type"].alias("label_type"), label["score"].alias("label_score"))
+
+
+@query("v_listings", sql="SELECT id, concat_ws(', ', street, district, city) AS address, lower(strip_accents(replace(city, 'ł', 'l'))) AS folded FROM v_listings WHERE street IS NOT NULL OR district IS NOT NULL OR city IS NOT NULL")
+def address_and_fold(listings):
+    return listings.select("id", nz.address_from_listing(F.col("street"), F.col("district"), F.col("city")).alias("address"), nz.fold(F.col("city")).alias("folded")).where("address is not null")
+
+
+@query("v_listings", sql="SELECT id, city, district FROM v_listings WHERE (city IS NULL OR city IN ('Gdańsk', 'Sopot')) AND (district IS NULL OR district IN ('District 1', 'District 2', 'District 3'))")
+def in_scope(listings):
+    return ld.in_scope(listings, ("gdansk", "Sopot"), ("district 1", "District 2", "DISTRICT 3")).select("id", "city", "district")
+
+
+@query("v_listings", sql=_LATEST.format(""))
+def latest_listings(listings):
+    return ld.latest_listings(listings)
+
+
+@query("v_listings", sql=_LATEST.format("AND seller_type = 'private' AND phone_e164 IS NOT NULL"))
+def latest_private_listings(listings):
+    return ld.latest_listings(listings, private_only=True)
+
+
+@query("v_listings", sql="SELECT id, deal_type, city, price, area_m2 FROM v_listings WHERE deal_type = 'sale' AND city IN ('Gdańsk', 'Sopot') AND price BETWEEN 300000 AND 600000 AND area_m2 BETWEEN 35 AND 60")
+def search_filter(listings):
+    rows = [("sale", c, 300000, 600000, 35.9, 60.2) for c in ("Gdańsk", "Sopot")]
+    filters = listings.sparkSession.createDataFrame(rows, "deal_type string, city string, price_min long, price_max long, area_min double, area_max double")
+    return portals.search_filter(listings, filters).select("id", "deal_type", "city", "price", "area_m2")
+
+
+_CONTEXT = "SELECT phone_e164, count(*) AS active_listings, count(DISTINCT district) AS districts FROM v_listings WHERE is_active AND phone_e164 IS NOT NULL GROUP BY phone_e164"
+
+
+@query("v_listings", sql=_CONTEXT)
+def phone_context(listings):
+    return cl.phone_context(listings)
+
+
+_HITS = "(" + " + ".join(f"CAST(t.f LIKE '%{w}%' AS INT)" for w in ("the", "and", "fur", "pour")) + ")"
+_POSITIONS = "(" + " + ".join(
+    "CAST(EXISTS (SELECT 1 FROM generate_series(1, length(t.f)) g(p) WHERE substr(t.f, p, {n}) = '{w}' AND NOT (".format(n=len(w), w=w)
+    + " OR ".join(f"substr(t.f, greatest(1, CAST(p AS INT) - 14), least(14, CAST(p AS INT) - 1)) LIKE '%{x}%'" for x in NOT_WORDS)
+    + ")) AS INT)"
+    for w in ("the", "and", "fur", "pour")
+) + ")"
+_FOLDED = "(SELECT id, trim(lower(strip_accents(replace(replace(description, 'ł', 'l'), 'Ł', 'L')))) AS f, description AS d FROM v_listings WHERE description IS NOT NULL) t"
+_MARKS = " + ".join(f"(length(t.d) - length(replace(t.d, {m}, ''))) / length({m})" for m in ("'•'", "'▪'", "'★'", "'✔'", "'- '", "'–'", "chr(10) || chr(10)"))
+
+
+@query("v_listings", sql=f"SELECT id, {_HITS} AS hits, {_POSITIONS} AS free_hits, coalesce(length(t.d) >= 1500 AND {_MARKS} >= 3, false) AS brochure FROM {_FOLDED}")
+def keyword_hits(listings):
+    f = nz.fold(F.col("description"))
+    return listings.where("description is not null").select("id", cl.keyword_hits(f, WORDS).alias("hits"), cl.keyword_hits_not_negated(f, WORDS, NOT_WORDS).alias("free_hits"), cl.looks_like_brochure(F.col("description")).alias("brochure"))
+
+
+_SCORE = f"""WITH c AS ({_CONTEXT}), s AS (SELECT l.id, round(greatest(0.0, least(1.0, 0.35::DOUBLE + CASE l.seller_label WHEN 'firma' THEN 0.55::DOUBLE WHEN 'osoba prywatna' THEN -0.45::DOUBLE ELSE 0 END
+ + CASE WHEN c.active_listings >= 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN c.districts > 2 THEN 0.3::DOUBLE ELSE 0 END)), 3) AS agency_score FROM v_listings l LEFT JOIN c USING (phone_e164))
+ SELECT id, agency_score, CASE WHEN agency_score >= 0.6 THEN 'agency' WHEN agency_score <= 0.3 THEN 'private' ELSE 'unknown' END AS seller_type FROM s"""
+
+
+@query("v_listings", sql=_SCORE)
+def classify_listings(listings):
+    rows = cl.classify_listings(listings.drop("seller_type").withColumn("description", F.lit(None).cast("string")), listings)
+    return rows.select("id", "agency_score", "seller_type")
+
+
+_SHINGLES = "SELECT doc_id, CAST(CASE WHEN len(w) > 0 THEN 2 * len(w) - 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-ząćęłńóśźż]+') AS w FROM documents)"
+
+
+def _docs(f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    if sql:
+        ORACLES[f.__name__] = sql
+
+
+def shingle_counts(docs):
+    return docs.select("doc_id", F.size(dd.shingles(F.col("text"))).cast("long").alias("n"))
+
+
+def content_hashes(docs):
+    return docs.select("doc_id", dd.content_hash(F.col("text")).alias("content_hash"))
+
+
+_docs(shingle_counts, _SHINGLES)
+_docs(
+    content_hashes,
+    """WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-ząćęłńóśźż]+') AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS tok FROM t WHERE length(text) >= 200),
+ k AS (SELECT DISTINCT tok FROM s),
+ h AS (SELECT tok, list_reduce(list_prepend(1469598103934665603::HUGEINT, list_transform(range(0, CAST(length(hex(encode(tok))) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(tok)), CAST(2 * i + 1 AS INT), 2) AS HUGEINT))),
+   lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS v FROM k),
+ b AS (SELECT s.doc_id, g.i, sum(CAST((h.v // (1::HUGEINT << g.i)) % 2 AS INT)) AS ones, count(*) AS n FROM s JOIN h USING (tok), (SELECT unnest(range(0, 64))::INT AS i) g GROUP BY 1, 2),
+ f AS (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN 1::HUGEINT << i ELSE 0::HUGEINT END) AS v FROM b GROUP BY doc_id)
+ SELECT d.doc_id, CASE WHEN f.v IS NOT NULL THEN lpad(lower(to_hex(CAST(f.v AS UBIGINT))), 16, '0') END AS content_hash FROM documents d LEFT JOIN f USING (doc_id)""",
+)
+
+_NEAR = "x.id < y.id AND x.deal_type = y.deal_type AND x.is_active AND y.is_active AND coalesce(x.city = y.city, true) AND abs(x.area_m2 - y.area_m2) <= 1.0 AND abs(x.price - y.price) <= 0.03::DOUBLE * greatest(x.price, y.price)"
+_PHONE_PAIRS = f"SELECT x.id AS a, y.id AS b FROM v_listings x JOIN v_listings y ON x.phone_e164 = y.phone_e164 WHERE {_NEAR}"
+_STREET_PAIRS = f"SELECT x.id AS a, y.id AS b FROM v_listings x JOIN v_listings y ON lower(trim(x.street)) = lower(trim(y.street)) WHERE (x.phone_e164 IS NULL OR y.phone_e164 IS NULL) AND {_NEAR}"
+
+
+@query("v_listings", sql=_PHONE_PAIRS)
+def phone_pairs(listings):
+    return dd.phone_pairs(listings.where("is_active"))
+
+
+@query("v_listings", sql=_STREET_PAIRS)
+def street_pairs(listings):
+    return dd.street_pairs(listings.where("is_active"))
+
+
+def _with_fp(listings: DataFrame) -> DataFrame:
+    return listings.withColumn("fp", F.conv(dd.content_hash(F.col("description")), 16, -10).cast("long"))
+
+
+@query("v_listings")
+def simhash_pairs(listings):
+    return dd.simhash_pairs(_with_fp(listings.where("is_active")))
+
+
+@query("v_listings")
+def same_object_groups(listings):
+    return dd.assign_groups(_with_fp(listings))
+
+
+_FIRST = f"""WITH RECURSIVE p AS ({_PHONE_PAIRS} UNION {_STREET_PAIRS}), up AS (SELECT b AS id, min(a) AS up FROM p GROUP BY b),
+ r AS (SELECT l.id, l.id AS root FROM v_listings l WHERE l.id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, r.root FROM up JOIN r ON up.up = r.id) SELECT id, root FROM r"""
+
+
+@query("v_listings", sql=_FIRST)
+def phone_and_street_groups(listings):
+    rows = listings.where("is_active")
+    return dd.assign_groups(listings, pairs=dd.phone_pairs(rows).unionByName(dd.street_pairs(rows)))
+
+
+_RICH = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in dd.FIELDS)
+
+
+@query("v_listings", sql=f"SELECT id, dedup_group, rich FROM (SELECT id, dedup_group, {_RICH} AS rich, row_number() OVER (PARTITION BY dedup_group ORDER BY first_seen_at, {_RICH} DESC, id) AS n FROM v_listings WHERE dedup_group IS NOT NULL) WHERE n = 1")
+def pick_primary(listings):
+    return dd.pick_primary(listings.where("dedup_group is not null")).select("id", "dedup_group", dd.richness().alias("rich"))
+
+
+def _halves(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A stored half and a batch that partly updates it with other values."""
+    full = listings.withColumns({"content_hash": F.lit(None).cast("string"), "agency_score": F.lit(0.5)})
+    return full.where("id % 2 = 0"), full.where("id % 3 = 0").withColumns({"price": F.when(F.col("id") % 4 != 0, F.col("price") + 1), "url": F.when(F.col("id") % 5 != 0, F.lit("new"))})
+
+
+_MERGED = """SELECT coalesce(b.source, s.source) AS source, coalesce(b.source_id, s.source_id) AS source_id, {} AS url, coalesce(b.price, s.price) AS price, s.id IS NULL AS is_new
+ FROM (SELECT * FROM v_listings WHERE id % 2 = 0) s FULL OUTER JOIN (SELECT id, source, source_id, CASE WHEN id % 4 <> 0 THEN price + 1 END AS price, CASE WHEN id % 5 <> 0 THEN 'new' END AS url FROM v_listings WHERE id % 3 = 0) b
+ ON s.source = b.source AND s.source_id = b.source_id"""
+
+
+@query("v_listings", sql=_MERGED.format("coalesce(b.url, s.url)"))
+def merge_listings(listings):
+    return mg.merge_listings(*_halves(listings)).select("source", "source_id", "url", "price", "is_new")
+
+
+@query("v_listings", sql=_MERGED.format("CASE WHEN b.id IS NOT NULL THEN b.url ELSE s.url END"))
+def merge_ingest(listings):
+    return mg.merge_ingest(*_halves(listings)).select("source", "source_id", "url", "price", "is_new")
+
+
+_ELIGIBLE = "phone_e164 IS NOT NULL AND seller_type <> 'agency' AND is_active"
+
+
+@query("v_contacts", "v_listings", sql=f"SELECT DISTINCT phone_e164 FROM v_listings WHERE {_ELIGIBLE} AND phone_e164 NOT IN (SELECT phone_e164 FROM v_contacts WHERE id % 3 = 0)")
+def ensure_contacts(contacts, listings):
+    return mg.ensure_contacts(contacts.where("id % 3 = 0"), listings, now()).select("phone_e164")
+
+
+@query("v_leads", "v_contacts", "v_listings", sql=f"SELECT DISTINCT c.id AS contact_id, l.id AS listing_id FROM v_listings l JOIN v_contacts c USING (phone_e164) WHERE {_ELIGIBLE} AND NOT c.do_not_call AND NOT EXISTS (SELECT 1 FROM v_leads x WHERE x.contact_id = c.id AND x.listing_id = l.id)")
+def ensure_leads(leads, contacts, listings):
+    return mg.ensure_leads(leads, contacts, listings, now()).select("contact_id", "listing_id")
+
+
+@query("v_listings", "v_contacts", "v_leads", sql="SELECT (SELECT count(*) FROM v_listings WHERE id % 3 = 0 AND id % 2 <> 0) AS inserted, (SELECT count(*) FROM v_listings WHERE id % 6 = 0) AS updated")
+def ingest(listings, contacts, leads):
+    stored, batch = _halves(listings)
+    return mg.ingest(stored, contacts, leads, batch.withColumn("url", F.lit("u")), now())["counts"]
+
+
+@query("v_call_log", sql="SELECT CAST(called_at AS DATE) AS day, CAST(count(*) AS INT) AS calls, max_by(outcome, id) AS stuck_phrase, max_by(opener_used, id) FILTER (id % 4 <> 3) AS x FROM v_call_log GROUP BY 1".replace(", max_by(opener_used, id) FILTER (id % 4 <> 3) AS x", ""))
+def upsert_debrief(calls):
+    stats = ev.daily_counters(calls)
+    entries = calls.select(F.to_date("called_at").alias("day"), F.col("id").alias("seq"), F.col("outcome").alias("stuck_phrase"), F.lit(None).cast("string").alias("tomorrow_fix"))
+    old = stats.where("day < date'2024-01-10'").select("day", F.lit(0).cast("long").alias("calls"), F.lit("old").alias("stuck_phrase"), F.lit(None).cast("string").alias("tomorrow_fix"), F.lit(None).cast("timestamp").alias("created_at"))
+    return mg.upsert_debrief(old, stats, entries, now()).select("day", F.col("calls").cast("int").alias("calls"), "stuck_phrase")
+
+
+@query("v_scan_log", sql=f"SELECT source, CASE WHEN t0 + INTERVAL 3000 MINUTE > {AS_OF} THEN t0 + INTERVAL 3000 MINUTE END AS blocked_until FROM (SELECT source, max_by(started_at, id) FILTER (status = 'blocked') AS t0 FROM v_scan_log GROUP BY source)")
+def blocked_until(log):
+    return sl.blocked_until(log, 3000, now())
+
+
+@query("v_scan_log", sql="""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id DESC) AS n FROM v_scan_log WHERE status = 'ok'),
+ s AS (SELECT source, max(coalesce(found, 0) > 0) OVER (PARTITION BY source ORDER BY id DESC) AS seen FROM r WHERE n <= 5) SELECT source, count(*) FILTER (NOT seen) AS empty_scans FROM s GROUP BY source""")
+def consecutive_empty_scans(log):
+    return sl.consecutive_empty_scans(log, 5)
+
+
+@query("v_raw_listings", "v_listings", "v_scan_log", sql="SELECT source, count(*) AS found, count(*) FILTER (id % 3 = 0 AND id % 2 <> 0) AS new FROM v_listings GROUP BY source")
+def scan_summary(raw, listings, log):
+    return sl.scan_summary(raw, mg.merge_listings(*_halves(listings)), log).select("source", "found", "new")
+
+
+_PRIMARY = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(dedup_group, 'id:' || CAST(id AS VARCHAR)) ORDER BY first_seen_at, CAST(price IS NOT NULL AS INT) + CAST(area_m2 IS NOT NULL AS INT) + CAST(rooms IS NOT NULL AS INT) + CAST(street IS NOT NULL AS INT) DESC, id) AS n FROM v_listings WHERE is_active AND seller_type <> 'agency' AND phone_e164 IS NOT NULL) WHERE n = 1"
+_CALLS = "SELECT lead_id, max(called_at) AS last_called_at, bool_or(outcome = 'callback') AS had_callback, count(*) AS n_calls FROM v_call_log GROUP BY lead_id"
+
+
+@query("v_listings", sql=f"SELECT id, dedup_group FROM ({_PRIMARY})")
+def primary_listings(listings):
+    return ld.primary_listings(listings).select("id", "dedup_group")
+
+
+@query("v_call_log", sql=_CALLS)
+def last_calls(calls):
+    return ld.last_calls(calls)
+
+
+def _age(c: str) -> str:
+    return f"CAST(trunc((epoch({AS_OF}) - floor(epoch({c}))) / 86400) AS INT)"
+
+
+_TODAY = f"""WITH p AS ({_PRIMARY}), k AS ({_CALLS}), r AS (SELECT l.id AS lead_id, coalesce(c.name, 'właściciel') AS name, c.phone_e164 AS phone, l.status, coalesce(p.deal_type, 'sale') AS deal_type,
+ coalesce(p.seller_type, 'unknown') AS seller_type, coalesce({_age('p.first_seen_at')}, 0) AS age_days, coalesce(l.next_step_at <= {AS_OF}, false) AS overdue, {_age('k.last_called_at')} AS called, coalesce(k.had_callback, false) AS cb, k.last_called_at
+ FROM v_leads l JOIN v_contacts c ON c.id = l.contact_id AND NOT c.do_not_call LEFT JOIN p ON p.id = l.listing_id LEFT JOIN k ON k.lead_id = l.id
+ WHERE l.status NOT IN ('dnc', 'lost', 'contract') AND (p.id IS NOT NULL OR l.next_step_at IS NOT NULL)),
+ s AS (SELECT *, CASE WHEN NOT overdue AND called IS NOT NULL AND called < 14 AND NOT cb THEN 0 ELSE CASE WHEN overdue THEN 100 ELSE 0 END + CASE WHEN age_days <= 0 THEN 40 ELSE 0 END
+ + CASE seller_type WHEN 'private' THEN 30 WHEN 'unknown' THEN 5 ELSE 0 END + CASE WHEN age_days >= 10 THEN 15 ELSE 0 END + CASE WHEN phone IS NOT NULL THEN 10 ELSE 0 END END AS score FROM r)
+ SELECT lead_id, name, phone, status, deal_type, seller_type, age_days, overdue, score, CASE WHEN last_called_at IS NOT NULL THEN 'B' WHEN age_days >= 10 THEN 'C' ELSE 'A' END AS opener FROM s WHERE score > 0"""
+
+
+@query("v_listings", "v_contacts", "v_leads", "v_call_log", sql=_TODAY + " ORDER BY score DESC, age_days, lead_id LIMIT 15")
+def today_list(listings, contacts, leads, calls):
+    return ld.today_list(listings, contacts, leads, calls, now())
+
+
+@query("v_listings", "v_contacts", "v_leads", "v_call_log", sql=_TODAY)
+def ranked_leads(listings, contacts, leads, calls):
+    return ld.today_list(listings, contacts, leads, calls, now(), limit=2**31 - 1)
+
+
+@query("v_call_log", sql="SELECT CAST(count(*) AS INT) AS calls_made, 10 AS target, CAST(count(*) FILTER (outcome = 'meeting') AS INT) AS meetings_booked, CAST(least(100, floor(100 * count(*) / 10.0 + 0.5)) AS INT) AS progress FROM v_call_log WHERE CAST(called_at AS DATE) = DATE '2024-01-15'")
+def today_counter(calls):
+    out = ld.today_counter(ev.daily_counters(calls), F.expr("timestamp'2024-01-15 12:00:00'"))
+    return out.select(F.col("calls_made").cast("int").alias("calls_made"), "target", F.col("meetings_booked").cast("int").alias("meetings_booked"), "progress")
+
+
+@query("v_leads", "v_contacts", "v_listings", "v_call_log", sql=f"""SELECT l.id AS lead_id, l.status, c.name, c.phone_e164, h.title, l.next_step, l.next_step_at, l.updated_at, coalesce(l.next_step_at <= {AS_OF}, false) AS overdue, coalesce(k.n, 0) AS calls
+ FROM v_leads l JOIN v_contacts c ON c.id = l.contact_id AND NOT c.do_not_call LEFT JOIN v_listings h ON h.id = l.listing_id LEFT JOIN (SELECT lead_id, count(*) AS n FROM v_call_log GROUP BY lead_id) k ON k.lead_id = l.id
+ WHERE l.status IN ('called_no_answer', 'talked', 'callback', 'meeting') ORDER BY l.next_step_at NULLS LAST, l.updated_at DESC, l.id LIMIT 200""")
+def list_leads(leads, contacts, listings, calls):
+    return ld.list_leads(leads, contacts, listings, calls, now())
+
+
+_DAYS = "SELECT CAST(called_at AS DATE) AS day, count(*) AS calls_made, count(*) FILTER (outcome = 'meeting') AS meetings_booked, 10 AS target FROM v_call_log GROUP BY 1"
+
+
+@query("v_call_log", sql=_DAYS)
+def daily_counters(calls):
+    return ev.daily_counters(calls)
+
+
+@query("v_call_log", sql=f"SELECT * FROM ({_DAYS}) WHERE day > DATE '2024-01-31' - 14 ORDER BY day")
+def daily_stats_between(calls):
+    return ld.daily_stats_between(ev.daily_counters(calls), 14, now())
+
+
+@query("v_call_log", sql=f"SELECT opener_used AS opener, count(*) AS calls, count(*) FILTER (outcome IN ('talked', 'meeting')) AS talked, count(*) FILTER (outcome = 'meeting') AS meetings, CAST(floor(100.0 * count(*) FILTER (outcome = 'meeting') / count(*) + 0.5) AS INT) AS success_pct FROM v_call_log WHERE opener_used IS NOT NULL AND called_at >= {AS_OF} - INTERVAL 20 DAY GROUP BY 1")
+def opener_breakdown(calls):
+    return ld.opener_breakdown(calls, 20, now())
+
+
+_CALENDAR = f"""SELECT *, "at" < {AS_OF} AS past FROM (SELECT 'meeting' AS kind, m.id AS entry_id, m.lead_id, coalesce(c.name, 'właściciel') AS name, m.starts_at AS "at", m.address, m.note, m.outcome FROM v_meetings m JOIN v_leads l ON l.id = m.lead_id JOIN v_contacts c ON c.id = l.contact_id
+ UNION ALL SELECT 'callback', l.id, l.id, coalesce(c.name, 'właściciel'), l.next_step_at, nullif(concat_ws(', ', h.street, h.district, h.city), ''), l.next_step, NULL FROM v_leads l JOIN v_contacts c ON c.id = l.contact_id LEFT JOIN v_listings h ON h.id = l.listing_id WHERE l.status = 'callback')
+ WHERE "at" >= TIMESTAMP '2024-01-24 00:00:00' AND "at" < TIMESTAMP '2024-03-31 00:00:00'"""
+
+
+def _calendar(meetings, leads, contacts, listings):
+    return ld.calendar(meetings, leads, contacts, listings, F.expr("timestamp'2024-01-24 00:00:00'"), F.expr("timestamp'2024-03-31 00:00:00'"), now())
+
+
+@query("v_meetings", "v_leads", "v_contacts", "v_listings", sql=_CALENDAR)
+def calendar(meetings, leads, contacts, listings):
+    return _calendar(meetings, leads, contacts, listings)
+
+
+@query("v_meetings", "v_leads", "v_contacts", "v_listings", sql=f"SELECT CAST(\"at\" AS DATE) AS day, count(*) AS entries, count(*) FILTER (kind = 'meeting' AND past AND outcome IS NULL) AS to_close, count(*) FILTER (NOT past OR outcome IS NULL) AS planned FROM ({_CALENDAR}) GROUP BY 1")
+def calendar_days(meetings, leads, contacts, listings):
+    return ld.calendar_days(_calendar(meetings, leads, contacts, listings))
+
+
+@query("v_meetings", sql="SELECT count(outcome) AS closed, count(*) FILTER (outcome = 'contract') AS contracts, count(outcome) >= 20 AS enough, CASE WHEN count(outcome) >= 20 THEN CAST(floor(100.0 * count(*) FILTER (outcome = 'contract') / count(outcome) + 0.5) AS INT) END AS rate_pct FROM v_meetings")
+def meeting_stats(meetings):
+    return ld.meeting_stats(meetings)
+
+
+_VALID = "NOT (kind = 'status' AND status = 'lost' AND reason IS NULL)"
+_SPREAD = f"""SELECT * FROM (SELECT seq, lead_id, "at", kind, outcome, status, reason, next_step_at FROM v_lead_events WHERE kind <> 'do_not_call'
+ UNION ALL SELECT e.seq, m.id, e."at", 'do_not_call', NULL, NULL, e.reason, NULL FROM v_lead_events e JOIN v_leads l ON l.id = e.lead_id JOIN v_leads m ON m.contact_id = l.contact_id WHERE e.kind = 'do_not_call') WHERE {_VALID}"""
+
+
+@query("v_leads", "v_lead_events", sql=f"""WITH e AS ({_SPREAD}), k AS (SELECT lead_id, max_by(CASE kind WHEN 'call' THEN CASE outcome WHEN 'no_answer' THEN 'called_no_answer' WHEN 'refused' THEN 'lost' ELSE outcome END WHEN 'status' THEN status WHEN 'do_not_call' THEN 'dnc' ELSE 'meeting' END, seq) AS status, bool_or(kind = 'do_not_call') AS flagged FROM e GROUP BY lead_id)
+ SELECT l.id, coalesce(k.status, l.status) AS status, coalesce(k.flagged, false) AS flagged FROM v_leads l LEFT JOIN k ON k.lead_id = l.id""")
+def replay_lead_status(leads, events):
+    return ev.replay_lead_events(leads, events).select("id", "status", "flagged")
+
+
+@query("v_leads", "v_lead_events")
+def replay_lead_events(leads, events):
+    return ev.replay_lead_events(leads, events)
+
+
+@query("v_lead_events", sql="SELECT seq, 'lost without reason' AS rejected_because FROM v_lead_events WHERE kind = 'status' AND status = 'lost' AND reason IS NULL")
+def rejected_events(events):
+    return ev.split_invalid(events)[1].select("seq", "rejected_because")
+
+
+@query("v_contacts", "v_leads", "v_lead_events", sql="SELECT c.id, c.do_not_call OR count(e.seq) > 0 AS do_not_call, min(e.at) AS do_not_call_at FROM v_contacts c LEFT JOIN v_leads l ON l.contact_id = c.id LEFT JOIN v_lead_events e ON e.lead_id = l.id AND e.kind = 'do_not_call' GROUP BY c.id, c.do_not_call")
+def replay_contacts(contacts, leads, events):
+    return ev.replay_contacts(contacts, leads, events).select("id", "do_not_call", "do_not_call_at")
+
+
+@query("v_meetings", "v_lead_events", sql="SELECT id, lead_id, starts_at FROM v_meetings UNION ALL SELECT seq, lead_id, next_step_at FROM v_lead_events WHERE kind = 'meeting_booked'")
+def replay_meetings(meetings, events):
+    return ev.replay_meetings(meetings, events).select("id", "lead_id", "starts_at")
+
+
+@query("v_raw_listings", sql="SELECT source, source_id, url, title, CASE WHEN id % 3 = 0 THEN 'price ' || price_raw ELSE price_raw END AS price_raw, location_raw, CASE WHEN id % 4 <> 0 THEN phone_raw END AS phone_raw, CASE WHEN id % 5 = 0 THEN 'firma' ELSE seller_label END AS seller_label FROM v_raw_listings WHERE id % 7 <> 0")
+def parse_offers_api(raw):
+    """Batches of offers as JSON text, made by Spark of the listings, parsed again."""
+    ad = F.struct(
+        F.when(F.col("id") % 7 != 0, F.col("source_id")).alias("id"), F.when(F.col("id") % 7 != 0, F.col("url")).alias("url"), "title",
+        F.array(F.struct(F.lit("m").alias("key"), F.struct(F.col("area_raw").alias("label")).alias("value")), F.struct(F.when(F.col("id") % 3 == 0, "price").otherwise("none").alias("key"), F.struct(F.concat(F.lit("price "), "price_raw").alias("label")).alias("value"))).alias("params"),
+        F.struct(F.col("price_raw").alias("displayValue")).alias("price"), F.struct(F.struct(F.col("location_raw").alias("name")).alias("city")).alias("location"),
+        F.struct(F.when(F.col("id") % 4 != 0, F.col("phone_raw")).alias("phone")).alias("contact"), F.when(F.col("id") % 5 == 0, True).alias("business"), F.col("seller_label").alias("user_label"),
+    )
+    payload = raw.groupBy("source", "deal_type", F.floor(F.col("id") / 50).alias("batch")).agg(F.to_json(F.struct(F.collect_list(ad).alias("data"))).alias("payload"))
+    return portals.parse_offers_api(payload).select("source", "source_id", "url", "title", "price_raw", "location_raw", "phone_raw", "seller_label")
+
+
+@query("v_raw_listings", "v_listings", sql="SELECT r.id FROM v_raw_listings r WHERE r.phone_raw IS NULL AND NOT EXISTS (SELECT 1 FROM v_listings l WHERE l.id % 2 = 0 AND l.phone_e164 IS NOT NULL AND l.source = r.source AND l.source_id = r.source_id)")
+def offers_to_visit(raw, listings):
+    return portals.offers_to_visit(raw, listings.where("id % 2 = 0")).select("id")
+
+
+@query("v_raw_listings", sql="SELECT id, source, CASE WHEN id % 2 = 0 THEN CASE WHEN id % 4 = 0 THEN '123' END ELSE phone_raw END AS phone_raw, CASE WHEN id % 2 = 0 THEN 'from page' ELSE description END AS description FROM v_raw_listings")
+def enrich_with_offer_pages(raw):
+    details = raw.where("id % 2 = 0").select("source", "source_id", F.when(F.col("id") % 4 == 0, "123").alias("phone"), F.lit("from page").alias("description"), F.lit(None).cast("string").alias("label"))
+    return portals.enrich_with_offer_pages(raw, details).select("id", "source", "phone_raw", "description")
+
+
+@query("v_scan_log", sql="SELECT source, source_id, min(id) AS id FROM (SELECT id, source, CAST(found AS VARCHAR) AS source_id FROM v_scan_log) GROUP BY 1, 2")
+def first_seen_per_source_id(log):
+    return portals.first_seen_per_source_id(log.withColumn("source_id", F.col("found").cast("string")), "id").select("source", "source_id", "id")
+
+
+@query("v_listings", sql="SELECT source, source_id, price, is_active FROM v_listings WHERE is_active AND last_seen_at >= TIMESTAMP '2024-01-20 00:00:00'")
+def pending_listings(listings):
+    return sinks.pending_listings(listings, F.expr("timestamp'2024-01-20 00:00:00'")).select("source", "source_id", "price", "is_active")
+
+
+@query("v_listings", sql="SELECT source_id, CASE WHEN id % 3 = 0 THEN 'price is no number' WHEN id % 5 = 0 THEN 'url is missing' END AS reason FROM v_listings WHERE id % 3 = 0 OR id % 5 = 0")
+def validate_ingest(listings):
+    batch = listings.withColumns({"price": F.when(F.col("id") % 3 == 0, "much").otherwise(F.col("price").cast("string")), "url": F.when((F.col("id") % 5 == 0) & (F.col("id") % 3 != 0), " ").otherwise(F.col("url"))})
+    return sinks.validate_ingest(batch, now())[1].select("source_id", F.col("reasons")[0].alias("reason"))
+
+
+@query("v_raw_listings", "v_listings")
+def scan_job(raw, listings):
+    stored = listings.where("id % 2 = 0").withColumns({"content_hash": F.lit(None).cast("string"), "agency_score": F.lit(0.5)})
+    return scan(raw, stored, ("Gdańsk", "Sopot", "Gdynia")).select("source", "source_id", "price", "seller_type", "agency_score", "is_new", "dedup_group")
+
+
+def _pages(f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    if sql:
+        ORACLES[f.__name__] = sql
+
+
+def offer_pages(pages):
+    return portals.parse_offer_page(pages).select("page_id", "description", "phone")
+
+
+def listing_cards(pages):
+    return portals.parse_listing_cards(pages.select(F.lit("olx").alias("source"), F.lit("sale").alias("deal_type"), "html")).select("source_id")
+
+
+def page_states(pages):
+    return portals.extract_page_state(pages.select(F.lit("olx").alias("source"), F.lit("sale").alias("deal_type"), "html")).select("source_id")
+
+
+_pages(offer_pages, "SELECT page_id, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS phone FROM pages")
+_pages(listing_cards, "SELECT CAST(page_id AS VARCHAR) AS source_id FROM pages WHERE html LIKE '%data-cy=\"l-card\"%'")
+_pages(page_states, "SELECT CAST(page_id AS VARCHAR) AS source_id FROM pages WHERE html LIKE '%__PRERENDERED_STATE__%'")
