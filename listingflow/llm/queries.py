@@ -73,4 +73,15 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_encode_decode, op3_toxicity_mil, op4_pii_surrogates, op5_url_redirect_filter, op6_quality_mcd, op7_ann_block_join, op8_substring_dedup, op9_min_cost_resharding, op10_hash_threshold_mix)}
 
-ORACLES: dict[str, str] = {}
+#: The mix by sorting: the running sum over the hashes against the budget.
+_MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS h FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+ o AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS w, 3 * source_size AS cap FROM s),
+ c AS (SELECT *, coalesce(sum(cap) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped, (sum(w) OVER (q ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM o WINDOW q AS (ORDER BY cap / w, source IS NULL, source)),
+ l AS (SELECT *, ((SELECT sum(source_size)::BIGINT FROM s) - capped) / rest AS level FROM c),
+ t AS (SELECT *, first_value(CASE WHEN NOT cap <= level * w THEN level END IGNORE NULLS) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lv FROM l),
+ g AS (SELECT source, source_size, CASE WHEN lv IS NULL THEN cap::DOUBLE ELSE least(lv * w, cap::DOUBLE) END AS target FROM t),
+ r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM g),
+ x AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.repeats, r.target - r.repeats * r.source_size AS budget, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h))::BIGINT AS upto, (sum(d.size) OVER (PARTITION BY d.source, d.h))::BIGINT AS own FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+ SELECT doc_id, size, source_size, target, (size * least(3, repeats + CASE WHEN upto - own / 2 < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM x"""
+ORACLES: dict[str, str] = {"op10_hash_threshold_mix": _MIX}
