@@ -1,21 +1,25 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
-Queries and candidates are cut into blocks by a hash of their id; a tile is one
-query block against one candidate block, and Spark deals out the tiles. In a
-tile both sides are quantised to int8 with a scale for each vector. One matrix
-product gives all inner products of the quantised vectors, and the norms of the
-quantisation errors bound how far each may be off. A pair survives if its upper
-bound reaches the k-th best lower bound of its query; survivors (a few dozens
-for each query) are computed again from the original floats in double precision
-and kept in a heap of k. The heaps of a query's tiles merge in Spark.
+Queries are cut into blocks of bounded size and candidates into lanes, both by a
+hash; a task has one query block and streams the candidates of one lane past it,
+tile by tile. In a tile both sides are quantised to int8 with a scale for each
+vector. One matrix product gives all inner products of the quantised vectors, and
+the norms of the quantisation errors bound how far each may be off. A pair
+survives if its upper bound reaches the k-th best of its query, by the lower
+bounds of the tile or by what the lane has shown so far; survivors are computed
+again from the original floats in double precision and kept in a heap of k, which
+lives for the whole lane. The heaps of a query's lanes merge in Spark: k rows for
+each query and lane, however many tiles a lane has.
 
 The bounds hold for every pair, so the result is exact: recall is one.
 """
 
 import heapq
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +28,7 @@ TOP = 20
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, their scales, and norms of the kept part and of the error."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(float).tiny)
     q = np.rint(x / scale[:, None]).astype(np.int8)
     kept = q * scale[:, None]
     return q, scale, np.linalg.norm(kept, axis=1), np.linalg.norm(x - kept, axis=1)
@@ -43,33 +47,76 @@ def exact_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumsum(a * b, axis=1)[:, -1]
 
 
-def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, step: int = 4096) -> list[tuple[int, int, float]]:
-    """The best k candidates of each query within a tile, by heaps."""
-    heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    qq, qs, qn, qe = quantise(q)
-    for at in range(0, len(c_ids), step):
-        ids, part = c_ids[at : at + step], c[at : at + step]
-        cq, cs, cn, ce = quantise(part)
-        near = int8_product(qq, cq) * qs[:, None] * cs[None, :]
-        # |x.y - x'.y'| <= |x'||e_y| + |e_x||y'| + |e_x||e_y|, and room for rounding
-        slack = (qn[:, None] * ce + qe[:, None] * (cn + ce)) * (1 + 1e-9) + 1e-9 * qn[:, None] * cn
-        low, high = near - slack, near + slack
-        low[q_ids[:, None] == ids[None, :]] = high[q_ids[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            floor = np.full(len(q_ids), -np.inf)
-        full = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps])
-        rows, cols = np.nonzero((high >= np.maximum(floor, full)[:, None]) & (high > -np.inf))
-        for s in range(0, len(rows), 65536):
-            r, o = rows[s : s + 65536], cols[s : s + 65536]
-            for i, score, v in zip(r.tolist(), exact_product(q[r], part[o]).tolist(), ids[o].tolist(), strict=True):
-                item, h = (score, -v), heaps[i]
-                if len(h) < k:
-                    heapq.heappush(h, item)
-                elif item > h[0]:
-                    heapq.heapreplace(h, item)
-    return [(int(i), -v, s) for i, h in zip(q_ids, heaps, strict=True) for s, v in h]
+class QueryBlock:
+    """Queries of one block, quantised, each with a heap of its best k so far."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.quantised = quantise(vectors)
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in ids]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, step: int = 1024) -> None:
+        """Candidates (ids and their vectors) pass by, in tiles of step."""
+        qq, qs, qn, qe = self.quantised
+        for at in range(0, len(ids), step):
+            own, part = ids[at : at + step], vectors[at : at + step]
+            cq, cs, cn, ce = quantise(part)
+            near = int8_product(qq, cq) * qs[:, None] * cs[None, :]
+            # |x.y - x'.y'| <= |x'||e_y| + |e_x||y'| + |e_x||e_y|, and room for rounding
+            slack = (qn[:, None] * ce + qe[:, None] * (cn + ce)) * (1 + 1e-9) + 1e-9 * qn[:, None] * cn
+            low, high = near - slack, near + slack
+            low[self.ids[:, None] == own[None, :]] = high[self.ids[:, None] == own[None, :]] = -np.inf
+            bar = np.array([h[0][0] if len(h) == self.k else -np.inf for h in self.heaps])
+            if len(own) > self.k:
+                bar = np.maximum(bar, np.partition(low, len(own) - self.k, axis=1)[:, len(own) - self.k])
+            rows, cols = np.nonzero((high >= bar[:, None]) & (high > -np.inf))
+            for s in range(0, len(rows), 65536):
+                r, o = rows[s : s + 65536], cols[s : s + 65536]
+                self._push(r, exact_product(self.vectors[r], part[o]), own[o])
+
+    def _push(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        for i, score, v in zip(rows.tolist(), scores.tolist(), ids.tolist(), strict=True):
+            item, h = (score, -v), self.heaps[i]
+            if len(h) < self.k:
+                heapq.heappush(h, item)
+            elif item > h[0]:
+                heapq.heapreplace(h, item)
+
+    def found(self) -> pa.RecordBatch:
+        rows = [(i, -v, s) for i, h in zip(self.ids.tolist(), self.heaps, strict=True) for s, v in h]
+        kinds = (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], bool, np.ndarray, np.ndarray]]:
+    """(key, whether candidates, ids, vectors) of the runs of sorted batches."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "qb", "lane", "side")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            vectors = b.column("embedding").slice(a, z - a).flatten().to_numpy(zero_copy_only=False)
+            dim, qb, lane, side = keys[a].tolist()
+            yield (dim, qb, lane), side == 1, b.column("vec_id").slice(a, z - a).to_numpy(), vectors.reshape(-1, dim)
+
+
+def lanes_top(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best k of each query in each lane; queries come before candidates."""
+    key, block = None, None
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    for run, candidates, ids, vectors in _runs(batches):
+        if run != key:
+            if block:
+                yield block.found()
+            key, block, asked = run, None, []
+        if not candidates:
+            asked.append((ids, vectors))
+        elif block or asked:
+            block = block or QueryBlock(np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked]), k)
+            block.meet(ids, vectors)
+    if block:
+        yield block.found()
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -79,31 +126,24 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") ->
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = TOP, block: int | None = None) -> DataFrame:
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = TOP, block: int = 2048, lanes: int = 32) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products.
 
     Both sides are (vec_id, embedding) as from ``valid``. A query is no candidate
     of its own id. Ties go to the smaller vec_id; vectors of different length do
     not meet. Rows repeating an id are candidates each, a query id asks once.
-    block is the rows of a block, by default from the number of candidates: the
-    vectors sent are queries x candidate blocks + candidates x query blocks.
+
+    block is about how many queries a task holds; candidates are streamed, so
+    that a lane may have any length. There are query blocks x lanes tasks, and
+    the vectors sent are queries x lanes + candidates x query blocks.
     """
-    n_c, n_q = candidates.count(), queries.count()
-    block = block or int(min(16384, max(512, n_c // 128)))
-    c_blocks, q_blocks = max(1, -(-n_c // block)), max(1, -(-n_q // block))
+    n_blocks = max(1, -(-queries.count() // block))
     dim = F.size("embedding").alias("dim")
-    spread = lambda own, other, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(other)
-    own = lambda n: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n)).cast("int")
-    left = queries.dropDuplicates(["vec_id"]).select("vec_id", "embedding", dim, own(q_blocks).alias("qb"), spread("qb", "cb", c_blocks))
-    right = candidates.select("vec_id", "embedding", dim, own(c_blocks).alias("cb"), spread("cb", "qb", q_blocks))
-
-    def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(q) and len(c):
-            found = tile_top(q["vec_id"].to_numpy(), np.stack(q["embedding"]), c["vec_id"].to_numpy(), np.stack(c["embedding"]), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    keys = ["dim", "qb", "cb"]
-    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double")
+    fan = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    mine = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    asking = queries.dropDuplicates(["vec_id"]).select(dim, mine(n_blocks, "vec_id").alias("qb"), fan(lanes, "lane"), F.lit(0).alias("side"), "vec_id", "embedding")
+    passing = candidates.select(dim, fan(n_blocks, "qb"), mine(lanes, "vec_id", "embedding").alias("lane"), F.lit(1).alias("side"), "vec_id", "embedding")
+    dealt = asking.unionByName(passing).repartitionById(n_blocks * lanes, F.col("qb") * lanes + F.col("lane"))
+    tops = dealt.sortWithinPartitions("dim", "qb", "lane", "side").mapInArrow(partial(lanes_top, k=k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
