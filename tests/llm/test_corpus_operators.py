@@ -309,7 +309,7 @@ def test_ann_equals_brute_force(spark):
     table = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     assert table.count() == 701
     got = {}
-    for r in ann.nearest(table.where("vec_id % 20 = 0"), table, k=20, block=100).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(table.where("vec_id % 20 = 0"), table, k=20, block=10).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     x = vecs.astype(float)
     assert sorted(got) == list(range(0, 700, 20))
