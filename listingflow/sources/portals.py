@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from listingflow.functions.lineage import broadcast_if_small
+
 # Markers and labels of the portals.
 STATE_MARKERS = ("window.__PRERENDERED_STATE__=", "__PRERENDERED_STATE__ =", "__NEXT_DATA__")
 PRIVATE_WORDS = ("osoba prywatna", "prywatne", "private")
@@ -85,7 +87,7 @@ def _states(text: str) -> Iterator[object]:
             try:
                 value, _ = json.JSONDecoder().raw_decode(rest[at:])
                 yield json.loads(value) if isinstance(value, str) else value
-            except ValueError:
+            except (ValueError, RecursionError):
                 continue
 
 
@@ -181,19 +183,24 @@ class _Nodes(HTMLParser):
             self.stack[-1]["kids"].append({"tag": "#", "attrs": {}, "kids": [], "text": data})
 
 
-def _find(nodes: list[dict], test) -> Iterator[dict]:
-    for n in nodes:
-        if test(n):
+def _walk(nodes: list[dict], skip: tuple[str, ...] = ()) -> Iterator[dict]:
+    """All nodes in the order of the page; unclosed tags may nest them deeply."""
+    todo = nodes[::-1]
+    while todo:
+        n = todo.pop()
+        if n["tag"] not in skip:
             yield n
-        yield from _find(n["kids"], test)
+            todo += reversed(n["kids"])
+
+
+def _find(nodes: list[dict], test) -> Iterator[dict]:
+    return filter(test, _walk(nodes))
 
 
 def _node_text(node: dict | None) -> str | None:
     if node is None:
         return None
-    if node["tag"] in ("script", "style"):
-        return ""
-    raw = node["text"] + " ".join(_node_text(k) or "" for k in node["kids"])
+    raw = " ".join(n["text"] for n in _walk([node], ("script", "style")))
     return re.sub(r"\s+", " ", raw).strip()
 
 
@@ -288,10 +295,10 @@ def first_seen_per_source_id(raw: DataFrame, arrival: str) -> DataFrame:
 def search_filter(listings: DataFrame, filters: DataFrame) -> DataFrame:
     """Listings inside a filter row (deal_type, city, price and area ranges).
 
-    The filter table is a handful of parameters; area bounds are truncated.
-    Unknown price or area does not pass.
+    Area bounds are truncated. Unknown price or area does not pass. A filter
+    table is a handful of parameters; its rows are counted before a broadcast.
     """
-    f = F.broadcast(filters.limit(1000)).alias("f")
+    f = broadcast_if_small(filters).alias("f")
     hit = (F.col("l.deal_type") == F.col("f.deal_type")) & (F.col("l.city") == F.col("f.city"))
     hit = hit & F.col("l.price").between(F.col("f.price_min"), F.col("f.price_max")) & F.col("l.area_m2").between(F.col("f.area_min").cast("int"), F.col("f.area_max").cast("int"))
     return listings.alias("l").join(f, hit, "left_semi")
