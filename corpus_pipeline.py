@@ -15,6 +15,8 @@ from listingflow.llm.queries import THRESHOLD, held_out
 from listingflow.llm.text import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words a shingle, most bits between fingerprints, least Jaccard similarity.
+SIMILAR = 5, 14, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +26,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each near-duplicate group."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """The document with the least doc_id of each group of similar texts."""
+    return simhash.keep_similar(docs, *SIMILAR).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,18 +12,25 @@ are within two bits if and only if their full balls of radius one meet. Each
 member of a ball key is linked to the key's least member, and the complete
 distance of every link is checked. A bucket of any size thus costs a link per
 row, never a link per pair.
+
+similar_groups() is the form for a true similarity: SimHash tables only propose
+pairs, and the shingle sets decide. There an entry is a segment of 16 bits and a
+size class, under the ball of radius one, so two texts meet if some segment
+differs in at most two bits (any two within 11 bits do) and their numbers of
+shingles allow the similarity.
 """
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.functions.lineage import cut
+from listingflow.functions.lineage import broadcast_if_small, cut
 from listingflow.llm.text import word_blocks
 from listingflow.operators.graph import connected_components
 
@@ -36,22 +43,34 @@ def _bit_counts(shingles: list[bytes]) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None) -> int:
-    """The SimHash of one text as a signed 64-bit number; no words: 0."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()  # lowers A-Z only
-    counts, n, tail = np.zeros(64, np.int64), 0, []
+def _shingles(text: str | None, size: int) -> Iterator[list[bytes]]:
+    """The shingles of size words, block by block; a shorter text is one shingle."""
+    data, tail, some = (text or "").encode("utf-8", "surrogatepass").lower(), [], False  # lowers A-Z only
     for block in word_blocks(data):
         words = tail + block
-        if len(words) >= WORDS:
-            grams = list(map(b" ".join, zip(words, words[1:], words[2:], strict=False)))
-            counts += _bit_counts(grams)
-            n += len(grams)
-        tail = words[-(WORDS - 1) :]
-    if not n and tail:
-        counts, n = _bit_counts([b" ".join(tail)]), 1
+        if len(words) >= size:
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+            some = True
+        tail = words[len(words) - min(size - 1, len(words)) :]
+    if not some and tail:
+        yield [b" ".join(tail)]
+
+
+def fingerprint(text: str | None, size: int = WORDS) -> int:
+    """The SimHash of one text as a signed 64-bit number; no words: 0."""
+    counts, n = np.zeros(64, np.int64), 0
+    for grams in _shingles(text, size):
+        counts += _bit_counts(grams)
+        n += len(grams)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles of one text, as sorted signed 64-bit hashes."""
+    blocks = [np.fromiter(map(_hash, grams), dtype="<u8", count=len(grams)) for grams in _shingles(text, size)]
+    return np.unique(np.concatenate(blocks).view("<i8")) if blocks else np.zeros(0, "<i8")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [fingerprint(x) for x in b.column("text").to_pylist()]
@@ -98,6 +117,117 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
+def _with_size(size: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            fps, ns = [fingerprint(x, size) for x in texts], [len(shingle_set(x, size)) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(fps, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "node", "fp", "n"])
+
+    return add
+
+
+def _sets(size: int):
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(x, size).tolist() for x in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "grams"])
+
+    return add
+
+
+def _segments(count: int) -> list[tuple[int, int]]:
+    """(first bit, width) of count segments of 64 bits."""
+    at = [64 * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _slots(nodes: DataFrame, segments: int, similarity: float, ball: bool) -> DataFrame:
+    """nodes under each of their slots: size class (and the next), segment, value.
+
+    Sizes in a ratio of similarity or more are in the same class or in two
+    neighbouring ones, so they share one of their two classes.
+    """
+    wide = math.log(1 / similarity) + 1e-6  # a little more: no doubt at exact ratios
+    size = f"cast(floor(ln(greatest(n, 1)) / {wide!r}) as long)"
+    keys = []
+    for i, (at, width) in enumerate(_segments(segments)):
+        value = f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)"
+        values = f"concat(array({value}), transform(sequence(0, {width - 1}), i -> {value} ^ shiftleft(1L, i)))" if ball else f"array({value})"
+        keys.append(f"transform({values}, v -> v + {i << 33}L)")
+    both = F.expr(f"flatten(transform(array({size}, {size} + 1), c -> transform(concat({', '.join(keys)}), v -> v + shiftleft(c, 40))))")
+    return nodes.select("*", F.explode(both).alias("slot"))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b) of ids those whose sets of shingles are similar enough."""
+    pairs = cut(pairs)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.join(ids, "id", "left_semi").select("id", "node"))
+    texts = docs.select(_node().alias("node"), "text").join(broadcast_if_small(wanted), "node").select("id", "text")
+    sets = cut(texts.mapInArrow(_sets(size), "id long, grams array<long>").groupBy("id").agg(F.first("grams").alias("grams")))
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - both
+    return cut(joined.where((union == 0) | (both / union >= similarity)).select("a", "b"))
+
+
+def _node() -> Column:
+    return F.md5(F.coalesce(F.col("text"), F.lit("")))
+
+
+def similar_groups(docs: DataFrame, size: int, distance: int, similarity: float, segments: int = 4) -> DataFrame:
+    """(node, component_id, lead): one row per distinct text of docs.
+
+    Texts are linked if the Jaccard similarity of their sets of shingles of size
+    words is at least similarity, among pairs that the tables propose within
+    distance bits; component_id is the least doc_id reachable (null if none has
+    one), lead the least node, the digest of a text. A first round links texts
+    to the least of equal long segments, so that a large group of copies is one
+    component before pairs are made; then in each slot only texts outside of
+    its most common component are paired, with texts of other components.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _node().alias("node"))
+    marked = ids.mapInArrow(_with_size(size), "doc_id long, node string, fp long, n long")
+    one = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
+    nodes = cut(one.withColumn("id", F.monotonically_increasing_id()))
+    short = nodes.select("id", "fp", "n")
+    near = f"bit_count(a.fp ^ b.fp) <= {distance} and a.n >= {similarity} * b.n - 1e-6 and b.n >= {similarity} * a.n - 1e-6"
+
+    homes = _slots(short, 3, similarity, False).repartition("slot")
+    first = homes.groupBy("slot").agg(F.min(F.struct("id", "fp", "n")).alias("a"))
+    star = homes.alias("b").join(first, "slot").where(f"a.id <> b.id and {near}").groupBy(F.col("b.id").alias("b")).agg(F.min("a.id").alias("a"))
+    links = _verified(star.select("a", "b"), nodes, docs, size, similarity)
+
+    comp = connected_components(links).select(F.col("node").alias("id"), "root")
+    placed = cut(short.join(comp, "id", "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")))
+    slots = _slots(placed, segments, similarity, True).repartition("slot")
+    common = slots.groupBy("slot", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("slot").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("slot", "top")
+    others = slots.join(common, "slot").where("c <> top").alias("a")
+    met = others.join(slots.alias("b"), "slot").where(f"a.c <> b.c and (b.c = a.top or a.id < b.id) and {near}")
+    more = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    links = links.unionByName(_verified(more, nodes, docs, size, similarity))
+
+    comp = connected_components(links).select(F.col("node").alias("id"), "root")
+    rooted = cut(nodes.join(comp, "id", "left").select("node", "least", F.coalesce("root", "id").alias("root")))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("node").alias("lead"))
+    return rooted.join(named, "root").select("node", "component_id", "lead")
+
+
+def keep_similar(docs: DataFrame, size: int, distance: int, similarity: float) -> DataFrame:
+    """The rows of docs that are the least of their group of similar texts.
+
+    Rows that repeat the kept doc_id stay only once. Rows without doc_id in a
+    group that has one go; a group of nulls alone keeps one of its rows.
+    """
+    groups = cut(similar_groups(docs, size, distance, similarity))
+    kept = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    lone = groups.where("component_id is null and node = lead").select(F.col("node").alias("__node"))
+    null_rows = docs.where("doc_id is null").withColumn("__node", _node())
+    return rows.unionByName(null_rows.join(lone, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the least of their near-duplicate group.
 
