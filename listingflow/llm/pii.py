@@ -24,18 +24,20 @@ from listingflow.functions.lineage import cut
 
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
-_EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]{1,128}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,8}\p{L}{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+'-])[\p{L}\p{N}._%+'-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){1,126}\p{L}{2,63}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])"
 _PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?|\+[0-9]{1,3}[ .-]?|\([0-9]{3}\)[ .-]?|[0-9]{3}[.-])[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
 _CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _NAMED = r"(?i:token|secret|password|passwd|apikey|api_key|api-key|access_key)[\"']?\s?[=:]\s?[\"']?"
-_SECRET = rf"{_NAMED}[A-Za-z0-9_+/=-]{{8,200}}|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,100}}|[0-9a-f]{{32,64}}|[0-9A-F]{{32,64}})(?![A-Za-z0-9])"
-_PERSON = rf"(?<![\p{{L}}])(?:{'|'.join((*FEMALE, *MALE))})\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?"
+_KEY = r"AKIA[0-9A-Z]{16,}+|gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|[0-9a-f]{32,}+|[0-9A-F]{32,}+"
+_SECRET = rf"{_NAMED}(?=[A-Za-z0-9_+/=.-]{{8}})[A-Za-z0-9_+/=-]++(?:\.[A-Za-z0-9_+/=-]++)*+|(?<![A-Za-z0-9])(?:{_KEY})(?![A-Za-z0-9])"
+_WORD = r"\p{Lu}(?:[\p{L}'-]++|\.)"  # or an initial
+_PERSON = rf"(?<![\p{{L}}])(?:{'|'.join((*FEMALE, *MALE))})\.? (?:\p{{Lu}}\. )*+\p{{Lu}}[\p{{L}}'-]++(?: {_WORD})*+"
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _SSN, _CARD, _PHONE, _PERSON))
 #: What a text must have to hold an entity: cheap to look for in the others.
-_HINT = r"[0-9@=:]|[MHFSГΚ](?:rs?|s|iss|err|rau|onsieur|adame|me|e[ñn]ora?|ra|осп|ύρι|υρί)[.\p{L}]* "
+_HINT = r"[0-9@=:]|AKIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}|[MHFSГΚ](?:rs?|s|iss|err|rau|onsieur|adame|me|e[ñn]ora?|ra|осп|ύρι|υρί)[.\p{L}]* "
 _FULL = {"email": _EMAIL, "ip": _IP, "ssn": _SSN, "card": _CARD, "phone": _PHONE, "person": _PERSON}
 
 #: Syllables of generated names by script; a name has a keyed row of them.

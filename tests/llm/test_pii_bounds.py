@@ -1,0 +1,48 @@
+"""Entities are replaced to the end of their token."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from listingflow.llm import pii
+
+JWT = "eyJhbGciOiJIUzI1NiJ9." + "QWxpY2U" * 60 + ".c2lnbmF0dXJl_x-9"
+WHOLE = [
+    "Mr. John Fitzgerald Kennedy",
+    "Mrs. Anna Maria F. Nowak Kowalska",
+    "Frau J. Schmidt",
+    "token=" + "aB3" * 100,
+    "secret: " + JWT,
+    "sk-" + "aZ" * 90,
+    "sk-proj-" + "aZ_x" * 9,
+    "AKIA" + "QWERTYUIOPASDFGH",
+    "AKIA" + "QWERTYUIOPASDFGHJKL",
+    "sk-" + "abcdefghij" * 3,
+    "ghp_" + "abcdefghijkl" * 4,
+    "abcdef" * 20,
+    "0123456789abcdef" * 8,
+    "ABCDEF" * 6,
+    "x" * 150 + "@mail.example.org",
+    "who@" + "a.b.c." * 4 + "example.com",
+    *(f"{t} Kowalski" for t in (*pii.MALE, *pii.FEMALE)),
+    "password=abcd1234",
+    "+48 123 456 789",
+    "10.20.30.40",
+]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return spark.createDataFrame([(i, f"so {w}, then. And {w}. End") for i, w in enumerate(WHOLE)], "doc_id long, text string")
+
+
+def test_matches_run_to_the_end(texts):
+    found = {r[0]: r[1] for r in texts.select("doc_id", F.regexp_extract_all("text", F.lit(pii.PATTERN), F.lit(0))).collect()}
+    assert [found[i] for i in range(len(WHOLE))] == [[w, w] for w in WHOLE]
+    for r in pii.replaced(texts, key="k").collect():
+        assert r["n_entities"] == 2 and WHOLE[r["doc_id"]] not in r["text"]
+
+
+def test_hint_covers_the_pattern(spark, texts):
+    bare = spark.createDataFrame([(w,) for w in WHOLE], "text string").union(texts.select("text"))
+    assert bare.where(F.col("text").rlike(pii.PATTERN)).count() == 2 * len(WHOLE)
+    assert bare.where(F.col("text").rlike(pii.PATTERN) & ~F.col("text").rlike(pii._HINT)).count() == 0
