@@ -5,11 +5,13 @@ card numbers, secrets after a name such as ``token =``, and names after a title.
 All steps are DataFrame expressions, joins and aggregations.
 
 * An entity's *canon* is what its spellings have in common (lower case, digits
-  without separators). The surrogate belongs to the canon, so one person's
-  number gets one replacement in every document and format: coreference.
+  without separators, phones without country code and leading zeros). Surname
+  and given names of a person are entities of their own, without title. The
+  surrogate belongs to the canon, so one person's number and surname get one
+  replacement in every document and format: coreference.
 * The surrogate comes from a hash of key, type, canon and attempt, and keeps
   the type: addresses stay addresses, digits take the separators of the
-  original, letters keep case and script, names keep the gender of their title.
+  original, letters keep case and script, given names end by their title.
 * Collision check: distinct canons are counted by surrogate over the corpus;
   of those that meet, and of those that equal a real entity, all but the first
   draw again, until every surrogate is one canon's: distinctness.
@@ -57,9 +59,35 @@ def kind(raw: Column) -> Column:
     return out.otherwise("secret")
 
 
+#: Country codes: of one and two digits, else of three.
+_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _national(raw: Column) -> Column:
+    """The digits of a phone without country code and leading zeros.
+
+    Only the digits decide, not how they are grouped. What would be left with
+    under four digits keeps all.
+    """
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    short = F.regexp_replace(F.when(raw.startswith("+"), F.regexp_replace(digits, _CODE, "")).otherwise(digits), "^0+", "")
+    return F.when(F.length(short) < 4, digits).otherwise(short)
+
+
 def canon(raw: Column, what: Column) -> Column:
-    """What all spellings of an entity share."""
-    return F.when(what.isin("ssn", "card", "phone"), F.regexp_replace(raw, "[^0-9]", "")).when(what == "email", F.lower(raw)).when(what == "secret", F.regexp_replace(raw, f"^{_NAMED}", "")).otherwise(raw)
+    """What all spellings of an entity share; of a person, of one of its names."""
+    name = F.regexp_replace(F.lower(raw), r"(?:'s?|\.)$", "")
+    return F.when(what.isin("ssn", "card"), F.regexp_replace(raw, "[^0-9]", "")).when(what == "phone", _national(raw)).when(what == "email", F.lower(raw)).when(what == "secret", F.regexp_replace(raw, f"^{_NAMED}", "")).otherwise(F.when(what.isin("given", "surname"), name).otherwise(raw))
+
+
+def parts(raw: Column, what: Column) -> Column:
+    """The entities of a match, in order: an array of (kind, raw).
+
+    A person is its names without the title, the last of them the surname.
+    """
+    words = F.split(raw, " ")
+    names = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.struct(F.when(i == F.size(words) - 2, "surname").otherwise("given").alias("kind"), w.alias("raw")))
+    return F.when(what == "person", names).otherwise(F.array(F.struct(what.alias("kind"), raw.alias("raw"))))
 
 
 def _digits(canon_: Column, seed: Column, n: int = 128) -> Column:
@@ -99,14 +127,11 @@ def _like(raw: Column, hexes: Column) -> Column:
     return F.array_join(F.transform(F.split(raw, ""), place), "")
 
 
-def _name(hexes: Column, script: Column, female: Column, surname: bool) -> Column:
-    """A keyed name of syllables, capitalised; given names end by gender."""
+def _name(hexes: Column, script: Column) -> Column:
+    """A keyed name of six syllables in lower case, without ending."""
     out = None
     for s, syllables in _SYLLABLES.items():
-        start = 1 if surname else 33
-        parts = [F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_number(hexes, start + 4 * k, 4), F.lit(len(syllables))).cast("int") + 1) for k in range(4)]
-        end = F.lit("") if surname else F.when(female, _ENDING[s][1]).otherwise(_ENDING[s][0])
-        one = F.concat(F.initcap(F.concat(*parts)), end)
+        one = F.concat(*(F.element_at(F.array(*map(F.lit, syllables)), F.pmod(_number(hexes, 1 + 4 * k, 4), F.lit(len(syllables))).cast("int") + 1) for k in range(6)))
         out = F.when(script == s, one) if out is None else out.when(script == s, one)
     return out
 
@@ -116,26 +141,21 @@ def surrogate(what: Column, canon_: Column, h: Column) -> Column:
 
     h is the column of hex digits that key, type, canon and attempt decide.
     A card keeps its length and passes the Luhn test if the original does; a
-    phone keeps its country code; an IP is
-    a whole address; an e-mail has a new local part under example.com, example
+    phone has no country code here (its mentions keep theirs), a name no
+    ending; an IP is a whole address; an e-mail has a new local part under example.com, example
     .net or example.org by its hash, with as many labels as before.
     """
     same = _like(canon_, h)
     digits = F.when(F.substring(canon_, 1, 1) != "0", F.regexp_replace(same, "^0", "7")).otherwise(same)
     passes = canon_ == _luhn(canon_)
     checked = _luhn(digits)
-    code = F.greatest(F.lit(0), F.length(canon_) - F.when(canon_.startswith("1"), 10).otherwise(9))
-    phone = F.concat(F.substring(canon_, F.lit(1), code), F.substring(digits, code + 1, F.lit(128)))
     ip = F.concat_ws(".", *((F.pmod(_number(h, 1 + 8 * k), F.lit(222)) + (1 if k == 0 else 0)).cast("string") for k in range(4)))
     local = F.concat(F.translate(F.substring(h, 1, 12), "0123456789abcdef", "bcdfghjklmnpqrst"), F.when(canon_.rlike(r"[0-9]@"), F.concat(F.lit("."), (_number(h, 41, 4) % 90 + 10).cast("string"))).otherwise(""))
     host = F.element_at(F.array(F.lit("example.com"), F.lit("example.net"), F.lit("example.org")), (_number(h, 49, 4) % 3).cast("int") + 1)
     labels = F.size(F.split(F.regexp_extract(canon_, "@(.*)$", 1), r"\."))
     email = F.concat(local, F.lit("@"), F.when(labels > 2, F.concat(F.lit("mail"), (_number(h, 57, 4) % 9 + 1).cast("string"), F.lit("."))).otherwise(""), host)
-    title = F.regexp_extract(canon_, r"^(\p{L}+\.?) ", 1)
-    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
-    script = F.when(canon_.rlike(r" [\p{IsCyrillic}]"), "Cyrillic").when(canon_.rlike(r" [\p{IsGreek}]"), "Greek").otherwise("Latin")
-    person = F.concat_ws(" ", title, F.when(F.size(F.split(canon_, " ")) > 2, _name(h, script, female, False)), _name(h, script, female, True))
-    return F.when(what == "card", F.when(passes, checked).otherwise(digits)).when(what == "phone", phone).when(what == "ssn", digits).when(what == "ip", ip).when(what == "email", email).when(what == "person", person).otherwise(same)
+    script = F.when(canon_.rlike(r"^[\p{IsCyrillic}]"), "Cyrillic").when(canon_.rlike(r"^[\p{IsGreek}]"), "Greek").otherwise("Latin")
+    return F.when(what == "card", F.when(passes, checked).otherwise(digits)).when(what.isin("phone", "ssn"), digits).when(what == "ip", ip).when(what == "email", email).when(what.isin("given", "surname"), _name(h, script)).otherwise(same)
 
 
 def _luhn(digits: Column) -> Column:
@@ -150,12 +170,20 @@ def _luhn(digits: Column) -> Column:
     return F.concat(stem, F.pmod(-total, F.lit(10)).cast("string"))
 
 
-def formatted(raw: Column, what: Column, core: Column) -> Column:
-    """The surrogate in the spelling of one mention: separators and case."""
-    digit = lambda c, i: F.when(c.rlike("[0-9]"), F.substring(core, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)
+def formatted(raw: Column, what: Column, core: Column, title: Column) -> Column:
+    """The surrogate in the spelling of one mention: separators, case, gender."""
+    digits = F.regexp_replace(raw, "[^0-9]", "")
+    full = F.when(what == "phone", F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(core)), core)).otherwise(core)
+    digit = lambda c, i: F.when(c.rlike("[0-9]"), F.substring(full, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)
     spread = F.array_join(F.transform(F.split(raw, ""), digit), "")
     upper = raw.rlike(r"\p{Lu}") & ~raw.rlike(r"\p{Ll}")
-    return F.when(what.isin("ssn", "card", "phone"), spread).when((what == "email") & upper, F.upper(core)).when(what == "secret", F.concat(F.regexp_extract(raw, f"^(?:{_NAMED})?", 0), core)).otherwise(core)
+    female = F.regexp_replace(title, r"\.", "").isin(*FEMALE)
+    ending = F.lit("")
+    for s, (male_end, female_end) in _ENDING.items():
+        ending = F.when((what == "given") & core.rlike(rf"^\p{{Is{s}}}"), F.when(female, female_end).otherwise(male_end)).otherwise(ending)
+    name = F.concat(core, ending)
+    name = F.when(raw.endswith("."), F.concat(F.upper(F.substring(core, 1, 1)), F.lit("."))).otherwise(F.concat(F.when(upper & (F.length(raw) > 1), F.upper(name)).otherwise(F.initcap(name)), F.regexp_extract(raw, "'s?$", 0)))
+    return F.when(what.isin("ssn", "card", "phone"), spread).when((what == "email") & upper, F.upper(core)).when(what == "secret", F.concat(F.regexp_extract(raw, f"^(?:{_NAMED})?", 0), core)).when(what.isin("given", "surname"), name).otherwise(core)
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
@@ -200,9 +228,13 @@ def replaced(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
     rows = docs.select(*names, found.alias("__found"))
     lists = docs.select(found.alias("found")).where(F.size("found") > 0).select(F.sha2(F.array_join("found", "\x1f"), 256).alias("list"), "found").dropDuplicates(["list"])
     spread = lists.select("list", F.posexplode("found").alias("pos", "raw")).withColumn("kind", kind(F.col("raw")))
-    mentions = cut(spread.withColumn("canon", canon(F.col("raw"), F.col("kind"))))
+    title = F.when(F.col("kind") == "person", F.substring_index("raw", " ", 1)).otherwise("")
+    each = spread.select("list", "pos", title.alias("title"), F.posexplode(parts(F.col("raw"), F.col("kind"))).alias("part", "p")).select("list", "pos", "title", "part", "p.kind", "p.raw")
+    mentions = cut(each.withColumn("canon", canon(F.col("raw"), F.col("kind"))))
     known = assigned(mentions, key)
-    said = mentions.join(known, ["kind", "canon"]).select("list", "pos", formatted(F.col("raw"), F.col("kind"), F.col("core")).alias("new"))
+    said = mentions.join(known, ["kind", "canon"]).select("list", "pos", "part", "title", formatted(F.col("raw"), F.col("kind"), F.col("core"), F.col("title")).alias("new"))
+    named = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " "))
+    said = said.groupBy("list", "pos", "title").agg(named.alias("new"))
     lines = cut(said.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new")).select("list", F.col("new.new").alias("__new")))
     some = rows.where(F.size("__found") > 0).withColumn("__list", F.sha2(F.array_join("__found", "\x1f"), 256))
     joined = some.join(lines, F.col("__list") == F.col("list"))
