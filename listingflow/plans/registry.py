@@ -384,6 +384,11 @@ def replay_meetings(meetings, events):
     return ev.replay_meetings(meetings, events).select("id", "lead_id", "starts_at")
 
 
+@query("v_meetings", "v_meeting_closes", sql="SELECT m.id, m.lead_id, m.starts_at, m.address, CASE WHEN c.meeting_id IS NULL THEN m.outcome ELSE c.outcome END AS outcome, c.note AS outcome_note FROM v_meetings m LEFT JOIN (SELECT meeting_id, max_by(outcome, seq) AS outcome, max_by(note, seq) AS note FROM v_meeting_closes GROUP BY meeting_id) c ON c.meeting_id = m.id")
+def replay_meeting_closes(meetings, closes):
+    return ev.replay_meetings(meetings, closes).select("id", "lead_id", "starts_at", "address", "outcome", "outcome_note")
+
+
 @query("v_raw_listings", sql="SELECT source, source_id, url, title, CASE WHEN id % 3 = 0 THEN 'price ' || price_raw ELSE price_raw END AS price_raw, location_raw, CASE WHEN id % 4 <> 0 THEN phone_raw END AS phone_raw, CASE WHEN id % 5 = 0 THEN 'firma' ELSE seller_label END AS seller_label FROM v_raw_listings WHERE id % 7 <> 0")
 def parse_offers_api(raw):
     """Batches of offers as JSON text, made by Spark of the listings, parsed again."""

@@ -111,6 +111,13 @@ SELECT event_id + 1 AS seq, (event_id * 7) % n + 1 AS lead_id, ts AS at,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'price' END AS reason,
        ts + INTERVAL '5' DAY AS next_step_at
   FROM events CROSS JOIN (SELECT COUNT(*) AS n FROM orders) c
+""",
+    "v_meeting_closes": """
+SELECT 2 * m.id + k AS seq, m.id AS meeting_id, m.lead_id, m.starts_at AS at, 'meeting_closed' AS kind,
+       CASE (m.id + k) % 3 WHEN 0 THEN 'contract' WHEN 1 THEN 'thinking' ELSE 'failed' END AS outcome,
+       'note ' || CAST(m.id % 7 + k AS STRING) AS note
+  FROM v_meetings m CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t
+ WHERE m.id % 3 >= k
 """,
 }
 
