@@ -11,29 +11,25 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listingflow.llm.text import give_back, text_slices
+
 _NONE = np.iinfo(np.int64).max
-#: What Unicode calls white space. Python's own list also has x1c to x1f.
+#: What Unicode calls white space.
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _GAPS = re.compile(f"[{''.join(map(chr, _SPACES))}]+")
-_OWN_GAPS = re.compile("[\x1c-\x1f]")
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-#: Words and pieces of text that a worker keeps encoded, about 150 MB each.
-CACHE = 400_000
-
-
-def pieces(text: str | None) -> list[str]:
-    """A text cut at white space."""
-    if not text:
-        return []
-    return [c for c in _GAPS.split(text) if c] if _OWN_GAPS.search(text) else text.split()
+_ASCII_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: About how many bytes of encoded words a task keeps from slice to slice.
+CACHE = 32 << 20
 
 
 class WordBpe:
@@ -81,9 +77,29 @@ class WordBpe:
         self.longest: dict[str, int] = {}
         for s in [*self.inner, *self.final]:
             self.longest[s[:3]] = max(self.longest.get(s[:3], 0), len(s))
+        #: What ids and tokens look like in a line, with a space behind each.
+        self.numbers = pa.array([f"{i} " for i in range(n)], pa.large_string())
+        self.spaced = pa.array([x + " " for x in self.strings], pa.large_string())
         self.pair_table = {k: int(self.rank[t]) << 20 | t for k, t in self.merge.items()}
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[str, str, int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of words: a reused worker gives back what a task took.
+
+        A word's row has its tokens from ends[row] to ends[row + 1] in tokens.
+        Special tokens are words of their own, under a key that no word has.
+        """
+        self.words: dict[str, int] = {}
+        self.tokens, self.ends, self.held = array("i"), array("q", [0]), 0
+        self._add("\n", [])  # the end of a piece
+        for content, i in self.special.items():
+            self._add("\0" + content, [i])
+
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.words[word] = len(self.ends) - 1
+        self.tokens.extend(ids)
+        self.ends.append(len(self.tokens))
+        self.held += 170 + len(word) + 4 * len(ids)
 
     def pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x << 32 | y
@@ -191,35 +207,82 @@ class WordBpe:
             guesses[i] = self.exact(words[i])
         return guesses
 
-    def split_words(self, chunk: str) -> list[str]:
-        """A piece of text without white space, as words of the byte alphabet."""
-        if chunk.isascii() and chunk.isprintable():
-            return _ASCII_WORDS.findall(chunk.lower())
-        return [w for w, _ in self.parts.pre_tokenizer.pre_tokenize_str(self.parts.normalizer.normalize_str(chunk))]
-
-    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        plans: list[list[int | str]] = []
-        for c in chunks:
-            plan: list[int | str] = []
-            for p in self.special_split.split(c) if "<|" in c else (c,):
-                if p in self.special:
-                    plan.append(self.special[p])
-                elif p:
-                    plan += self.split_words(p)
-            plans.append(plan)
+    def split(self, text: str) -> list[str]:
+        """The words, in the byte alphabet, of any text."""
+        out = []
+        for p in self.special_split.split(text):
+            if p in self.special:
+                out.append("\0" + p)
+            elif p:
+                out += [w for w, _ in self.parts.pre_tokenizer.pre_tokenize_str(self.parts.normalizer.normalize_str(p))]
+        return out
+
+    def split_pieces(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All words of pieces of text without ASCII white space, and for each
+        piece the place of its first word and how many it has.
+
+        Plain pieces are cut together: ASCII ones by one pattern, others by one
+        call of the library, each over all of them in a line. Pieces with other
+        white space or marks of special tokens are cut alone.
+        """
+        first, count = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        plain, other, odd = [], [], []
+        for i, c in enumerate(chunks):
+            if "<|" in c:
+                odd.append(i)
+            elif c.isascii():
+                (plain if c.isprintable() else odd).append(i)
+            else:
+                (odd if _GAPS.search(c) or not c.isprintable() else other).append(i)
+        words = _ASCII_WORDS.findall("\n".join([chunks[i] for i in plain]).lower())
+        ends = np.flatnonzero(np.fromiter((w == "\n" for w in words), bool, len(words)))
+        bounds = np.concatenate([[-1], ends, [len(words)]])
+        if plain:
+            first[plain], count[plain] = bounds[:-1] + 1, np.diff(bounds) - 1
+        line = self.parts.normalizer.normalize_str(" ".join([chunks[i] for i in other]))
+        found = self.parts.pre_tokenizer.pre_tokenize_str(line)
+        if other:
+            gaps = np.fromiter((m.start() for m in re.finditer(" ", line)), np.int64)
+            place = np.searchsorted(gaps, np.fromiter((at for _, (at, _) in found), np.int64, len(found)))
+            n = np.bincount(place, minlength=len(other))
+            first[other], count[other] = len(words) + np.cumsum(n) - n, n
+        words += [w for w, _ in found]
+        for i in odd:
+            own = self.split(chunks[i])
+            first[i], count[i] = len(words), len(own)
+            words += own
+        return words, first, count
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """The row of each word in the table; new ones are encoded first."""
         known = self.words
-        if len(known) > CACHE:
-            known.clear()
-        words = list({w for p in plans for w in p if isinstance(w, str) and w not in known})
-        known.update(zip(words, self.encode_words(words), strict=True))
-        return [[t for w in p for t in (known[w] if isinstance(w, str) else (w,))] for p in plans]
+        new = list(dict.fromkeys(w for w in words if w not in known))
+        for w, ids in zip(new, self.encode_words(new), strict=True):
+            self._add(w, ids)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a line, and where each text ends in it.
+
+        Arrow cuts the texts at ASCII white space and numbers the distinct pieces;
+        only those are cut into words, and only distinct words are encoded. The
+        line of ids is put together again by places alone.
+        """
+        if self.held > CACHE:
+            self.forget()
+        cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts, "").cast(pa.large_string())))
+        flat = pc.dictionary_encode(pc.list_flatten(cut))
+        words, first, count = self.split_pieces(flat.dictionary.to_pylist())
+        rows = self.rows_of(words)
+        at, ends = flat.indices.to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(cut).to_numpy())
+        seq, ends = _unfold(first[at], count[at], ends)
+        seq, to = rows[seq], np.frombuffer(self.ends, np.int64).copy()
+        line, ends = _unfold(to[seq], to[seq + 1] - to[seq], ends)
+        return np.frombuffer(self.tokens, np.int32)[line], ends
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one text; None encodes to nothing."""
-        chunks = pieces(text)
-        uniq = list(dict.fromkeys(chunks))
-        known = dict(zip(uniq, self.encode_chunks(uniq), strict=True))
-        return [t for c in chunks for t in known[c]]
+        return self.encode_all(pa.array([text], pa.string()))[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Token strings joined by a space: the file names no decoder."""
@@ -237,43 +300,54 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _unfold(first: np.ndarray, count: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places first, first + 1, ... of each run in one line; ends, given in
+    runs, in places of that line."""
+    upto = np.cumsum(count)
+    line = np.arange(upto[-1] if len(upto) else 0) + np.repeat(first - upto + count, count)
+    return line, np.concatenate([[0], upto])[ends]
+
+
+def _joined(strings: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The strings of each text's ids, which end in a space, without the last."""
+    _, offsets, data = strings.take(pa.array(ids)).buffers()
+    to = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends])].tolist() if len(ids) else [0] * (len(ends) + 1)
+    view = memoryview(data or b"")
+    return [view[a : max(a, b - 1)] for a, b in zip(to, to[1:], strict=False)]
+
+
+def _sha256(texts: list[memoryview]) -> pa.Array:
+    return pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string())
+
+
 def encoded(docs: DataFrame, path: str | None = None, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) per row.
 
-    Null and empty texts give no tokens and the digests of the empty text. One
-    pass without a shuffle; repeated pieces of text are encoded once per task,
-    in a cache of bounded size. keep_text adds the ids and the decoded text.
+    Null and empty texts give no tokens and the digests of the empty text. Every
+    row is coded, those that repeat and those without doc_id too; an empty table
+    gives no rows, and columns besides doc_id and text play no part. One pass
+    without a shuffle: batches are cut into slices of a few megabytes of text (a
+    longer text is one slice), pieces of text are encoded once for a slice, and
+    recurrent ones come from caches of bounded size that end with the task.
+    keep_text adds the ids and the decoded text.
     """
     digest = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
-        cache = bpe.chunks  # lives as long as the Python worker
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                if len(cache) > CACHE:
-                    cache.clear()
-                part = b.slice(at, 512)
-                texts = [pieces(x) for x in part.column("text").to_pylist()]
-                new = list({c for t in texts for c in t if c not in cache})
-                for c, ids in zip(new, bpe.encode_chunks(new), strict=True):
-                    cache[c] = " ".join(map(str, ids)), bpe.decode(ids), len(ids)
-                cols: list[list] = [[], [], [], [], []]
-                for t in texts:
-                    each = zip(*map(cache.__getitem__, t), strict=True) if t else iter(((), (), ()))
-                    ids, decoded, n = " ".join(next(each)), " ".join(next(each)), sum(next(each))
-                    cols[0].append(n)
-                    cols[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                    cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_text:
-                        cols[3].append(list(map(int, ids.split())))
-                        cols[4].append(decoded)
-                out = [part.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
+        try:
+            for part in text_slices(batches):
+                line, ends = bpe.encode_all(part.column("text"))
+                ids, decoded = _joined(bpe.numbers, line, ends), _joined(bpe.spaced, line, ends)
+                out = [part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), _sha256(ids), _sha256(decoded)]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_text:
-                    out += [pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.string())]
+                    out += [pa.array([list(map(int, bytes(x).split())) for x in ids], pa.list_(pa.int32())), pa.array([bytes(x).decode() for x in decoded], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            bpe.forget()
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, digest + (", ids array<int>, decoded string" if keep_text else ""))
