@@ -13,9 +13,12 @@ Features are the lower-cased words of a sentence and the first 4 to 8 letters
 of longer words (one stem has many endings). Language, source and doc_id are
 no inputs.
 
-The model is fitted on at most ``max_labelled`` labelled rows, chosen by a hash
-of doc_id, and on at most ``max_features`` features; both bounds are parameters.
-Everything else runs over all rows.
+The model is fitted on a sample of the labelled rows: at most ``max_labelled``
+of them and about ``max_bytes`` of text, chosen by the least hashes of doc_id.
+Its features are all that the sample shows to go with toxicity (a likelihood
+ratio over ``least_gain``, in at least ``min_docs`` texts); their number is not
+capped. Everything else runs over all rows, whole texts, in slices of a few
+megabytes; repeated rows and rows without doc_id are scored like any other.
 """
 
 import math
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.lineage import cut
+from listingflow.llm.text import give_back, text_slices
 
 _SENTENCE = re.compile(r"[.!?。！？\n\r]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,15 +61,17 @@ def sentences(text: str | None) -> list[str]:
 class Scorer:
     """Scores texts; remembers which words carry no known feature."""
 
-    def __init__(self, model: Model, cache: int = 300_000):
+    def __init__(self, model: Model, cache: int = 100_000):
         self.model, self.cache, self.words = model, cache, {}
 
     def known(self, word: str) -> tuple[str, ...]:
         got = self.words.get(word)
         if got is None:
-            if len(self.words) > self.cache:
-                self.words.clear()
-            got = self.words[word] = tuple(f for f in word_features(word) if f in self.model.weights)
+            got = tuple(f for f in word_features(word) if f in self.model.weights)
+            if len(word) <= 64:
+                if len(self.words) >= self.cache:
+                    self.words.clear()
+                self.words[word] = got
         return got
 
     def sentence(self, s: str) -> float:
@@ -88,61 +94,75 @@ class Scorer:
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                words = set(_WORD.findall((text or "").lower()))
-                counts[y].update({f for w in words for f in word_features(w)})
-            names = list(counts[0].keys() | counts[1].keys())
-            cols = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)]
-            yield pa.RecordBatch.from_arrays(cols, ["feature", "clean", "toxic"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_features: int = 3_000, min_docs: int = 4) -> Model:
+    for part in text_slices(batches, 1 << 20):
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+            words = set(_WORD.findall((text or "").lower()))
+            counts[y].update({f for w in words for f in word_features(w)})
+        names = list(counts[0].keys() | counts[1].keys())
+        cols = [pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)]
+        yield pa.RecordBatch.from_arrays(cols, ["feature", "clean", "toxic"])
+
+
+def _sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_bytes: int) -> DataFrame:
+    """(text, toxic) of the labelled rows that the model is fitted on.
+
+    The rows of the least hashes, as many as both bounds allow; a rerun takes
+    the same ones. A row of more than all the bytes is not dropped for it.
+    """
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 30)).alias("slot")
+    least = marks.select("doc_id", "toxic", slot).orderBy("slot", "doc_id").limit(max_labelled)
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(least), "doc_id").select("slot", "text", "toxic"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.max("slot")).first()
+    return rows if size[0] <= max_bytes else rows.where(F.col("slot") <= int(size[1] * max_bytes / size[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_bytes: int = 256 << 20, least_gain: float = 4.0, min_docs: int = 4) -> Model:
     """A model from documents and labels (doc_id, toxic).
 
     A doc_id labelled more than once counts as toxic if one label says so; null
     labels and ids, and labels without a document, do not count. Without both
     kinds of label the model has no features and its leak is the toxic share.
     """
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, 0.97 * max_labelled / max(1, marks.count()))
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20))
-    sample = marks.where(slot < int(share * (1 << 20))).limit(max_labelled)  # the limit makes the bound certain
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"))
+    rows = _sample(docs, labels, max_labelled, max_bytes)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     n, t = total["n"], total["t"]
     if not t or t == n:
         return Model({}, 0.0, 0.99 * t / n if n else 0.0)
-    counts = rows.mapInArrow(_feature_counts, "feature string, clean long, toxic long")
+    counts = rows.select("text", "toxic").mapInArrow(_feature_counts, "feature string, clean long, toxic long")
     seen = counts.groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"c + t >= {min_docs}")
     rate = t / n
     cell = lambda k, e: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / e)).otherwise(0.0)
     gain = cell("t", (F.col("c") + F.col("t")) * rate) + cell("c", (F.col("c") + F.col("t")) * (1 - rate))
-    best = seen.where(f"t > (c + t) * {rate}").withColumn("gain", F.round(gain, 6)).where("gain > 4")
-    top = best.orderBy(F.desc("gain"), "feature").limit(max_features).collect()
-    names = [r["feature"] for r in top]
+    telling = seen.where(f"t > (c + t) * {rate}").where(F.round(gain, 6) > least_gain)
+    names = sorted(r["feature"] for r in telling.select("feature").collect())  # no more than the sample has words for
     index = {f: i for i, f in enumerate(names)}
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for part in text_slices(batches, 1 << 20):
             out = []
-            for text in b.column("text").to_pylist():
-                found = ({index[f] for w in _WORD.findall(s.lower()) for f in word_features(w) if f in index} for s in sentences(text))
-                out.append([sorted(x) for x in found if x])
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["toxic", "bags"])
+            for text in part.column("text").to_pylist():
+                found = (tuple(sorted({index[f] for w in _WORD.findall(s.lower()) for f in word_features(w) if f in index})) for s in sentences(text))
+                out.append([{"times": k, "features": x} for x, k in sorted(Counter(x for x in found if x).items())])
+            kind = pa.list_(pa.struct([("times", pa.int32()), ("features", pa.list_(pa.int32()))]))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(out, kind)], ["toxic", "bags"])
 
-    data = rows.mapInArrow(bags, "toxic int, bags array<array<int>>").collect()
-    data.sort(key=lambda r: (r["toxic"], r["bags"]))  # the same sums in every run
-    weights, bias, leak = _descend([r["bags"] for r in data], np.array([r["toxic"] for r in data], float), len(names))
-    return Model({f: float(w) for f, w in zip(names, weights, strict=True) if abs(w) > 1e-3}, bias, leak)
+    data = rows.select("text", "toxic").mapInArrow(bags, "toxic int, bags array<struct<times:int,features:array<int>>>").collect()
+    data = sorted((r["toxic"], [(b["times"], b["features"]) for b in r["bags"]]) for r in data)  # the same sums in every run
+    weights, bias, leak = _descend([b for _, b in data], np.array([y for y, _ in data], float), len(names))
+    return Model({f: float(w) for f, w in zip(names, weights, strict=True)}, bias, leak)
 
 
-def _descend(bags: list[list[list[int]]], y: np.ndarray, width: int, rounds: int = 400, rate: float = 0.1, ridge: float = 0.02):
-    """Adam on the noisy-or likelihood with a ridge; all rows in each round."""
-    feats = np.array([f for d in bags for s in d for f in s], int)
-    sent = np.repeat(np.arange(sum(map(len, bags))), [len(s) for d in bags for s in d])
+def _descend(bags: list[list[tuple[int, list[int]]]], y: np.ndarray, width: int, rounds: int = 400, rate: float = 0.1, ridge: float = 0.02):
+    """Adam on the noisy-or likelihood with a ridge; all rows in each round.
+
+    A document is the distinct feature lists of its sentences, with how often
+    each occurs: equal sentences count as often as they are there.
+    """
+    feats = np.array([f for d in bags for _, s in d for f in s], int)
+    sent = np.repeat(np.arange(sum(map(len, bags))), [len(s) for d in bags for _, s in d])
+    times = np.array([k for d in bags for k, _ in d], float)
     doc = np.repeat(np.arange(len(bags)), [len(d) for d in bags])
     theta = np.concatenate([np.full(width, 0.5), [-3.0, -3.0]])  # weights, bias, leak's logit
     m = v = np.zeros_like(theta)
@@ -150,10 +170,10 @@ def _descend(bags: list[list[list[int]]], y: np.ndarray, width: int, rounds: int
         w, bias, leak = theta[:width], theta[-2], 1 / (1 + np.exp(-theta[-1]))
         z = bias + np.bincount(sent, w[feats], minlength=len(doc))
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
-        free = np.log1p(-leak) + np.bincount(doc, np.log1p(-p), minlength=len(y))
+        free = np.log1p(-leak) + np.bincount(doc, times * np.log1p(-p), minlength=len(y))
         q = np.clip(np.exp(free), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, q / (1 - q), -1.0)  # d loglik / d(-free)
-        gz = pull[doc] * p
+        gz = pull[doc] * times * p
         grad = np.concatenate([np.bincount(feats, gz[sent], minlength=width) - ridge * len(y) / 100 * w, [gz.sum(), (pull * leak).sum()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
@@ -163,16 +183,18 @@ def _descend(bags: list[list[list[int]]], y: np.ndarray, width: int, rounds: int
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, worst_sentence, worst_score) for every row, in one pass.
 
-    A null, empty or blank text has the score of the leak and no worst sentence.
-    The model (at most max_features weights) travels with the tasks.
+    A null, empty or blank text has the score of the leak and no worst sentence;
+    of equal sentences the first is the worst. An empty table gives no rows.
+    The model (its features come from the bounded sample) travels with the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
-            got = [scorer.document(x) for x in b.column("text").to_pylist()]
+        for part in text_slices(batches):
+            got = [scorer.document(x.as_py()) for x in part.column("text")]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "score", "worst_sentence", "worst_score"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], ["doc_id", "score", "worst_sentence", "worst_score"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, score double, worst_sentence int, worst_score double")
@@ -183,10 +205,10 @@ def flagged_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for b in batches:
+        for part in text_slices(batches, 1 << 20):
             rows = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                rows += [(i, k, p, s) for k, s in enumerate(sentences(text)) if (p := scorer.sentence(s)) >= threshold]
+            for i, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
+                rows += [(i, k, p, s) for k, s in enumerate(sentences(text.as_py())) if (p := scorer.sentence(s)) >= threshold]
             kinds = (("doc_id", pa.int64()), ("sentence_no", pa.int32()), ("score", pa.float64()), ("sentence", pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], [k for k, _ in kinds])
 
@@ -196,12 +218,11 @@ def flagged_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) ->
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score under the threshold, all columns unchanged."""
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        at = names.index("text")
-        for b in batches:
-            yield b.filter(pa.array([scorer.document(x)[0] < threshold for x in b.column(at).to_pylist()], pa.bool_()))
+        for part in text_slices(batches):
+            yield part.filter(pa.array([scorer.document(x.as_py())[0] < threshold for x in part.column("text")], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
