@@ -2,18 +2,19 @@
 
 A fingerprint has two segments of 32 bits. If two fingerprints differ in at
 most two bits, their first segments differ in at most one bit or their second
-segments are equal. So every fingerprint is entered under its two segments, and
-looked up under the Hamming ball of radius one about its first segment (only
-zero bits need flipping: of two neighbours one has the zero). Fingerprints that
-meet nobody in a segment table have no neighbour and leave.
-
-The rest are verified over all 64 bits without making pairs: two fingerprints
-are within two bits if and only if their full balls of radius one meet. Each
-member of a ball key is linked to the key's least member, and the complete
-distance of every link is checked. A bucket of any size thus costs a link per
-row, never a link per pair.
-
-similar_groups() is the form for a true similarity: SimHash tables only propose
+segments are equal. So every fingerprint is entered in two tables, under each of
+its segments, and looks itself up in the first under the Hamming ball of radius
+one about its segment (only zero bits need flipping: of two neighbours one has
+the zero), in the second under the segment itself. The table's matches are
+fetched and their complete distance is verified.
+
+A slot that more than HOT fingerprints share would cost all pairs of them. Its
+fingerprints, and those that look it up, go another, exact way without pairs:
+two fingerprints are within two bits if and only if their full balls of radius
+one meet, and each key of the balls (which has 65 members at most) links its
+members to its least. So a slot of any size costs a link for each row.
+
+similar_nodes() is the form for a true similarity: SimHash tables only propose
 pairs, and the shingle sets decide. There an entry is a segment of 16 bits and a
 size class, under the ball of radius one, so two texts meet if some segment
 differs in at most two bits (any two within 11 bits do) and their numbers of
@@ -31,18 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.lineage import broadcast_if_small, cut
-from listingflow.llm.text import word_blocks
+from listingflow.llm.text import give_back, text_slices, word_blocks
 from listingflow.operators.graph import connected_components
 
 SEED, WORDS, DISTANCE = 42, 3, 2
+#: Fingerprints of a slot that are compared with each look-up one by one.
+HOT = 64
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def _bit_counts(shingles: list[bytes]) -> np.ndarray:
-    h = np.fromiter(map(_hash, shingles), dtype="<u8", count=len(shingles))
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
+def _bit_counts(shingles: list[bytes]) -> np.ndarray:
+    return _ones(np.fromiter(map(_hash, shingles), dtype="<u8", count=len(shingles)))
+
+
 def _shingles(text: str | None, size: int) -> Iterator[list[bytes]]:
     """The shingles of size words, block by block; a shorter text is one shingle."""
     data, tail, some = (text or "").encode("utf-8", "surrogatepass").lower(), [], False  # lowers A-Z only
@@ -72,9 +79,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [fingerprint(x) for x in b.column("text").to_pylist()]
+    for b in text_slices(batches):
+        found = [fingerprint(x.as_py()) for x in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -83,20 +91,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return ids.mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def neighbour_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints within two bits."""
-    home, low = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L)"
-    entries = F.expr(
-        f"concat(array({home}, {low} + 4294967296L),"
-        f" filter(transform(sequence(0, 31), i -> {home} | shiftleft(1L, i)), k -> k <> {home}))"
-    )
-    slots = fps.select("fp", F.explode(entries).alias("slot"))
-    met = slots.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("slot")
-    near = cut(slots.join(met, "slot", "left_semi").select("fp").distinct())
-    balls = near.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
+def neighbour_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (a, b) that join all distinct fingerprints within two bits.
+
+    Every pair within two bits is a link, except that of fingerprints of slots
+    with more than hot entries only so many are given that they stay connected.
+    """
+    home, low = "shiftrightunsigned(fp, 32)", "(fp & 4294967295L) + 4294967296L"
+    table = fps.select("fp", F.explode(F.expr(f"array({home}, {low})")).alias("slot"))
+    ball = f"concat(array({home}, {low}), filter(transform(sequence(0, 31), i -> {home} | shiftleft(1L, i)), k -> k <> {home}))"
+    asked = fps.select("fp", F.explode(F.expr(ball)).alias("slot"))
+    crowded = cut(table.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).where(f"n > {hot}").select("slot"))
+    met = _within(table, asked, crowded, "left_anti")
+    inside = cut(asked.join(broadcast_if_small(crowded), "slot", "left_semi").select("fp").distinct())
+    return met.unionByName(_ball_links(inside)).distinct()
+
+
+def _within(table: DataFrame, asked: DataFrame, slots: DataFrame, how: str) -> DataFrame:
+    """The verified matches (a, b) of look-ups in slots that are not crowded."""
+    few = table.join(broadcast_if_small(slots), "slot", how)
+    met = asked.alias("q").join(few.alias("t"), "slot").where(f"q.fp <> t.fp and bit_count(q.fp ^ t.fp) <= {DISTANCE}")
+    return met.select(F.least("q.fp", "t.fp").alias("a"), F.greatest("q.fp", "t.fp").alias("b"))
+
+
+def _ball_links(fps: DataFrame) -> DataFrame:
+    """The same for fingerprints of crowded slots: links to the least of each
+    key that their balls of radius one share, verified, and no pairs."""
+    balls = fps.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")).alias("key"))
     least = balls.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("key", "a")
     links = balls.join(least, "key").where(f"fp <> a and bit_count(fp ^ a) <= {DISTANCE}")
-    return links.select("a", F.col("fp").alias("b")).distinct()
+    return links.select("a", F.col("fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -113,15 +137,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = comp.join(fps, comp["node"] == fps["fp"])
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     named = comp.join(least, "root").select(F.col("node").alias("fp"), "component")
-    groups = fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")))
+    return marked.join(groups, "fp").select("doc_id", "fp", "component_id")  # two plain exchanges: a hot fp can be split
+
+
+def _print_and_size(text: str | None, size: int) -> tuple[int, int]:
+    """The fingerprint and the number of distinct shingles, of one hashing."""
+    blocks = [np.fromiter(map(_hash, grams), dtype="<u8", count=len(grams)) for grams in _shingles(text, size)]
+    ones = sum((_ones(h) for h in blocks), np.zeros(64, np.int64))
+    distinct = len(np.unique(np.concatenate(blocks))) if blocks else 0
+    return int(np.packbits(2 * ones > sum(map(len, blocks)), bitorder="little").view("<i8")[0]), distinct
 
 
 def _with_size(size: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            fps, ns = [fingerprint(x, size) for x in texts], [len(shingle_set(x, size)) for x in texts]
+        for b in text_slices(batches):
+            fps, ns = zip(*(_print_and_size(x.as_py(), size) for x in b.column("text")), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(fps, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "node", "fp", "n"])
 
     return add
@@ -129,9 +160,10 @@ def _with_size(size: int):
 
 def _sets(size: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingle_set(x, size).tolist() for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "grams"])
+        for b in text_slices(batches):
+            found = [shingle_set(x.as_py(), size) for x in b.column("text")]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["id", "grams"])
 
     return add
 
@@ -176,13 +208,14 @@ def _node() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
-def similar_groups(docs: DataFrame, size: int, distance: int, similarity: float, segments: int = 4) -> DataFrame:
-    """(node, component_id, lead): one row per distinct text of docs.
+def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float, segments: int = 4) -> DataFrame:
+    """(node, least, root): one row per distinct text of docs.
 
-    Texts are linked if the Jaccard similarity of their sets of shingles of size
-    words is at least similarity, among pairs that the tables propose within
-    distance bits; component_id is the least doc_id reachable (null if none has
-    one), lead the least node, the digest of a text. A first round links texts
+    node is the digest of a text, least its least doc_id, root the same for
+    all of a group. Texts are linked if the Jaccard similarity of their sets of
+    shingles of size words is at least similarity, among pairs that the tables
+    propose within distance bits. Nulls and texts without a word are alike, and
+    a shorter text is one shingle. A first round links texts
     to the least of equal long segments, so that a large group of copies is one
     component before pairs are made; then in each slot only texts outside of
     its most common component are paired, with texts of other components.
@@ -209,55 +242,33 @@ def similar_groups(docs: DataFrame, size: int, distance: int, similarity: float,
     links = links.unionByName(_verified(more, nodes, docs, size, similarity))
 
     comp = connected_components(links).select(F.col("node").alias("id"), "root")
-    rooted = cut(nodes.join(comp, "id", "left").select("node", "least", F.coalesce("root", "id").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("node").alias("lead"))
-    return rooted.join(named, "root").select("node", "component_id", "lead")
-
-
-def keep_similar(docs: DataFrame, size: int, distance: int, similarity: float) -> DataFrame:
-    """The rows of docs that are the least of their group of similar texts.
-
-    Rows that repeat the kept doc_id stay only once. Rows without doc_id in a
-    group that has one go; a group of nulls alone keeps one of its rows.
-    """
-    groups = cut(similar_groups(docs, size, distance, similarity))
-    kept = groups.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null and node = lead").select(F.col("node").alias("__node"))
-    null_rows = docs.where("doc_id is null").withColumn("__node", _node())
-    return rows.unionByName(null_rows.join(lone, "__node", "left_semi").dropDuplicates(["__node"]).drop("__node"))
+    return cut(nodes.join(comp, "id", "left").select("node", "least", F.coalesce("root", "id").alias("root")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are the least of their near-duplicate group.
+def _keep(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of their group.
 
-    Rows that repeat the kept doc_id stay only once. Rows without doc_id in a
-    group that has one go; a group of nulls alone keeps one of its rows.
+    nodes has a row (node, least, root) for each distinct text, its least doc_id
+    and its group. A group keeps the least text under its least doc_id; where
+    none has a doc_id, its least text. Equal rows of what is kept stay once;
+    another text under the same doc_id stays if it is in another group.
     """
-    found = near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    lone = found.where("component_id is null").select(F.col("fp").alias("lone")).distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    null_rows = docs.where("doc_id is null")
-    if null_rows.isEmpty() or lone.isEmpty():
-        return rows
-    own = null_rows.mapInArrow(_with_fingerprint(null_rows.schema), _plus_fp(null_rows.schema))
-    one = own.join(lone, own["__fp"] == lone["lone"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return rows.unionByName(one.select(*rows.columns))
-
-
-def _plus_fp(schema):
-    from pyspark.sql import types as T
+    best = F.min(F.struct(F.col("least").isNull().alias("lacks"), "least", "node")).alias("w")
+    won = nodes.groupBy("root").agg(best).select(F.col("w.least").alias("__id"), F.col("w.node").alias("__won"))
+    rows = docs.withColumn("__node", _node())
+    same = rows["doc_id"].cast("long").eqNullSafe(won["__id"]) & (rows["__node"] == won["__won"])
+    return rows.join(won, same, "left_semi").dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
 
-    return T.StructType([*schema.fields, T.StructField("__fp", T.LongType())])
 
+def keep_similar(docs: DataFrame, size: int, distance: int, similarity: float) -> DataFrame:
+    """The rows of docs that are the least of their group of similar texts."""
+    return _keep(docs, similar_nodes(docs, size, distance, similarity))
 
-def _with_fingerprint(schema):
-    names = schema.names
-
-    def add(batches):
-        for b in batches:
-            found = pa.array([fingerprint(x) for x in b.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, found], [*names, "__fp"])
 
-    return add
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of their near-duplicate group."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _node().alias("node"))
+    one = ids.mapInArrow(_with_size(WORDS), "doc_id long, node string, fp long, n long")
+    nodes = cut(one.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    comp = connected_components(neighbour_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
+    return _keep(docs, nodes.join(comp, "fp", "left").select("node", "least", F.coalesce("root", "fp").alias("root")))
