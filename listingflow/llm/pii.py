@@ -142,10 +142,12 @@ def surrogate(what: Column, canon_: Column, h: Column) -> Column:
     h is the column of hex digits that key, type, canon and attempt decide.
     A card keeps its length and passes the Luhn test if the original does; a
     phone has no country code here (its mentions keep theirs), a name no
-    ending; an IP is a whole address; an e-mail has a new local part under example.com, example
-    .net or example.org by its hash, with as many labels as before.
+    ending; an IP is a whole address; a well-known secret keeps the prefix that
+    says its type; an e-mail has a new local part under example.com, example.net
+    or example.org by its hash, and a label more if it had more than two.
     """
-    same = _like(canon_, h)
+    prefix = F.when(what == "secret", F.regexp_extract(canon_, r"^(?:AKIA|gh[pousr]_|sk-)?", 0)).otherwise("")
+    same = F.concat(prefix, _like(F.substring(canon_, F.length(prefix) + 1, F.length(canon_)), h))
     digits = F.when(F.substring(canon_, 1, 1) != "0", F.regexp_replace(same, "^0", "7")).otherwise(same)
     passes = canon_ == _luhn(canon_)
     checked = _luhn(digits)
@@ -214,33 +216,42 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates still collide after 50 rounds: the space of a kind is full")
 
 
-def replaced(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
-    """docs with surrogates in text, and n_entities and surrogates (an array).
-
-    Only the distinct lists of matches travel, not the texts, until the last
-    join; texts without a match take no part in it. Rows may repeat or lack a
-    doc_id. A null text stays null, with no entities. All columns of docs stay;
-    columns of the names that are added here are replaced.
-    """
-    none_found = F.array().cast("array<string>")
-    found = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))).otherwise(none_found)
-    names = [c for c in docs.columns if c not in ("n_entities", "surrogates")]
-    rows = docs.select(*names, found.alias("__found"))
-    lists = docs.select(found.alias("found")).where(F.size("found") > 0).select(F.sha2(F.array_join("found", "\x1f"), 256).alias("list"), "found").dropDuplicates(["list"])
+def _lists(matched: DataFrame, key: str) -> DataFrame:
+    """(__key, __new): the surrogates in order for each distinct list of matches."""
+    lists = matched.select(F.col("__list").alias("list"), F.col("__found").alias("found")).dropDuplicates(["list"])
     spread = lists.select("list", F.posexplode("found").alias("pos", "raw")).withColumn("kind", kind(F.col("raw")))
     title = F.when(F.col("kind") == "person", F.substring_index("raw", " ", 1)).otherwise("")
     each = spread.select("list", "pos", title.alias("title"), F.posexplode(parts(F.col("raw"), F.col("kind"))).alias("part", "p")).select("list", "pos", "title", "part", "p.kind", "p.raw")
     mentions = cut(each.withColumn("canon", canon(F.col("raw"), F.col("kind"))))
     known = assigned(mentions, key)
-    said = mentions.join(known, ["kind", "canon"]).select("list", "pos", "part", "title", formatted(F.col("raw"), F.col("kind"), F.col("core"), F.col("title")).alias("new"))
-    named = F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " "))
-    said = said.groupBy("list", "pos", "title").agg(named.alias("new"))
-    lines = cut(said.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new")).select("list", F.col("new.new").alias("__new")))
-    some = rows.where(F.size("__found") > 0).withColumn("__list", F.sha2(F.array_join("__found", "\x1f"), 256))
-    joined = some.join(lines, F.col("__list") == F.col("list"))
+    new = formatted(F.col("raw"), F.col("kind"), F.col("core"), F.col("title"))
+    said = mentions.join(known, ["kind", "canon"]).select("list", "pos", "part", "title", new.alias("new"))
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "new"))), lambda x: x["new"]), " ")
+    said = said.groupBy("list", "pos", "title").agg(F.concat_ws(" ", F.when(F.col("title") != "", F.col("title")), names).alias("new"))
+    lines = said.groupBy("list").agg(F.sort_array(F.collect_list(F.struct("pos", "new"))).alias("new"))
+    return cut(lines.select(F.col("list").alias("__key"), F.col("new.new").alias("__new")))
+
+
+def replaced(docs: DataFrame, key: str = "surrogate key") -> DataFrame:
+    """docs with surrogates in text, and n_entities and surrogates (an array).
+
+    Texts are searched whole, once to find and keep those with a match and once
+    to pass on the others, which take no part in any join. Of the matches only
+    distinct lists travel until the last join. Rows may repeat or lack a doc_id;
+    they are replaced alike. A null text stays null, with no entities; an empty
+    table gives no rows. All columns of docs stay, whatever their names; only
+    columns of the two names that are added here are replaced.
+    """
+    names = [c for c in docs.columns if c not in ("n_entities", "surrogates")]
+    some = F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN)
+    found = F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
+    matched = docs.where(F.col("text").rlike(_HINT)).select(*names, found.alias("__found")).where(F.size("__found") > 0)
+    matched = cut(matched.withColumn("__list", F.sha2(F.array_join("__found", "\x1f"), 256)))
+    joined = matched.join(_lists(matched, key), F.col("__list") == F.col("__key"))
     pieces = F.split(F.col("text"), PATTERN, -1)
     text = F.array_join(F.zip_with(pieces, F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     put = [text.alias("text") if c == "text" else F.col(c) for c in names]
     done = joined.select(*put, F.size("__new").cast("long").alias("n_entities"), F.col("__new").alias("surrogates"))
-    none = rows.where(F.size("__found") == 0).select(*names, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("surrogates"))
+    rest = docs.where(~F.coalesce(some, F.lit(False)))
+    none = rest.select(*names, F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("surrogates"))
     return done.unionByName(none)
