@@ -14,11 +14,12 @@ two fingerprints are within two bits if and only if their full balls of radius
 one meet, and each key of the balls (which has 65 members at most) links its
 members to its least. So a slot of any size costs a link for each row.
 
-similar_nodes() is the form for a true similarity: SimHash tables only propose
-pairs, and the shingle sets decide. There an entry is a segment of 16 bits and a
-size class, under the ball of radius one, so two texts meet if some segment
-differs in at most two bits (any two within 11 bits do) and their numbers of
-shingles allow the similarity.
+similar_nodes() is the form for a true similarity: the tables only propose pairs,
+the shingle sets decide. Fingerprints have five segments there; each text is in
+the tables under its segments and a size class, and looks up the balls of radius
+one, so any two within nine bits meet, and most within eleven. A wider print of
+256 bits, compared as soon as two texts meet, drops most pairs that are not
+similar enough before their sets are fetched.
 """
 
 import math
@@ -36,6 +37,8 @@ from listingflow.llm.text import give_back, text_slices, word_blocks
 from listingflow.operators.graph import connected_components
 
 SEED, WORDS, DISTANCE = 42, 3, 2
+#: Segments of the tables for a true similarity.
+SEGMENTS = 5
 #: Fingerprints of a slot that are compared with each look-up one by one.
 HOT = 64
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -141,27 +144,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(groups, "fp").select("doc_id", "fp", "component_id")  # two plain exchanges: a hot fp can be split
 
 
-def _print_and_size(text: str | None, size: int) -> tuple[int, int]:
-    """The fingerprint and the number of distinct shingles, of one hashing."""
-    blocks = [np.fromiter(map(_hash, grams), dtype="<u8", count=len(grams)) for grams in _shingles(text, size)]
-    ones = sum((_ones(h) for h in blocks), np.zeros(64, np.int64))
-    distinct = len(np.unique(np.concatenate(blocks))) if blocks else 0
-    return int(np.packbits(2 * ones > sum(map(len, blocks)), bitorder="little").view("<i8")[0]), distinct
+def _prints(text: str | None, size: int) -> tuple[list[int], int]:
+    """The fingerprint, four more of other hashes, and the number of distinct
+    shingles of a text, of one hashing of its shingles."""
+    ones, n, seen = np.zeros((5, 64), np.int64), 0, []
+    for grams in _shingles(text, size):
+        h = np.fromiter(map(_hash, grams), dtype="<u8", count=len(grams))
+        seen.append(h)
+        n += len(h)
+        for k in range(5):
+            ones[k] += _ones(_mixed(h, k))
+    bits = np.packbits(2 * ones > n, axis=1, bitorder="little").reshape(-1).view("<i8")
+    return bits.tolist(), len(np.unique(np.concatenate(seen))) if seen else 0
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes as if of another seed (k = 0: as they are)."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _with_size(size: int):
+#: The columns of the wider print.
+WIDE = ["g0", "g1", "g2", "g3"]
+_PRINTED = "doc_id long, node string, fp long, " + ", ".join(f"{g} long" for g in WIDE) + ", n long"
+
+
+def _printed(size: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            fps, ns = zip(*(_print_and_size(x.as_py(), size) for x in b.column("text")), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), pa.array(fps, pa.int64()), pa.array(ns, pa.int64())], ["doc_id", "node", "fp", "n"])
+            prints, n = zip(*(_prints(x.as_py(), size) for x in b.column("text")), strict=True)
+            cols = [pa.array(c, pa.int64()) for c in zip(*prints, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("node"), *cols, pa.array(n, pa.int64())], ["doc_id", "node", "fp", *WIDE, "n"])
+        give_back()
 
     return add
 
 
+def _nodes(docs: DataFrame, size: int) -> DataFrame:
+    """(node, least, fp, wide print, n, id) for each distinct text of docs."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _node().alias("node"))
+    marked = ids.mapInArrow(_printed(size), _PRINTED)
+    facts = F.first(F.struct("fp", *WIDE, "n")).alias("f")
+    one = marked.groupBy("node").agg(F.min("doc_id").alias("least"), facts)
+    return cut(one.select("node", "least", "f.*", F.monotonically_increasing_id().alias("id")))
+
+
 def _sets(size: int):
+    """The sets as 32 bits of each hash: half the bytes for what pairs carry."""
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches):
-            found = [shingle_set(x.as_py(), size) for x in b.column("text")]
+            found = [np.unique(shingle_set(x.as_py(), size).astype(np.int32)) for x in b.column("text")]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(ends, np.concatenate(found))], ["id", "grams"])
 
@@ -174,21 +211,77 @@ def _segments(count: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
 
 
-def _slots(nodes: DataFrame, segments: int, similarity: float, ball: bool) -> DataFrame:
-    """nodes under each of their slots: size class (and the next), segment, value.
-
-    Sizes in a ratio of similarity or more are in the same class or in two
-    neighbouring ones, so they share one of their two classes.
-    """
+def _size_class(similarity: float) -> str:
+    """SQL for the size class of n: sizes in a ratio of similarity or more are
+    in the same class or in two neighbouring ones."""
     wide = math.log(1 / similarity) + 1e-6  # a little more: no doubt at exact ratios
-    size = f"cast(floor(ln(greatest(n, 1)) / {wide!r}) as long)"
+    return f"cast(floor(ln(greatest(n, 1)) / {wide!r}) as long)"
+
+
+def _entries(nodes: DataFrame, similarity: float, ball: bool) -> DataFrame:
+    """nodes under the slots (size class, segment, value) that they are entered
+    in, those of their class and the next; with ball those that they look up,
+    in their own class. own tells the entries of a text's own class."""
     keys = []
-    for i, (at, width) in enumerate(_segments(segments)):
+    for i, (at, width) in enumerate(_segments(SEGMENTS)):
         value = f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)"
         values = f"concat(array({value}), transform(sequence(0, {width - 1}), i -> {value} ^ shiftleft(1L, i)))" if ball else f"array({value})"
         keys.append(f"transform({values}, v -> v + {i << 33}L)")
-    both = F.expr(f"flatten(transform(array({size}, {size} + 1), c -> transform(concat({', '.join(keys)}), v -> v + shiftleft(c, 40))))")
-    return nodes.select("*", F.explode(both).alias("slot"))
+    size = _size_class(similarity)
+    classes = f"array({size})" if ball else f"array({size}, {size} + 1)"
+    slots = F.expr(f"flatten(transform({classes}, c -> transform(concat({', '.join(keys)}), v -> v + shiftleft(c, 40))))")
+    rows = nodes.select("id", "fp", *WIDE, F.col("n").cast("int").alias("n"), "c", F.explode(slots).alias("slot"))
+    return rows if ball else rows.withColumn("own", F.expr(f"shiftright(slot, 40) = {size}"))
+
+
+def _near(a: str, b: str, distance: int, similarity: float) -> str:
+    """SQL: prints and sizes of a and b allow the similarity.
+
+    At similarity s a bit of two prints differs with probability
+    acos(2s / (1 + s)) / pi; the wide print may differ in as many bits as that
+    gives, and 2.33 standard deviations more.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * len(WIDE)
+    most = math.ceil(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
+    wide = " + ".join(f"bit_count({a}.{g} ^ {b}.{g})" for g in WIDE)
+    return f"bit_count({a}.fp ^ {b}.fp) <= {distance} and {wide} <= {most} and {a}.n >= {similarity} * {b}.n - 1e-6 and {b}.n >= {similarity} * {a}.n - 1e-6"
+
+
+def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int = 3) -> DataFrame:
+    """Pairs (a, b) of ids that are near and close in order of their prints.
+
+    Prints are sorted under five rotations, by range over all tasks, and each is
+    compared with the few before it: a row for each text and rotation, however
+    large a group of like texts is. These pairs are only the first.
+    """
+    turns = F.array(*(F.struct(F.lit(r).alias("turn"), F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})" if r else "fp").alias("key")) for r in (0, 12, 25, 38, 51)))
+    rows = nodes.select("id", "fp", *WIDE, "n", F.explode(turns).alias("t")).select("*", "t.turn", "t.key").drop("t")
+    rows = rows.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key", "id")
+    names = ["id", "fp", *WIDE, "n", "turn"]
+    before = rows.select(F.struct(*names).alias("b"), "turn", "key")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            table = {k: v.to_numpy(zero_copy_only=False) for k, v in zip(names, batch.column("b").flatten(), strict=True)}
+            if last is not None:
+                table = {k: np.concatenate([last[k], table[k]]) for k in names}
+            old = 0 if last is None else len(last["id"])
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for step in range(1, around + 1):
+                x = np.arange(max(old, step), len(table["id"]))
+                y = x - step
+                ok = table["turn"][x] == table["turn"][y]
+                ok &= np.bitwise_count(table["fp"][x].view(np.uint64) ^ table["fp"][y].view(np.uint64)) <= distance
+                small, large = np.minimum(table["n"][x], table["n"][y]), np.maximum(table["n"][x], table["n"][y])
+                ok &= small >= similarity * large - 1e-6
+                found.append((table["id"][x[ok]], table["id"][y[ok]]))
+            last = {k: v[-around:] for k, v in table.items()}
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return before.mapInArrow(meet, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -197,7 +290,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = cut(nodes.join(ids, "id", "left_semi").select("id", "node"))
     texts = docs.select(_node().alias("node"), "text").join(broadcast_if_small(wanted), "node").select("id", "text")
-    sets = cut(texts.mapInArrow(_sets(size), "id long, grams array<long>").groupBy("id").agg(F.first("grams").alias("grams")))
+    sets = cut(texts.mapInArrow(_sets(size), "id long, grams array<int>").groupBy("id").agg(F.first("grams").alias("grams")))
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
@@ -208,40 +301,31 @@ def _node() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
-def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float, segments: int = 4) -> DataFrame:
+def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float) -> DataFrame:
     """(node, least, root): one row per distinct text of docs.
 
     node is the digest of a text, least its least doc_id, root the same for
     all of a group. Texts are linked if the Jaccard similarity of their sets of
     shingles of size words is at least similarity, among pairs that the tables
     propose within distance bits. Nulls and texts without a word are alike, and
-    a shorter text is one shingle. A first round links texts
-    to the least of equal long segments, so that a large group of copies is one
-    component before pairs are made; then in each slot only texts outside of
-    its most common component are paired, with texts of other components.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _node().alias("node"))
-    marked = ids.mapInArrow(_with_size(size), "doc_id long, node string, fp long, n long")
-    one = marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("n").alias("n"))
-    nodes = cut(one.withColumn("id", F.monotonically_increasing_id()))
-    short = nodes.select("id", "fp", "n")
-    near = f"bit_count(a.fp ^ b.fp) <= {distance} and a.n >= {similarity} * b.n - 1e-6 and b.n >= {similarity} * a.n - 1e-6"
-
-    homes = _slots(short, 3, similarity, False).repartition("slot")
-    first = homes.groupBy("slot").agg(F.min(F.struct("id", "fp", "n")).alias("a"))
-    star = homes.alias("b").join(first, "slot").where(f"a.id <> b.id and {near}").groupBy(F.col("b.id").alias("b")).agg(F.min("a.id").alias("a"))
-    links = _verified(star.select("a", "b"), nodes, docs, size, similarity)
-
-    comp = connected_components(links).select(F.col("node").alias("id"), "root")
-    placed = cut(short.join(comp, "id", "left").select("id", "fp", "n", F.coalesce("root", "id").alias("c")))
-    slots = _slots(placed, segments, similarity, True).repartition("slot")
-    common = slots.groupBy("slot", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("slot").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("slot", "top")
-    others = slots.join(common, "slot").where("c <> top").alias("a")
-    met = others.join(slots.alias("b"), "slot").where(f"a.c <> b.c and (b.c = a.top or a.id < b.id) and {near}")
-    more = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    links = links.unionByName(_verified(more, nodes, docs, size, similarity))
+    a shorter text is one shingle.
 
+    Neighbours in the order of the prints are verified first, so that a large
+    group of copies is one component, by a link or two a text, before the tables
+    are asked; they only give pairs of texts of different components, each pair
+    once (in the first segment in which the two meet).
+    """
+    nodes = _nodes(docs, size)
+    links = _verified(_neighbours(nodes, distance, similarity), nodes, docs, size, similarity)
     comp = connected_components(links).select(F.col("node").alias("id"), "root")
+    placed = cut(nodes.drop("node", "least").join(comp, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root"))
+    q, t = _entries(placed, similarity, True).alias("q"), _entries(placed, similarity, False).alias("t")
+    masks = [((1 << width) - 1) << at for at, width in _segments(SEGMENTS)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    first = " and ".join(f"(shiftrightunsigned(q.slot, 33) & 7 <= {j} or bit_count((q.fp ^ t.fp) & {m}L) > 1)" for j, m in enumerate(signed[:-1]))
+    met = q.join(t, "slot").where(f"q.c <> t.c and (not t.own or q.id < t.id) and {_near('q', 't', distance, similarity)} and {first}")
+    more = _verified(met.select(F.col("q.id").alias("a"), F.col("t.id").alias("b")), nodes, docs, size, similarity)
+    comp = connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "root")
     return cut(nodes.join(comp, "id", "left").select("node", "least", F.coalesce("root", "id").alias("root")))
 
 
@@ -267,8 +351,6 @@ def keep_similar(docs: DataFrame, size: int, distance: int, similarity: float) -
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the least of their near-duplicate group."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _node().alias("node"))
-    one = ids.mapInArrow(_with_size(WORDS), "doc_id long, node string, fp long, n long")
-    nodes = cut(one.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")))
+    nodes = _nodes(docs, WORDS)
     comp = connected_components(neighbour_links(nodes.select("fp").distinct())).select(F.col("node").alias("fp"), "root")
     return _keep(docs, nodes.join(comp, "fp", "left").select("node", "least", F.coalesce("root", "fp").alias("root")))

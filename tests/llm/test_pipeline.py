@@ -9,21 +9,19 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from listingflow.llm import bpe, queries, toxicity
 from listingflow.llm.text import table
-from tests.llm.test_corpus_operators import plain_fingerprint, words_of
+from tests.llm.test_corpus_operators import words_of
+from tests.llm.test_similar import grams, jaccard
 
 
 def least_of_groups(rows):
-    """The ids that are the least of their group of fingerprints within two bits."""
-    left, kept = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}, set()
-    while left:
-        i = min(left)
-        kept.add(i)
-        todo = [left.pop(i)]
-        while todo:
-            f = todo.pop()
-            near = [j for j, g in left.items() if (f ^ g).bit_count() <= 2]
-            todo += [left.pop(j) for j in near]
-    return kept
+    """The ids that are the least of their group of texts of similarity 0.8."""
+    sets, group = {r["doc_id"]: grams(r["text"]) for r in rows}, {}
+    for i in sorted(sets):
+        near = [j for j in group if len(sets[i] & sets[j]) >= 0.4 * max(len(sets[i]), len(sets[j])) and jaccard(sets[i], sets[j]) >= 0.8]
+        met, root = {group[j] for j in near}, min([i, *(group[j] for j in near)])
+        group[i] = root
+        group.update({j: root for j, r in group.items() if r in met})
+    return {i for i, r in group.items() if i == r}
 
 
 def test_stages_equal_plain_versions(spark, sf, tmp_path):
@@ -42,8 +40,10 @@ def test_stages_equal_plain_versions(spark, sf, tmp_path):
     assert Counter(got) == Counter(clean) and 0 < len(clean) < len(given)
 
     _, given, got = seen["simhash near-dedup"]
-    kept = least_of_groups(given)
-    assert Counter(got) == Counter(r for r in given if r["doc_id"] in kept) and len(kept) < len(given)
+    kept, stay = least_of_groups(given), {r["doc_id"] for r in got}
+    assert Counter(got) == Counter(r for r in given if r["doc_id"] in stay) and kept <= stay < {r["doc_id"] for r in given}
+    # The tables propose pairs by prints: a text of a few shingles may be missed.
+    assert len(stay - kept) <= 1
 
     _, given, got = seen["pii surrogates"]
     old, new = ({r["doc_id"]: r for r in x} for x in (given, got))
