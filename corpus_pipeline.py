@@ -16,7 +16,7 @@ from listingflow.llm.text import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words a shingle, most bits between fingerprints, least Jaccard similarity.
-SIMILAR = 5, 14, 0.8
+SIMILAR = 5, 11, 0.8
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
