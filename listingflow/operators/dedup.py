@@ -1,8 +1,9 @@
 """The same flat in several adverts: keyed joins, fingerprints, groups."""
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,15 @@ from pyspark.sql import types as T
 
 from listingflow.functions.lineage import cut
 from listingflow.operators.graph import connected_components
+from listingflow.sources.sinks import SCHEMA_COLUMNS
 
 # Tolerances, and the hash's start and factor.
 AREA_TOLERANCE, PRICE_TOLERANCE, MAX_DISTANCE, MIN_CHARS = 1.0, 0.03, 3, 200
 HASH_START, HASH_FACTOR = 1469598103934665603, 1099511628211
 _WORD = re.compile(r"[0-9a-ząćęłńóśźż]+")
-FIELDS = ("price", "area_m2", "rooms", "floor", "street", "district", "phone_e164", "description")
+#: Listings' columns that do not count as facts about the flat.
+_NOT_RICH = {"id", "source", "source_id", "url", "deal_type", "city", "title", "content_hash", "seller_type", "agency_score", "dedup_group", "first_seen_at", "last_seen_at", "is_active"}
+FIELDS = tuple(c for c in SCHEMA_COLUMNS if c not in _NOT_RICH)
 
 
 def shingles(text: Column) -> Column:
@@ -28,21 +32,42 @@ def shingles(text: Column) -> Column:
     return F.concat(words, F.coalesce(pairs, F.array().cast("array<string>")))
 
 
-@lru_cache(maxsize=200_000)
-def _token_bits(token: str) -> np.ndarray:
-    h = HASH_START
-    for byte in token.encode():
-        h = ((h ^ byte) * HASH_FACTOR) & 0xFFFFFFFFFFFFFFFF
-    return np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little").astype(np.int32)
+def _append(state: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """The hash states after each word's bytes, all words together.
 
-
-def _simhash(text: str | None) -> int | None:
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return None
-    tokens = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-    ones = np.sum([_token_bits(t) for t in tokens], axis=0)
-    return int(np.packbits(2 * ones > len(tokens), bitorder="little").view("<i8")[0])
+    Byte by byte over the words that still have one; longest first, so that
+    they are a shrinking front. Products wrap at 64 bits.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(-sizes, kind="stable")
+    data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    out, starts, left = state[order].copy(), starts[order], sizes[order]
+    live = len(words)
+    for k in range(int(left[0]) if live else 0):
+        live = int(np.searchsorted(-left[:live], -k, side="left"))  # those longer than k
+        out[:live] = (out[:live] ^ data[starts[:live] + k]) * np.uint64(HASH_FACTOR)
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _simhashes(texts: list[str | None]) -> list[int | None]:
+    """Fingerprints of some texts, hashing each distinct word and pair once."""
+    cut = [_WORD.findall((t or "").lower()) for t in texts]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
+    words = [w.encode() for w in vocabulary]
+    single = _append(np.full(len(words), HASH_START, np.uint64), words)
+    spaced = _append(single, [b" "] * len(words))  # the state of a pair after its first word
+    at = [np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)) for ws in cut]
+    keys = [x[:-1] << 32 | x[1:] for x in at]
+    pairs, place = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_inverse=True)
+    double = _append(spaced[pairs >> 32], [words[i] for i in (pairs & 0xFFFFFFFF).tolist()])
+    out, ends = [], np.cumsum([len(k) for k in keys])
+    for x, k, end in zip(at, keys, ends, strict=True):
+        h = np.concatenate([single[x], double[place[end - len(k) : end]]])
+        ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]) if len(h) else None)
+    return out
 
 
 @F.pandas_udf(T.LongType())
@@ -50,7 +75,8 @@ def simhash64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit fingerprint as a signed number, null without words. 64-bit wrapping
     products overflow in ANSI SQL, so this one step is vectorised Python."""
     for s in batches:
-        yield pd.Series([_simhash(x) for x in s], dtype="Int64")
+        slices = (s.iloc[i : i + 200].tolist() for i in range(0, len(s), 200))
+        yield pd.Series([h for texts in slices for h in _simhashes(texts)], dtype="Int64")
 
 
 def content_hash(text: Column) -> Column:
@@ -65,18 +91,20 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(bits(a).bitwiseXOR(bits(b)))
 
 
-def _pairs(df: DataFrame, keys: list[str], extra: Column) -> DataFrame:
+def _pairs(df: DataFrame, keys: list[str], extra: Column, later: Column | None = None) -> DataFrame:
     """(a, b) with a < b of equal keys and near areas and prices.
 
-    One side enters its area bucket, the other the bucket and both neighbours,
-    so a hot phone or street is cut by area and meets no row twice.
+    One side enters its buckets of area and of the price's logarithm, the other
+    both and their neighbours, so a hot phone or street is cut into small parts
+    and meets no row twice. later keeps only pairs whose b fulfils it.
     """
     rows = df.where(" and ".join(f"{k} is not null" for k in keys) + " and area_m2 is not null and price is not null")
-    bucket = F.floor(F.col("area_m2") / AREA_TOLERANCE)
+    area, level = F.floor(F.col("area_m2") / AREA_TOLERANCE), F.floor(F.log(F.greatest("price", F.lit(1))) / (-math.log(1 - PRICE_TOLERANCE) * (1 + 1e-9)))
+    around = lambda c: F.array(c - 1, c, c + 1)
     cols = ["id", "city", "phone_e164", "area_m2", "price", *[k for k in keys if k not in ("phone_e164",)]]
-    left = rows.select(*cols, bucket.alias("bucket")).alias("x")
-    right = rows.select(*cols, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).alias("y")
-    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*keys, "bucket"]]
+    left = rows.select(*cols, area.alias("area"), level.alias("level")).alias("x")
+    right = (rows if later is None else rows.where(later)).select(*cols, F.explode(around(area)).alias("area"), level.alias("at")).select("*", F.explode(around(F.col("at"))).alias("level")).alias("y")
+    on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*keys, "area", "level"]]
     near = (F.abs(F.col("x.area_m2") - F.col("y.area_m2")) <= AREA_TOLERANCE) & (F.abs(F.col("x.price") - F.col("y.price")) <= PRICE_TOLERANCE * F.greatest("x.price", "y.price"))
     return left.join(right, on).where((F.col("x.id") < F.col("y.id")) & near & _same_city() & extra).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
@@ -85,38 +113,59 @@ def _same_city() -> Column:
     return F.coalesce(F.col("x.city") == F.col("y.city"), F.lit(True))
 
 
-def phone_pairs(df: DataFrame) -> DataFrame:
-    return _pairs(df, ["deal_type", "phone_e164"], F.lit(True))
+def phone_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
+    return _pairs(df, ["deal_type", "phone_e164"], F.lit(True), later)
 
 
-def street_pairs(df: DataFrame) -> DataFrame:
+def street_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
     """Same street, unless both have a phone (then phones decide)."""
     rows = df.withColumn("street_key", F.nullif(F.lower(F.trim("street")), F.lit("")))
-    return _pairs(rows, ["deal_type", "street_key"], F.col("x.phone_e164").isNull() | F.col("y.phone_e164").isNull())
+    return _pairs(rows, ["deal_type", "street_key"], F.col("x.phone_e164").isNull() | F.col("y.phone_e164").isNull(), later)
 
 
-def simhash_pairs(df: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b) with fingerprints (column fp, signed) at most 3 bits apart.
+def _near_prints(kinds: DataFrame, max_distance: int) -> DataFrame:
+    """(deal_type, fp, other) of distinct fingerprints that are near, both ways
+    and each with itself.
 
-    At most three bits differ, so of four 16-bit bands one is equal. Equal
-    fingerprints meet once as a class: each band joins distinct fingerprints.
+    If at most d bits differ, d + 3 blocks have three that are equal: a key is
+    three whole blocks, about 32 bits, and few fingerprints share one by chance.
+    """
+    n = max_distance + 3
+    at = [64 * i // n for i in range(n + 1)]
+    blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(at, at[1:], strict=False)]
+    keys = F.array(*(F.xxhash64(F.lit(i), *(blocks[k] for k in c)) for i, c in enumerate(itertools.combinations(range(n), 3))))
+    slots = kinds.select("deal_type", "fp", F.explode(keys).alias("key"))
+    met = slots.alias("x").join(slots.alias("y"), ["deal_type", "key"]).where(f"x.fp <= y.fp and bit_count(x.fp ^ y.fp) <= {max_distance}")
+    ways = F.array(F.struct(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other")), F.struct(F.col("y.fp").alias("fp"), F.col("x.fp").alias("other")))
+    return met.select("deal_type", F.explode(ways).alias("w")).select("deal_type", "w.fp", "w.other").distinct()
+
+
+def simhash_links(df: DataFrame, max_distance: int = MAX_DISTANCE, later: Column | None = None) -> DataFrame:
+    """(a, b), a < b: each listing b with the least listing a of every class of
+    one city (or none) and one fingerprint (column fp, signed) that is near.
+
+    A class of copies has a link for each member, not for each pair; the least
+    match of every listing is among its links, and what is connected stays so.
     """
-    rows = df.where("fp is not null").select("id", "deal_type", "city", "fp")
-    kinds = rows.select("deal_type", "fp").distinct()
-    bands = kinds.select("deal_type", "fp", F.posexplode(F.array(*[F.shiftright("fp", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("no", "band"))
-    x, y = bands.alias("x"), bands.alias("y")
-    near = x.join(y, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("deal_type", "no", "band")])
-    near = near.where(F.col("x.fp") <= F.col("y.fp")).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_distance)
-    classes = near.select(F.col("x.deal_type").alias("deal_type"), F.col("x.fp").alias("fx"), F.col("y.fp").alias("fy")).distinct()
-    p = classes.join(rows.alias("x"), (F.col("x.fp") == F.col("fx")) & (F.col("x.deal_type") == classes["deal_type"])).join(rows.alias("y"), (F.col("y.fp") == F.col("fy")) & (F.col("y.deal_type") == classes["deal_type"]))
-    p = p.where((F.col("x.id") != F.col("y.id")) & _same_city())
-    return p.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-
-
-def same_object_pairs(df: DataFrame) -> DataFrame:
-    """All pairs of active listings that are one flat by phone, street or text."""
+    rows = df.where("fp is not null")
+    homes = cut(rows.groupBy("deal_type", "fp", "city").agg(F.min("id").alias("a")))
+    near = _near_prints(homes.select("deal_type", "fp").distinct(), max_distance)
+    to = cut(near.join(homes.select("deal_type", F.col("fp").alias("other"), F.col("city").alias("there"), "a"), ["deal_type", "other"]).select("deal_type", "fp", "there", "a"))
+    mine = (rows if later is None else rows.where(later)).select("deal_type", "fp", "city", F.col("id").alias("b"))
+    here = F.coalesce(F.col("there") == F.col("city"), F.lit(True))
+    return mine.join(to, ["deal_type", "fp"]).where((F.col("a") < F.col("b")) & here).select("a", "b").distinct()
+
+
+def same_object_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
+    """Links of active listings that are one flat by phone, street or text (for
+    texts with the least of each class of copies only)."""
     rows = df.where("is_active")
-    return phone_pairs(rows).unionByName(street_pairs(rows)).unionByName(simhash_pairs(rows)).distinct()
+    return phone_pairs(rows, later).unionByName(street_pairs(rows, later)).unionByName(simhash_links(rows, later=later)).distinct()
+
+
+def with_fingerprint(df: DataFrame) -> DataFrame:
+    """What grouping needs of listings, and fp, once computed: no texts."""
+    return cut(df.select("id", "deal_type", "city", "phone_e164", "street", "area_m2", "price", "is_active", F.conv(content_hash(F.col("description")), 16, -10).cast("long").alias("fp")))
 
 
 def assign_groups(df: DataFrame, mode: str = "first_match", pairs: DataFrame | None = None) -> DataFrame:

@@ -20,11 +20,10 @@ def latest_listings(listings: DataFrame, limit: int = 20, private_only: bool = F
 def in_scope(df: DataFrame, cities: tuple[str, ...], districts: tuple[str, ...] = ()) -> DataFrame:
     """Listings of these cities and districts; an unknown place passes."""
     from listingflow.functions.normalize import fold
-    from listingflow.operators.classify import _plain
 
-    out = df.where(F.col("city").isNull() | fold(F.col("city")).isin([_plain(c) for c in cities]))
+    out = df.where(F.col("city").isNull() | fold(F.col("city")).isin([fold(F.lit(c)) for c in cities]))
     if districts:
-        out = out.where(F.col("district").isNull() | fold(F.col("district")).isin([_plain(d) for d in districts]))
+        out = out.where(F.col("district").isNull() | fold(F.col("district")).isin([fold(F.lit(d)) for d in districts]))
     return out
 
 
@@ -113,13 +112,13 @@ def opener_breakdown(call_log: DataFrame, days: int, as_of: Column) -> DataFrame
 
 def calendar(meetings: DataFrame, leads: DataFrame, contacts: DataFrame, listings: DataFrame, start: Column, end: Column, as_of: Column) -> DataFrame:
     """Meetings and callbacks from start to before end, in order of time."""
-    people = contacts.select(F.col("id").alias("contact_id"), F.coalesce("name", F.lit("właściciel")).alias("name"))
+    people = contacts.select(F.col("id").alias("contact_id"), F.coalesce("name", F.lit("właściciel")).alias("name"), F.col("phone_e164").alias("phone"))
     own = leads.select(F.col("id").alias("lead_id"), "contact_id", "listing_id", "status", "next_step", "next_step_at")
-    met = meetings.where((F.col("starts_at") >= start) & (F.col("starts_at") < end)).withColumnRenamed("id", "entry_id").join(own.select("lead_id", "contact_id"), "lead_id").join(people, "contact_id")
-    met = met.select(F.lit("meeting").alias("kind"), "entry_id", "lead_id", "name", F.col("starts_at").alias("at"), "address", "note", "outcome")
-    homes = listings.select(F.col("id").alias("listing_id"), address_from_listing(F.col("street"), F.col("district"), F.col("city")).alias("address"))
+    met = meetings.where((F.col("starts_at") >= start) & (F.col("starts_at") < end)).withColumnRenamed("id", "entry_id").join(own.select("lead_id", "contact_id", "listing_id"), "lead_id").join(people, "contact_id")
+    homes = listings.select(F.col("id").alias("listing_id"), F.col("url").alias("listing_url"), "price", address_from_listing(F.col("street"), F.col("district"), F.col("city")).alias("home"))
+    met = met.join(homes, "listing_id", "left").select(F.lit("meeting").alias("kind"), "entry_id", "lead_id", "name", "phone", F.col("starts_at").alias("at"), "address", "note", "listing_url", "price", "outcome")
     back = own.where((F.col("status") == "callback") & (F.col("next_step_at") >= start) & (F.col("next_step_at") < end)).join(people, "contact_id").join(homes, "listing_id", "left")
-    back = back.select(F.lit("callback").alias("kind"), F.col("lead_id").alias("entry_id"), "lead_id", "name", F.col("next_step_at").alias("at"), "address", F.col("next_step").alias("note"), F.lit(None).cast("string").alias("outcome"))
+    back = back.select(F.lit("callback").alias("kind"), F.col("lead_id").alias("entry_id"), "lead_id", "name", "phone", F.col("next_step_at").alias("at"), F.col("home").alias("address"), F.col("next_step").alias("note"), "listing_url", "price", F.lit(None).cast("string").alias("outcome"))
     return met.unionByName(back).withColumn("past", F.col("at") < as_of).orderBy("at", "kind", "entry_id")
 
 

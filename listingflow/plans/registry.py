@@ -93,12 +93,16 @@ def phone_context(listings):
 
 
 _HITS = "(" + " + ".join(f"CAST(t.f LIKE '%{w}%' AS INT)" for w in ("the", "and", "fur", "pour")) + ")"
-_POSITIONS = "(" + " + ".join(
-    "CAST(EXISTS (SELECT 1 FROM generate_series(1, length(t.f)) g(p) WHERE substr(t.f, p, {n}) = '{w}' AND NOT (".format(n=len(w), w=w)
-    + " OR ".join(f"substr(t.f, greatest(1, CAST(p AS INT) - 14), least(14, CAST(p AS INT) - 1)) LIKE '%{x}%'" for x in NOT_WORDS)
-    + ")) AS INT)"
-    for w in ("the", "and", "fur", "pour")
-) + ")"
+
+
+def _free_hits(words: tuple[str, ...]) -> str:
+    """SQL for how many words occur in t.f without a negation before them."""
+    negated = " OR ".join(f"substr(t.f, greatest(1, CAST(p AS INT) - 14), least(14, CAST(p AS INT) - 1)) LIKE '%{x}%'" for x in NOT_WORDS)
+    one = "CAST(EXISTS (SELECT 1 FROM generate_series(1, length(t.f)) g(p) WHERE substr(t.f, p, {n}) = '{w}' AND NOT ({x})) AS INT)"
+    return "(" + " + ".join(one.format(n=len(w), w=w, x=negated) for w in words) + ")"
+
+
+_POSITIONS = _free_hits(("the", "and", "fur", "pour"))
 _FOLDED = "(SELECT id, trim(lower(strip_accents(replace(replace(description, 'ł', 'l'), 'Ł', 'L')))) AS f, description AS d FROM v_listings WHERE description IS NOT NULL) t"
 _MARKS = " + ".join(f"(length(t.d) - length(replace(t.d, {m}, ''))) / length({m})" for m in ("'•'", "'▪'", "'★'", "'✔'", "'- '", "'–'", "chr(10) || chr(10)"))
 
@@ -109,15 +113,32 @@ def keyword_hits(listings):
     return listings.where("description is not null").select("id", cl.keyword_hits(f, WORDS).alias("hits"), cl.keyword_hits_not_negated(f, WORDS, NOT_WORDS).alias("free_hits"), cl.looks_like_brochure(F.col("description")).alias("brochure"))
 
 
-_SCORE = f"""WITH c AS ({_CONTEXT}), s AS (SELECT l.id, round(greatest(0.0, least(1.0, 0.35::DOUBLE + CASE l.seller_label WHEN 'firma' THEN 0.55::DOUBLE WHEN 'osoba prywatna' THEN -0.45::DOUBLE ELSE 0 END
- + CASE WHEN c.active_listings >= 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN c.districts > 2 THEN 0.3::DOUBLE ELSE 0 END)), 3) AS agency_score FROM v_listings l LEFT JOIN c USING (phone_e164))
+#: The scoring of the test: words of the corpus in place of the real ones.
+_CFG = cl.Scoring(keywords_agency=("the", "and"), keywords_private=("für", "pour"), negations=NOT_WORDS)
+_SCORE = f"""WITH c AS ({_CONTEXT}),
+ t AS (SELECT id, trim(lower(strip_accents(replace(replace(concat_ws(' ', title, description), 'ł', 'l'), 'Ł', 'L')))) AS f, description AS d FROM v_listings),
+ h AS (SELECT id, {_free_hits(("the", "and"))} AS agency, CAST(t.f LIKE '%fur%' AS INT) + CAST(t.f LIKE '%pour%' AS INT) AS private, coalesce(length(t.d) >= 1500 AND {_MARKS} >= 3, false) AS brochure FROM t),
+ s AS (SELECT l.id, round(greatest(0.0, least(1.0, 0.35::DOUBLE + CASE l.seller_label WHEN 'firma' THEN 0.55::DOUBLE WHEN 'osoba prywatna' THEN -0.45::DOUBLE ELSE 0 END
+ + least(h.agency * 0.15::DOUBLE, 0.45) + greatest(h.private * -0.2::DOUBLE, -0.4)
+ + CASE WHEN c.active_listings >= 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN c.districts > 2 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN h.brochure THEN 0.15::DOUBLE ELSE 0 END)), 3) AS agency_score
+ FROM v_listings l JOIN h USING (id) LEFT JOIN c USING (phone_e164))
  SELECT id, agency_score, CASE WHEN agency_score >= 0.6 THEN 'agency' WHEN agency_score <= 0.3 THEN 'private' ELSE 'unknown' END AS seller_type FROM s"""
 
 
 @query("v_listings", sql=_SCORE)
 def classify_listings(listings):
-    rows = cl.classify_listings(listings.drop("seller_type").withColumn("description", F.lit(None).cast("string")), listings)
-    return rows.select("id", "agency_score", "seller_type")
+    return cl.classify_listings(listings.drop("seller_type"), listings, _CFG).select("id", "agency_score", "seller_type")
+
+
+_OTHERS = "(SELECT count(*) FROM v_listings o WHERE o.phone_e164 = l.phone_e164 AND o.is_active AND o.id <> l.id)"
+_OTHER_DISTRICTS = "(SELECT count(DISTINCT o.district) FROM v_listings o WHERE o.phone_e164 = l.phone_e164 AND o.is_active AND o.id <> l.id)"
+
+
+@query("v_listings", sql=f"SELECT id, round(greatest(0.0, least(1.0, 0.35::DOUBLE + CASE WHEN {_OTHERS} >= 3 THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN {_OTHER_DISTRICTS} > 2 THEN 0.3::DOUBLE ELSE 0 END)), 3) AS agency_score FROM v_listings l WHERE phone_e164 IS NOT NULL")
+def classify_without_self(listings):
+    """Phones alone decide here; a listing is not in its own context."""
+    bare = listings.where("phone_e164 is not null").withColumns({c: F.lit(None).cast("string") for c in ("description", "seller_label")}).drop("seller_type")
+    return cl.classify_listings(bare, listings, include_self=False).select("id", "agency_score")
 
 
 _SHINGLES = "SELECT doc_id, CAST(CASE WHEN len(w) > 0 THEN 2 * len(w) - 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-ząćęłńóśźż]+') AS w FROM documents)"
@@ -150,6 +171,13 @@ _docs(
  SELECT d.doc_id, CASE WHEN f.v IS NOT NULL THEN lpad(lower(to_hex(CAST(f.v AS UBIGINT))), 16, '0') END AS content_hash FROM documents d LEFT JOIN f USING (doc_id)""",
 )
 
+@query("v_listings", sql="SELECT id, CAST(bit_count(xor(id * 2654435761, coalesce(price, 0) * 40503)) AS INT) AS bits FROM v_listings")
+def hamming(listings):
+    """Distances of two hexadecimal numbers made of a listing's id and price."""
+    a, b = F.col("id") * 2654435761, F.coalesce("price", F.lit(0)) * 40503
+    return listings.select("id", dd.hamming(F.lower(F.hex(a)), F.lpad(F.hex(b), 16, "0")).alias("bits"))
+
+
 _NEAR = "x.id < y.id AND x.deal_type = y.deal_type AND x.is_active AND y.is_active AND coalesce(x.city = y.city, true) AND abs(x.area_m2 - y.area_m2) <= 1.0 AND abs(x.price - y.price) <= 0.03::DOUBLE * greatest(x.price, y.price)"
 _PHONE_PAIRS = f"SELECT x.id AS a, y.id AS b FROM v_listings x JOIN v_listings y ON x.phone_e164 = y.phone_e164 WHERE {_NEAR}"
 _STREET_PAIRS = f"SELECT x.id AS a, y.id AS b FROM v_listings x JOIN v_listings y ON lower(trim(x.street)) = lower(trim(y.street)) WHERE (x.phone_e164 IS NULL OR y.phone_e164 IS NULL) AND {_NEAR}"
@@ -165,18 +193,16 @@ def street_pairs(listings):
     return dd.street_pairs(listings.where("is_active"))
 
 
-def _with_fp(listings: DataFrame) -> DataFrame:
-    return listings.withColumn("fp", F.conv(dd.content_hash(F.col("description")), 16, -10).cast("long"))
-
-
+#: Pairs of fingerprints of equal deal types, at most three bits apart.
 @query("v_listings")
 def simhash_pairs(listings):
-    return dd.simhash_pairs(_with_fp(listings.where("is_active")))
+    """Each listing with the least listing of every near class of copies."""
+    return dd.simhash_links(dd.with_fingerprint(listings.where("is_active")))
 
 
 @query("v_listings")
 def same_object_groups(listings):
-    return dd.assign_groups(_with_fp(listings))
+    return dd.assign_groups(dd.with_fingerprint(listings))
 
 
 _FIRST = f"""WITH RECURSIVE p AS ({_PHONE_PAIRS} UNION {_STREET_PAIRS}), up AS (SELECT b AS id, min(a) AS up FROM p GROUP BY b),
@@ -198,24 +224,30 @@ def pick_primary(listings):
 
 
 def _halves(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A stored half and a batch that partly updates it with other values."""
+    """A stored half, and a batch of all else that also updates a third of it."""
     full = listings.withColumns({"content_hash": F.lit(None).cast("string"), "agency_score": F.lit(0.5)})
-    return full.where("id % 2 = 0"), full.where("id % 3 = 0").withColumns({"price": F.when(F.col("id") % 4 != 0, F.col("price") + 1), "url": F.when(F.col("id") % 5 != 0, F.lit("new"))})
+    return full.where("id % 2 = 0"), full.where("id % 2 <> 0 or id % 3 = 0").withColumns({"price": F.when(F.col("id") % 4 != 0, F.col("price") + 1), "url": F.when(F.col("id") % 5 != 0, F.lit("new"))})
 
 
-_MERGED = """SELECT coalesce(b.source, s.source) AS source, coalesce(b.source_id, s.source_id) AS source_id, {} AS url, coalesce(b.price, s.price) AS price, s.id IS NULL AS is_new
- FROM (SELECT * FROM v_listings WHERE id % 2 = 0) s FULL OUTER JOIN (SELECT id, source, source_id, CASE WHEN id % 4 <> 0 THEN price + 1 END AS price, CASE WHEN id % 5 <> 0 THEN 'new' END AS url FROM v_listings WHERE id % 3 = 0) b
+_SAME = ", ".join(f"coalesce(b.{c}, s.{c}) AS {c}" for c in ("source", "source_id", "city", "district", "street", "price", "area_m2", "rooms", "floor", "title", "description", "phone_e164", "dedup_group", "seller_type", "last_seen_at", "is_active", "first_seen_at", "deal_type"))
+_MERGED = f"""SELECT s.id AS stored_id, {_SAME}, {{}} AS url, s.id IS NULL AS is_new, s.id IS NOT NULL AND b.id IS NOT NULL AS is_updated
+ FROM (SELECT * FROM v_listings WHERE id % 2 = 0) s FULL OUTER JOIN (SELECT * REPLACE (CASE WHEN id % 4 <> 0 THEN price + 1 END AS price, CASE WHEN id % 5 <> 0 THEN 'new' END AS url, {{}} AS is_active) FROM v_listings WHERE id % 2 <> 0 OR id % 3 = 0) b
  ON s.source = b.source AND s.source_id = b.source_id"""
+_MERGED_COLUMNS = ["source", "source_id", "city", "district", "street", "price", "area_m2", "rooms", "floor", "title", "description", "phone_e164", "dedup_group", "seller_type", "last_seen_at", "is_active", "first_seen_at", "deal_type", "url", "is_new", "is_updated"]
+
 
+def _all_of(merged: DataFrame) -> DataFrame:
+    return merged.select(F.when(~F.col("is_new"), F.col("id")).alias("stored_id"), *_MERGED_COLUMNS)
 
-@query("v_listings", sql=_MERGED.format("coalesce(b.url, s.url)"))
+
+@query("v_listings", sql=_MERGED.format("coalesce(b.url, s.url)", "true"))
 def merge_listings(listings):
-    return mg.merge_listings(*_halves(listings)).select("source", "source_id", "url", "price", "is_new")
+    return _all_of(mg.merge_listings(*_halves(listings)))
 
 
-@query("v_listings", sql=_MERGED.format("CASE WHEN b.id IS NOT NULL THEN b.url ELSE s.url END"))
+@query("v_listings", sql=_MERGED.format("CASE WHEN b.id IS NOT NULL THEN b.url ELSE s.url END", "is_active"))
 def merge_ingest(listings):
-    return mg.merge_ingest(*_halves(listings)).select("source", "source_id", "url", "price", "is_new")
+    return _all_of(mg.merge_ingest(*_halves(listings)))
 
 
 _ELIGIBLE = "phone_e164 IS NOT NULL AND seller_type <> 'agency' AND is_active"
@@ -231,7 +263,15 @@ def ensure_leads(leads, contacts, listings):
     return mg.ensure_leads(leads, contacts, listings, now()).select("contact_id", "listing_id")
 
 
-@query("v_listings", "v_contacts", "v_leads", sql="SELECT (SELECT count(*) FROM v_listings WHERE id % 3 = 0 AND id % 2 <> 0) AS inserted, (SELECT count(*) FROM v_listings WHERE id % 6 = 0) AS updated")
+#: The batch's rows that pass, and those of them that make a lead: a stored
+#: listing (id % 2 = 0) may have its lead already, a new one has none.
+_PASSED = "(SELECT * FROM v_listings WHERE (id % 2 <> 0 OR id % 3 = 0) AND coalesce(length(description), 0) <= 20000)"
+_INGEST = f"""SELECT count(*) FILTER (id % 2 <> 0) AS inserted, count(*) FILTER (id % 2 = 0) AS updated, count(*) AS received,
+ (SELECT count(*) FROM {_PASSED} b LEFT JOIN v_contacts c USING (phone_e164) WHERE {_ELIGIBLE.replace("phone_e164", "b.phone_e164")} AND NOT coalesce(c.do_not_call, false)
+  AND NOT (b.id % 2 = 0 AND EXISTS (SELECT 1 FROM v_leads x WHERE x.contact_id = c.id AND x.listing_id = b.id))) AS leads_created FROM {_PASSED}"""
+
+
+@query("v_listings", "v_contacts", "v_leads", sql=_INGEST)
 def ingest(listings, contacts, leads):
     stored, batch = _halves(listings)
     return mg.ingest(stored, contacts, leads, batch.withColumn("url", F.lit("u")), now())["counts"]
@@ -256,9 +296,25 @@ def consecutive_empty_scans(log):
     return sl.consecutive_empty_scans(log, 5)
 
 
-@query("v_raw_listings", "v_listings", "v_scan_log", sql="SELECT source, count(*) AS found, count(*) FILTER (id % 3 = 0 AND id % 2 <> 0) AS new FROM v_listings GROUP BY source")
+_RUNS = "SELECT source, CAST(count(*) % 100 AS INT) AS pages, max_by(status, id) AS status, 'as the log says' AS detail FROM v_scan_log WHERE source <> 'gratka' GROUP BY source"
+_SUMMARY = f"""SELECT f.source, f.found, f.new, coalesce(r.pages, 0) AS pages, coalesce(r.status, 'ok') AS status, CASE WHEN r.status <> 'ok' THEN r.detail END AS detail
+ FROM (SELECT source, count(*) AS found, count(*) FILTER (id % 2 <> 0) AS new FROM v_listings GROUP BY source) f LEFT JOIN ({_RUNS}) r USING (source)"""
+
+
+def _summary(raw, listings, log):
+    runs = log.where("source <> 'gratka'").groupBy("source").agg((F.count(F.lit(1)) % 100).cast("int").alias("pages"), F.max_by("status", "id").alias("status"), F.lit("as the log says").alias("detail"))
+    return sl.scan_summary(raw, mg.merge_listings(*_halves(listings)), log, runs)
+
+
+@query("v_raw_listings", "v_listings", "v_scan_log", sql=_SUMMARY)
 def scan_summary(raw, listings, log):
-    return sl.scan_summary(raw, mg.merge_listings(*_halves(listings)), log).select("source", "found", "new")
+    return _summary(raw, listings, log)
+
+
+@query("v_raw_listings", "v_listings", "v_scan_log", sql=f"""SELECT id, source, started_at, status, found, NULL::INT AS pages, NULL::INT AS new, NULL AS detail FROM v_scan_log
+ UNION ALL SELECT (SELECT max(id) FROM v_scan_log) + row_number() OVER (ORDER BY source), source, {AS_OF}, status, CAST(found AS INT), pages, CAST(new AS INT), detail FROM ({_SUMMARY})""")
+def append_scan_log(raw, listings, log):
+    return sl.append_scan_log(log, _summary(raw, listings, log), now(), now()).select("id", "source", "started_at", "status", "found", "pages", "new", "detail")
 
 
 _PRIMARY = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(dedup_group, 'id:' || CAST(id AS VARCHAR)) ORDER BY first_seen_at, CAST(price IS NOT NULL AS INT) + CAST(area_m2 IS NOT NULL AS INT) + CAST(rooms IS NOT NULL AS INT) + CAST(street IS NOT NULL AS INT) DESC, id) AS n FROM v_listings WHERE is_active AND seller_type <> 'agency' AND phone_e164 IS NOT NULL) WHERE n = 1"
@@ -329,8 +385,8 @@ def opener_breakdown(calls):
     return ld.opener_breakdown(calls, 20, now())
 
 
-_CALENDAR = f"""SELECT *, "at" < {AS_OF} AS past FROM (SELECT 'meeting' AS kind, m.id AS entry_id, m.lead_id, coalesce(c.name, 'właściciel') AS name, m.starts_at AS "at", m.address, m.note, m.outcome FROM v_meetings m JOIN v_leads l ON l.id = m.lead_id JOIN v_contacts c ON c.id = l.contact_id
- UNION ALL SELECT 'callback', l.id, l.id, coalesce(c.name, 'właściciel'), l.next_step_at, nullif(concat_ws(', ', h.street, h.district, h.city), ''), l.next_step, NULL FROM v_leads l JOIN v_contacts c ON c.id = l.contact_id LEFT JOIN v_listings h ON h.id = l.listing_id WHERE l.status = 'callback')
+_CALENDAR = f"""SELECT *, "at" < {AS_OF} AS past FROM (SELECT 'meeting' AS kind, m.id AS entry_id, m.lead_id, coalesce(c.name, 'właściciel') AS name, c.phone_e164 AS phone, m.starts_at AS "at", m.address, m.note, h.url AS listing_url, h.price, m.outcome FROM v_meetings m JOIN v_leads l ON l.id = m.lead_id JOIN v_contacts c ON c.id = l.contact_id LEFT JOIN v_listings h ON h.id = l.listing_id
+ UNION ALL SELECT 'callback', l.id, l.id, coalesce(c.name, 'właściciel'), c.phone_e164, l.next_step_at, nullif(concat_ws(', ', h.street, h.district, h.city), ''), l.next_step, h.url, h.price, NULL FROM v_leads l JOIN v_contacts c ON c.id = l.contact_id LEFT JOIN v_listings h ON h.id = l.listing_id WHERE l.status = 'callback')
  WHERE "at" >= TIMESTAMP '2024-01-24 00:00:00' AND "at" < TIMESTAMP '2024-03-31 00:00:00'"""
 
 
@@ -374,14 +430,16 @@ def rejected_events(events):
     return ev.split_invalid(events)[1].select("seq", "rejected_because")
 
 
-@query("v_contacts", "v_leads", "v_lead_events", sql="SELECT c.id, c.do_not_call OR count(e.seq) > 0 AS do_not_call, min(e.at) AS do_not_call_at FROM v_contacts c LEFT JOIN v_leads l ON l.contact_id = c.id LEFT JOIN v_lead_events e ON e.lead_id = l.id AND e.kind = 'do_not_call' GROUP BY c.id, c.do_not_call")
+@query("v_contacts", "v_leads", "v_lead_events", sql=f"""SELECT c.id, c.phone_e164, c.name, c.do_not_call OR count(e.seq) > 0 AS do_not_call, coalesce(max_by(e.at, e.seq), CASE WHEN c.id % 3 = 0 THEN {AS_OF} END) AS do_not_call_at,
+ coalesce(max_by(e.note, e.seq) FILTER (e.note IS NOT NULL), 'own note') AS note FROM v_contacts c LEFT JOIN v_leads l ON l.contact_id = c.id LEFT JOIN v_lead_events e ON e.lead_id = l.id AND e.kind = 'do_not_call' GROUP BY c.id, c.phone_e164, c.name, c.do_not_call""")
 def replay_contacts(contacts, leads, events):
-    return ev.replay_contacts(contacts, leads, events).select("id", "do_not_call", "do_not_call_at")
+    full = contacts.withColumns({"do_not_call_at": F.when(F.col("id") % 3 == 0, now()), "note": F.lit("own note")})
+    return ev.replay_contacts(full, leads, events)
 
 
-@query("v_meetings", "v_lead_events", sql="SELECT id, lead_id, starts_at FROM v_meetings UNION ALL SELECT seq, lead_id, next_step_at FROM v_lead_events WHERE kind = 'meeting_booked'")
+@query("v_meetings", "v_lead_events", sql="SELECT id, lead_id, starts_at, address, note, outcome, NULL AS outcome_note FROM v_meetings UNION ALL SELECT seq, lead_id, next_step_at, address, note, NULL, NULL FROM v_lead_events WHERE kind = 'meeting_booked'")
 def replay_meetings(meetings, events):
-    return ev.replay_meetings(meetings, events).select("id", "lead_id", "starts_at")
+    return ev.replay_meetings(meetings, events)
 
 
 @query("v_meetings", "v_meeting_closes", sql="SELECT m.id, m.lead_id, m.starts_at, m.address, CASE WHEN c.meeting_id IS NULL THEN m.outcome ELSE c.outcome END AS outcome, c.note AS outcome_note FROM v_meetings m LEFT JOIN (SELECT meeting_id, max_by(outcome, seq) AS outcome, max_by(note, seq) AS note FROM v_meeting_closes GROUP BY meeting_id) c ON c.meeting_id = m.id")
@@ -418,12 +476,17 @@ def first_seen_per_source_id(log):
     return portals.first_seen_per_source_id(log.withColumn("source_id", F.col("found").cast("string")), "id").select("source", "source_id", "id")
 
 
-@query("v_listings", sql="SELECT source, source_id, price, is_active FROM v_listings WHERE is_active AND last_seen_at >= TIMESTAMP '2024-01-20 00:00:00'")
+@query("v_listings", sql="SELECT * EXCLUDE (id, seller_label) FROM v_listings WHERE is_active AND last_seen_at >= TIMESTAMP '2024-01-20 00:00:00'")
 def pending_listings(listings):
-    return sinks.pending_listings(listings, F.expr("timestamp'2024-01-20 00:00:00'")).select("source", "source_id", "price", "is_active")
+    return sinks.pending_listings(listings, F.expr("timestamp'2024-01-20 00:00:00'"))
+
+
+@query("v_listings", sql="SELECT * EXCLUDE (id, seller_label) FROM v_listings WHERE is_active AND last_seen_at >= TIMESTAMP '2024-01-20 00:00:00' ORDER BY id LIMIT 500")
+def first_pending_listings(listings):
+    return sinks.pending_listings(listings, F.expr("timestamp'2024-01-20 00:00:00'"), 500)
 
 
-@query("v_listings", sql="SELECT source_id, CASE WHEN id % 3 = 0 THEN 'price is no number' WHEN id % 5 = 0 THEN 'url is missing' END AS reason FROM v_listings WHERE id % 3 = 0 OR id % 5 = 0")
+@query("v_listings", sql="SELECT source_id, CASE WHEN id % 5 = 0 AND id % 3 <> 0 THEN 'url is missing' WHEN length(description) > 20000 THEN 'description is too long' ELSE 'price is no number' END AS reason FROM v_listings WHERE id % 3 = 0 OR id % 5 = 0 OR length(description) > 20000")
 def validate_ingest(listings):
     batch = listings.withColumns({"price": F.when(F.col("id") % 3 == 0, "much").otherwise(F.col("price").cast("string")), "url": F.when((F.col("id") % 5 == 0) & (F.col("id") % 3 != 0), " ").otherwise(F.col("url"))})
     return sinks.validate_ingest(batch, now())[1].select("source_id", F.col("reasons")[0].alias("reason"))
@@ -435,24 +498,95 @@ def scan_job(raw, listings):
     return scan(raw, stored, ("Gdańsk", "Sopot", "Gdynia")).select("source", "source_id", "price", "seller_type", "agency_score", "is_new", "dedup_group")
 
 
-def _pages(f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    if sql:
-        ORACLES[f.__name__] = sql
+_PAGE_ADS = "SELECT source, source_id, 'https://example.test/d/' || source_id || '.html' AS url, deal_type, title, price_raw, location_raw, phone_raw, seller_label FROM v_raw_listings"
 
 
-def offer_pages(pages):
-    return portals.parse_offer_page(pages).select("page_id", "description", "phone")
+@query("v_raw_listings", sql=_PAGE_ADS)
+def page_states(raw):
+    """Pages whose script holds the adverts as JSON, as text of JSON on others,
+    beside a shorter list that is not the adverts'."""
+    ad = F.struct(
+        F.col("source_id").alias("id"), F.concat(F.lit("https://example.test/d/"), "source_id", F.lit(".html")).alias("url"), "title", F.struct(F.col("price_raw").alias("displayValue")).alias("price"),
+        F.struct(F.struct(F.col("location_raw").alias("name")).alias("city")).alias("location"), F.struct(F.col("phone_raw").alias("phone")).alias("contact"), F.col("seller_label").alias("user_label"),
+    )
+    pages = raw.groupBy("source", "deal_type", F.floor(F.col("id") / 40).alias("batch")).agg(F.collect_list(ad).alias("ads"))
+    state = F.to_json(F.struct(F.struct(F.col("ads").alias("list"), F.lit(3).alias("page")).alias("listing"), F.array(F.lit("x")).alias("other")))
+    text = F.regexp_extract(F.to_json(F.struct(state.alias("s"))), r"(?s)^\{\"s\":(.*)\}$", 1)
+    script = F.when(F.col("batch") % 2 == 0, state).otherwise(text)
+    html = F.concat(F.lit("<html><body><script>window.__PRERENDERED_STATE__= "), script, F.lit(";</script><p>window</p></body></html>"))
+    found = portals.extract_page_state(pages.select("source", "deal_type", html.alias("html")))
+    return found.select("source", "source_id", "url", "deal_type", "title", "price_raw", "location_raw", "phone_raw", "seller_label")
+
+
+@query("v_raw_listings", sql="SELECT source, source_id, 'https://www.olx.pl/d/flat-ID' || source_id || '.html' AS url, deal_type, title, price_raw, CASE WHEN id % 3 = 0 THEN location_raw ELSE 'City' END AS location_raw, CASE WHEN id % 3 <> 0 THEN 'today' END AS posted_at_raw FROM v_raw_listings WHERE id % 7 <> 0")
+def listing_cards(raw):
+    """Pages of cards; every seventh card has no link and gives no row."""
+    link = F.when(F.col("id") % 7 != 0, F.concat(F.lit('<a href="/d/flat-ID'), "source_id", F.lit('.html">to it</a>'))).otherwise("no link")
+    place = F.when(F.col("id") % 3 == 0, F.col("location_raw")).otherwise("City - today")
+    card = F.concat(F.lit('<div data-cy="l-card">'), link, F.lit("<h4> "), "title", F.lit('</h4><br><p data-testid="ad-price">'), "price_raw", F.lit('</p><p data-testid="location-date">'), place, F.lit("</p></div>"))
+    pages = raw.groupBy("source", "deal_type", F.floor(F.col("id") / 40).alias("batch")).agg(F.concat(F.lit("<html><body>"), F.array_join(F.collect_list(card), "\n"), F.lit("</body></html>")).alias("html"))
+    return portals.parse_listing_cards(pages)
+
+
+@query("v_raw_listings", sql="SELECT id AS page_id, CASE WHEN id % 4 <> 0 THEN title || ' in ' || location_raw END AS description, CASE WHEN id % 5 <> 0 THEN seller_label WHEN id % 2 = 0 THEN 'firma' END AS label, phone_raw AS phone, area_raw, rooms_raw, floor_raw FROM v_raw_listings")
+def offer_pages(raw):
+    """One page for each advert, with a description, the seller, the phone as a
+    link or as text, and parameters in any order."""
+    seller = F.when((F.col("id") % 5 != 0) & F.col("seller_label").isNotNull(), F.concat(F.lit('<div data-testid="trader-title">'), "seller_label", F.lit("</div>"))).when((F.col("id") % 5 == 0) & (F.col("id") % 2 == 0), "<footer>An offer of a FIRMA</footer>").otherwise("<footer>none</footer>")
+    phone = F.when(F.col("id") % 2 == 0, F.concat(F.lit('<a href="tel:'), "phone_raw", F.lit('">call</a>'))).otherwise(F.concat(F.lit('<b data-testid="contact-phone">'), "phone_raw", F.lit("</b>")))
+    item = lambda c: F.coalesce(F.concat(F.lit("<p>"), F.col(c), F.lit("</p>")), F.lit(""))
+    params = F.concat(F.lit('<div data-testid="ad-parameters-container"><p>Other: none</p>'), item("floor_raw"), item("area_raw"), item("rooms_raw"), F.lit("</div>"))
+    text = F.when(F.col("id") % 4 != 0, F.concat(F.lit('<div data-cy="ad_description"><p>'), "title", F.lit("</p> in  <i>"), "location_raw", F.lit("</i></div>"))).otherwise("")
+    html = F.concat(F.lit("<html><body>"), seller, params, F.coalesce(phone, F.lit("")), text, F.lit("<script>var x = 'biuro'</script></body></html>"))
+    return portals.parse_offer_page(raw.select(F.col("id").alias("page_id"), html.alias("html")))
+
+
+_NEXT_SEARCH = """SELECT source, source_id, 'https://www.otodom.pl/pl/oferta/flat-' || source_id AS url, deal_type, title, CASE WHEN id % 4 <> 0 OR id % 2 = 0 THEN CAST(nullif(price, 0) AS DOUBLE) END AS price_num, area_m2 AS area_num, rooms AS rooms_num,
+ floor AS floor_num, concat_ws(', ', city, district, 'ul. ' || street, 'Pomorskie') AS location_raw, 'osoba prywatna' AS seller_label, CASE WHEN id % 2 = 0 THEN '2024-01-01' ELSE '2023-12-31' END AS posted_at_raw, 7 AS total_pages
+ FROM v_listings WHERE id % 3 <> 0"""
+
+
+@query("v_listings", sql=_NEXT_SEARCH)
+def next_data_search(listings):
+    """Search pages with items as JSON; every third offer is not private."""
+    named = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (v, k)]), F.col(c))
+    level = lambda k, v: F.struct(F.lit(k).alias("locationLevel"), v.alias("name"))
+    spot = F.struct(F.struct(F.struct(F.col("street").alias("name")).alias("street"), F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.lit("Pomorskie").alias("name")).alias("province")).alias("address"), F.struct(F.array(level("city", F.col("city")), level("district", F.col("district"))).alias("locations")).alias("reverseGeocoding"))
+    amount = F.struct(F.col("price").cast("double").alias("value"))
+    item = F.struct(
+        F.col("source_id").alias("id"), F.concat(F.lit("flat-"), "source_id").alias("slug"), "title", (F.col("id") % 3 != 0).alias("isPrivateOwner"), F.col("area_m2").alias("areaInSquareMeters"), named(portals.ROOMS, "rooms").alias("roomsNumber"), named(portals.FLOORS, "floor").alias("floorNumber"),
+        F.when(F.col("id") % 2 == 0, amount).alias("totalPrice"), F.when(F.col("id") % 2 != 0, amount).alias("rentPrice"), F.when(F.col("id") % 2 == 0, "2024-01-01").alias("createdAtFirst"), F.lit("2023-12-31").alias("dateCreated"), spot.alias("location"),
+    )
+    pages = listings.groupBy("source", "deal_type", F.floor(F.col("id") / 40).alias("batch")).agg(F.collect_list(item).alias("items"))
+    ads = F.struct(F.col("items"), F.struct(F.lit(7).alias("totalPages")).alias("pagination"))
+    state = F.to_json(F.struct(F.struct(F.struct(F.struct(ads.alias("searchAds")).alias("data")).alias("pageProps")).alias("props")))
+    html = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script></html>"))
+    return portals.parse_next_data_search(pages.select("source", "deal_type", html.alias("html")))
+
+
+@query("v_raw_listings", sql="SELECT source, source_id, phone_raw AS phone, title || ' here' AS description, CASE WHEN id % 2 = 0 THEN 'osoba prywatna' ELSE 'developer' END AS label FROM v_raw_listings")
+def next_data_offer(raw):
+    """Offer pages with contact and a description in HTML as JSON."""
+    contact = F.struct(F.array_compact(F.array("phone_raw", F.lit("999"))).alias("phones"), F.when(F.col("id") % 2 == 0, "private").otherwise("developer").alias("type"))
+    contact = F.when(F.col("phone_raw").isNotNull(), contact).otherwise(F.struct(F.array().cast("array<string>").alias("phones"), contact["type"].alias("type")))
+    ad = F.struct(contact.alias("contactDetails"), F.concat(F.lit("<p>"), "title", F.lit("</p>\n<b> here</b> ")).alias("description"))
+    state = F.to_json(F.struct(F.struct(F.struct(ad.alias("ad")).alias("pageProps")).alias("props")))
+    html = F.concat(F.lit('<script id="__NEXT_DATA__">'), state, F.lit("</script>"))
+    return portals.parse_next_data_offer(raw.select("source", "source_id", html.alias("html")))
 
 
-def listing_cards(pages):
-    return portals.parse_listing_cards(pages.select(F.lit("olx").alias("source"), F.lit("sale").alias("deal_type"), "html")).select("source_id")
+def _pages(f: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    if sql:
+        ORACLES[f.__name__] = sql
 
 
-def page_states(pages):
-    return portals.extract_page_state(pages.select(F.lit("olx").alias("source"), F.lit("sale").alias("deal_type"), "html")).select("source_id")
+def raw_pages(pages):
+    """Pages that are no portal's: of whole raw pages no parser makes an advert."""
+    some = pages.select("page_id", F.lit("olx").alias("source"), F.lit("sale").alias("deal_type"), F.col("page_id").cast("string").alias("source_id"), "html")
+    hits = portals.extract_page_state(some).select("source_id").unionByName(portals.parse_listing_cards(some).select("source_id")).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    text = portals.parse_offer_page(some).select(F.col("page_id"), (F.col("description").isNotNull() | F.col("phone").isNotNull()).alias("has_offer"))
+    return text.join(hits, text["page_id"].cast("string") == hits["source_id"], "left").select("page_id", "has_offer", F.coalesce("n", F.lit(0)).alias("adverts"))
 
 
-_pages(offer_pages, "SELECT page_id, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS phone FROM pages")
-_pages(listing_cards, "SELECT CAST(page_id AS VARCHAR) AS source_id FROM pages WHERE html LIKE '%data-cy=\"l-card\"%'")
-_pages(page_states, "SELECT CAST(page_id AS VARCHAR) AS source_id FROM pages WHERE html LIKE '%__PRERENDERED_STATE__%'")
+_pages(raw_pages, "SELECT page_id, false AS has_offer, 0::BIGINT AS adverts FROM pages")

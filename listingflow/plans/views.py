@@ -109,6 +109,8 @@ SELECT event_id + 1 AS seq, (event_id * 7) % n + 1 AS lead_id, ts AS at,
                        WHEN 'purchase' THEN 'callback' ELSE 'meeting' END AS outcome,
        CASE event_id % 3 WHEN 0 THEN 'talked' WHEN 1 THEN 'callback' ELSE 'lost' END AS status,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'price' END AS reason,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'note ' || CAST(event_id % 5 AS STRING) END AS note,
+       CASE WHEN event_id % 10 = 8 THEN 'Street ' || CAST(event_id % 50 AS STRING) END AS address,
        ts + INTERVAL '5' DAY AS next_step_at
   FROM events CROSS JOIN (SELECT COUNT(*) AS n FROM orders) c
 """,

@@ -19,6 +19,7 @@ BUSINESS_WORDS = ("firma", "business", "biuro", "deweloper")
 ROOMS = {"ONE": 1, "TWO": 2, "THREE": 3, "FOUR": 4, "FIVE": 5, "SIX": 6, "SEVEN": 7, "EIGHT": 8, "NINE": 9, "TEN": 10}
 FLOORS = {"CELLAR": -1, "GROUND": 0, "FIRST": 1, "SECOND": 2, "THIRD": 3, "FOURTH": 4, "FIFTH": 5, "SIXTH": 6, "SEVENTH": 7, "EIGHTH": 8, "NINTH": 9, "TENTH": 10}
 RAW = "source string, source_id string, url string, deal_type string, title string, description string, price_raw string, area_raw string, rooms_raw string, floor_raw string, location_raw string, phone_raw string, seller_label string, posted_at_raw string, has_phone boolean"
+HINTS = {"area": re.compile(r"\d+(?:[.,]\d+)?\s*m", re.I), "rooms": re.compile(r"\bpoko|kawalerka", re.I), "floor": re.compile("piętro|parter|suterena", re.I)}
 NEXT_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 
@@ -231,8 +232,8 @@ def parse_listing_cards(pages: DataFrame) -> DataFrame:
                     url = "https://www.olx.pl" + url if url.startswith("/") else url
                     first = lambda test, c=card: _node_text(next(_find([c], test), None))
                     place = first(_marked("location-date")) or ""
-                    where, dash, when = place.rpartition(" - ")
-                    rows.append((r.source, number[1], url, r.deal_type, first(lambda n: n["tag"] in ("h4", "h6") or n["attrs"].get("data-cy") == "ad-card-title"), first(_marked("ad-price")), (place.split(" - ")[0] if dash else place) or None, when or None))
+                    where, *later = place.split(" - ")
+                    rows.append((r.source, number[1], url, r.deal_type, first(lambda n: n["tag"] in ("h4", "h6") or n["attrs"].get("data-cy") == "ad-card-title"), first(_marked("ad-price")), where.strip() or None, later[-1].strip() if later else None))
             yield pd.DataFrame(rows, columns=["source", "source_id", "url", "deal_type", "title", "price_raw", "location_raw", "posted_at_raw"])
 
     return pages.select("source", "deal_type", "html").mapInPandas(cards, "source string, source_id string, url string, deal_type string, title string, price_raw string, location_raw string, posted_at_raw string")
@@ -256,11 +257,11 @@ def parse_offer_page(pages: DataFrame) -> DataFrame:
                 params = next(_find(roots, _marked("ad-parameters-container", "ad-parameters")), None)
                 area = rooms = floor = None
                 for t in map(_node_text, _find([params] if params else [], lambda n: n["tag"] in ("p", "li", "span"))):
-                    if area is None and re.search(r"\d+(?:[.,]\d+)?\s*m", t, re.I):
+                    if area is None and HINTS["area"].search(t):
                         area = t
-                    elif rooms is None and re.search(r"\bpoko|kawalerka", t, re.I):
+                    elif rooms is None and HINTS["rooms"].search(t):
                         rooms = t
-                    elif floor is None and re.search("piętro|parter|suterena", t, re.I):
+                    elif floor is None and HINTS["floor"].search(t):
                         floor = t
                 rows.append((i, first(_marked("ad_description")), label, phone, area, rooms, floor))
             yield pd.DataFrame(rows, columns=["page_id", "description", "label", "phone", "area_raw", "rooms_raw", "floor_raw"])
