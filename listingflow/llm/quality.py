@@ -5,13 +5,20 @@ number of words, of the mean word length, of symbols, repeated lines and
 repeated words a word. Rates are smoothed by 50 words, so that a short text is
 not odd for its shortness. For every (lang, source) the minimum covariance
 determinant is sought: mean and covariance of the three quarters of texts that
-lie closest together, by C-steps from a deterministic start (nearest to the
-medians by median absolute deviation). Texts whose squared Mahalanobis distance
-exceeds the cut are rejected.
+lie closest together, by C-steps from two deterministic starts (nearest to the
+medians by median absolute deviation; nearest by mean and covariance of all)
+until nothing changes; the smaller determinant is taken.
+
+Small groups know little, so estimates are shrunk: those of a (lang, source)
+towards its language's, those of a language towards all texts', each with the
+weight n / (n + WEIGHT) of its own n texts. That is one formula for all sizes.
+Texts whose squared Mahalanobis distance exceeds the cut are rejected.
 
 All of it is Spark expressions, joins and aggregations. Vectors are whole
 thousandths, so sums are exact and reruns agree; quantiles are exact and need
-only a table of distinct whole numbers for each group.
+only a table of distinct whole numbers for each group. Null texts, empty ones
+and texts of any length have statistics like any other; lang and source may be
+null, which is a value; rows may repeat; an empty table gives no rows.
 """
 
 from collections.abc import Callable
@@ -28,6 +35,12 @@ SPAN, UNIT, SMOOTH = 8, 1000, 50
 FLOORS = (0.3, 0.03, 0.05, 0.05, 0.05)
 DIMS = [f"x{i}" for i in range(len(FLOORS))]
 MEDIAN_CHI2 = 4.351  # of five degrees of freedom
+#: Texts at which a group's own estimate weighs as much as the wider one.
+WEIGHT = 50
+#: Most groups whose tables (of about 200 bytes a group) are broadcast.
+MANY = 20_000
+PAIRS = [(i, j) for i in range(len(DIMS)) for j in range(i, len(DIMS))]
+SHAPE = [*(f"m{i}" for i in range(len(DIMS))), *(f"v{i}{j}" for i, j in PAIRS)]
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,29 +103,24 @@ def vector(rows: DataFrame) -> DataFrame:
     return rows.withColumns({d: F.round(UNIT * p).cast("long") for d, p in zip(DIMS, parts, strict=True)})
 
 
-def _inverse(cov: dict[tuple[int, int], Column], names: Callable[[int, int], str], df: DataFrame) -> DataFrame:
-    """df with the inverse of a symmetric matrix of columns, by sweeping.
-
-    One sweep for each dimension, each a projection of its own.
-    """
+def _inverse(df: DataFrame) -> DataFrame:
+    """df with the inverse p.. of its covariances v.., and the logarithm of
+    their determinant, by sweeping: one projection for each dimension."""
     k = range(len(DIMS))
-    get = lambda i, j: F.col(names(min(i, j), max(i, j)))
-    df = df.withColumns({names(i, j): cov[i, j] for i in k for j in k if i <= j})
+    get = lambda i, j: F.col(_entry(min(i, j), max(i, j)))
+    df = df.withColumns({**{_entry(i, j): F.col(f"v{i}{j}") for i, j in PAIRS}, "logdet": F.lit(0.0)})
     for p in k:
         d = get(p, p)
-        swept = {}
-        for i in k:
-            for j in k:
-                if i > j:
-                    continue
-                if i == p and j == p:
-                    swept[names(i, j)] = -1 / d
-                elif i == p or j == p:
-                    swept[names(i, j)] = get(i, j) / d
-                else:
-                    swept[names(i, j)] = get(i, j) - get(i, p) * get(p, j) / d
+        swept = {"logdet": F.col("logdet") + F.log(d)}
+        for i, j in PAIRS:
+            if i == p and j == p:
+                swept[_entry(i, j)] = -1 / d
+            elif i == p or j == p:
+                swept[_entry(i, j)] = get(i, j) / d
+            else:
+                swept[_entry(i, j)] = get(i, j) - get(i, p) * get(p, j) / d
         df = df.withColumns(swept)
-    return df.withColumns({names(i, j): -get(i, j) for i in k for j in k if i <= j})
+    return df.withColumns({_entry(i, j): -get(i, j) for i, j in PAIRS})
 
 
 def _entry(i: int, j: int) -> str:
@@ -131,62 +139,101 @@ def _whole(d2: Column) -> Column:
     return F.floor(UNIT * F.log1p(F.greatest(d2, F.lit(0.0)))).cast("long")
 
 
-def _shape(rows: DataFrame, by: str) -> DataFrame:
-    """Mean and inverse covariance, floored in its diagonal, of each group."""
-    k = range(len(DIMS))
+def _shape(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Number, mean and covariance, floored in its diagonal, of each group."""
     aggs = [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(DIMS))]
-    aggs += [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s{i}{j}") for i in k for j in k if i <= j]
-    sums = rows.groupBy(by).agg(*aggs)
-    means = {f"m{i}": F.col(f"s{i}") / F.col("n") / UNIT for i in k}
+    aggs += [F.sum(F.col(DIMS[i]) * F.col(DIMS[j])).alias(f"s{i}{j}") for i, j in PAIRS]
+    sums = rows.groupBy(*by).agg(*aggs)
+    sums = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") / UNIT for i in range(len(DIMS))})
     cov = {}
-    for i in k:
-        for j in k:
-            if i <= j:
-                c = F.col(f"s{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")
-                cov[i, j] = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c
-    out = _inverse(cov, _entry, sums.withColumns(means))
-    return out.select(by, *(f"m{i}" for i in k), *(_entry(i, j) for i in k for j in k if i <= j))
+    for i, j in PAIRS:
+        c = F.col(f"s{i}{j}") / F.col("n") / UNIT**2 - F.col(f"m{i}") * F.col(f"m{j}")
+        cov[f"v{i}{j}"] = F.greatest(c, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else c
+    return sums.withColumns(cov).select(*by, "n", *SHAPE)
 
 
-def estimates(rows: DataFrame, by: str = "grp", share: float = 0.75, steps: int = 4) -> DataFrame:
-    """(grp, m.., p.., scale): the minimum covariance determinant of each group.
+def _near_medians(rows: DataFrame, by: list[str], small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The start by medians and median absolute deviations, without covariance."""
+    med = rows.groupBy(*by).agg(*(F.expr(f"percentile({x}, 0.5)").alias(f"c{i}") for i, x in enumerate(DIMS)))
+    off = rows.join(small(med), by)
+    mad = off.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"percentile(abs({x} - c{i}), 0.5)").alias(f"a{i}") for i, x in enumerate(DIMS)), *(F.first(f"c{i}").alias(f"c{i}") for i in range(len(DIMS))))
+    var = {f"v{i}{j}": F.pow(1.4826 * F.col(f"a{i}") / UNIT, 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
+    return mad.select(*by, "n", *((F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(len(DIMS))), *(c.alias(k) for k, c in var.items()))
 
-    rows has the group and x0..x4. A group's table row is small, but how many
-    groups there are is counted before they are broadcast.
+
+def estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 100, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+    """(grp, m.., v..): the minimum covariance determinant of each group.
+
+    rows has grp and x0..x4. small hints at a broadcast of tables with a narrow
+    row for each group; the caller knows that they are few, or passes another.
+    C-steps go on for all groups until no sum changes; they cannot go back, but
+    for the floors and ties of whole distances, which is what most_steps is for.
     """
-    k = range(len(DIMS))
-    med = rows.groupBy(by).agg(*(F.expr(f"percentile({x}, 0.5)").alias(f"c{i}") for i, x in enumerate(DIMS)))
-    off = rows.join(broadcast_if_small(cut(med)), by)
-    mad = off.groupBy(by).agg(*(F.expr(f"percentile(abs({x} - c{i}), 0.5)").alias(f"a{i}") for i, x in enumerate(DIMS)), *(F.first(f"c{i}").alias(f"c{i}") for i in k))
-    start = {f"m{i}": F.col(f"c{i}") / UNIT for i in k}
-    start |= {_entry(i, j): 1 / (F.pow(1.4826 * F.col(f"a{i}") / UNIT, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in k for j in k if i <= j}
-    shape = cut(mad.select(by, *(v.alias(n) for n, v in start.items())))
-    for _ in range(steps):
-        near = rows.join(broadcast_if_small(shape), by).select(by, *DIMS, _whole(_distance()).alias("d"))
-        least = cut(near.groupBy(by).agg(F.expr(f"percentile(d, {share})").alias("most")))
-        shape = cut(_shape(near.join(broadcast_if_small(least), by).where("d <= most"), by))
-    near = rows.join(broadcast_if_small(shape), by).select(by, _whole(_distance()).alias("d"))
-    half = near.groupBy(by).agg(F.expr("percentile(d, 0.5)").alias("half"))
-    scale = F.greatest(F.lit(1.0), F.expm1(F.col("half") / UNIT) / MEDIAN_CHI2)
-    return cut(shape.join(half, by).withColumn("scale", scale).drop("half"))
-
-
-def judged(docs: DataFrame, cutoff: float = 50.0, least_group: int = 50) -> DataFrame:
+    by = ["start", "grp"]
+    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    shape = cut(_near_medians(rows, ["grp"], small).withColumn("start", F.lit(0)).unionByName(_shape(rows, ["grp"]).withColumn("start", F.lit(1))))
+    mark, seen = F.bit_xor(F.xxhash64(*by, *SHAPE)), None
+    for _ in range(most_steps):
+        near = both.join(small(_inverse(shape)), by).select(*by, *DIMS, _whole(_distance()).alias("d"))
+        least = near.groupBy(*by).agg(F.expr(f"percentile(d, {share})").alias("most"))
+        shape = cut(_shape(near.join(small(least), by).where("d <= most"), by))
+        now = shape.agg(mark).first()[0]
+        if now == seen:
+            break
+        seen = now
+    best = _inverse(shape).groupBy("grp").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("b"))
+    return cut(best.select("grp", "b.*"))
+
+
+def _shrunk(levels: DataFrame, columns: list[str], weight: float, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """levels (level, grp, up, n, columns) with the columns of each group drawn
+    to those of the wider group up, from the widest level to the narrowest."""
+    done = [cut(levels.where("level = 0"))]
+    for k in (1, 2):
+        wide = done[-1].select(F.col("grp").alias("up"), *(F.col(c).alias(f"w_{c}") for c in columns))
+        share = F.col("n") / (F.col("n") + weight)
+        drawn = {c: share * F.col(c) + (1 - share) * F.col(f"w_{c}") for c in columns}
+        own = levels.where(f"level = {k}").join(small(wide), "up").withColumns(drawn)
+        done.append(cut(own.select(*levels.columns)))
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
+def fitted(good: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """(lang, source, m.., p.., scale) for each language and source of good.
+
+    good has lang, source and x0..x4. Every row counts in three groups: its own,
+    its language's and the one of all. scale is what the median distance says of
+    the size of the covariance, shrunk in the same way (of its logarithm).
+    """
+    lang, pair = (F.xxhash64(F.lit(len(cs)), *(x for c in cs for x in (F.col(c).isNull(), F.col(c)))) for cs in (["lang"], ["lang", "source"]))
+    every = F.lit(0).cast("long")
+    named = [F.struct(F.lit(k).alias("level"), g.alias("grp"), up.alias("up")) for k, (g, up) in enumerate(((every, every), (lang, every), (pair, lang)))]
+    spread = good.select("lang", "source", *DIMS, F.explode(F.array(*named)).alias("g")).select("lang", "source", *DIMS, "g.*")
+    groups = cut(spread.groupBy("level", "grp", "up").agg(F.count(F.lit(1)).alias("n"), F.first("lang").alias("lang"), F.first("source").alias("source")))
+    rows = cut(spread.select("grp", *DIMS))
+    few = groups.limit(MANY + 1).count() <= MANY
+    small: Callable[[DataFrame], DataFrame] = F.broadcast if few else lambda df: df
+    shapes = _shrunk(groups.join(estimates(rows, small=small), "grp").select("level", "grp", "up", "n", *SHAPE), SHAPE, weight, small)
+    inverse = cut(_inverse(shapes))
+    near = rows.join(small(inverse), "grp").select("grp", _whole(_distance()).alias("d"))
+    half = near.groupBy("grp").agg(F.expr("percentile(d, 0.5)").alias("half"))
+    size = F.log(F.greatest(F.lit(1.0), F.expm1(F.col("half") / UNIT) / MEDIAN_CHI2))
+    scales = _shrunk(groups.join(half, "grp").select("level", "grp", "up", "n", size.alias("size")), ["size"], weight, small)
+    entries = [_entry(i, j) for i, j in PAIRS]
+    out = inverse.where("level = 2").join(scales.select("grp", F.exp("size").alias("scale")), "grp").join(groups.select("grp", "lang", "source"), "grp")
+    return cut(out.select("lang", "source", *(f"m{i}" for i in range(len(DIMS))), *entries, "scale"))
+
+
+def judged(docs: DataFrame, cutoff: float = 50.0, weight: float = WEIGHT) -> DataFrame:
     """statistics with distance and kept, for every row of docs.
 
-    Rows that fail a base rule are not kept and shape no estimate. Groups (lang,
-    source; null is a value) of under least_group rows share one estimate; if
-    those together are too few as well, their rows are kept, distance null.
+    Rows that fail a base rule are not kept, have no distance and shape no
+    estimate; all others are judged by the estimate of their lang and source.
     """
     rows = cut(vector(statistics(docs)))
-    good = rows.where("not base_failed")
-    name = F.concat_ws("\x1f", F.coalesce("lang", F.lit("\x00")), F.coalesce("source", F.lit("\x00")))
-    counts = cut(good.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("grp", F.when(F.col("n") >= least_group, F.col("name")).otherwise("")))
-    placed = good.select(name.alias("name"), *DIMS).join(broadcast_if_small(counts.select("name", "grp")), "name").select("grp", *DIMS)
-    large = counts.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= least_group).select("grp")
-    shapes = estimates(placed.join(broadcast_if_small(cut(large)), "grp", "left_semi"))
-    known = cut(counts.select("name", "grp").join(shapes, "grp").drop("grp"))
-    out = rows.withColumn("name", name).join(broadcast_if_small(known), "name", "left")
+    shapes = fitted(rows.where("not base_failed"), weight).withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
+    out = rows.join(broadcast_if_small(shapes), same, "left")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
-    kept = ~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), kept.alias("kept"))
+    kept = ~F.col("base_failed") & (distance <= cutoff)
+    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), F.coalesce(kept, F.lit(False)).alias("kept"))

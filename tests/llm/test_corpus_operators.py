@@ -264,40 +264,59 @@ def plain_statistics(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
 
 
-def plain_mcd(x, floors, share=0.75, steps=4):
-    """The estimate in numpy, of whole thousandths."""
-    med = np.median(x, axis=0)
-    mad = np.median(np.abs(x - med), axis=0)
-    mean, inv = med / 1000, np.diag(1 / ((1.4826 * mad / 1000) ** 2 + np.square(floors)))
-    dist = lambda: np.einsum("ij,jk,ik->i", x / 1000 - mean, inv, x / 1000 - mean)
-    whole = lambda d: np.floor(1000 * np.log1p(np.maximum(d, 0)))
-    for _ in range(steps):
-        d = whole(dist())
-        h = x[d <= np.quantile(d, share)] / 1000
-        mean = h.mean(axis=0)
-        inv = np.linalg.inv(np.cov(h.T, bias=True) + np.diag(np.square(floors)))
-    d2 = dist()
-    return d2 / max(1.0, np.expm1(np.median(whole(d2)) / 1000) / quality.MEDIAN_CHI2)
-
-
-def test_quality_equals_plain_python(spark, docs, empty):
+def random_mcd(x, floors, rng, share=0.75, starts=60):
+    """The least log-determinant that C-steps find from random starts, in numpy."""
+    best, h = np.inf, max(2, int(np.ceil(share * len(x))))
+    for _ in range(starts):
+        near = rng.choice(len(x), 8, replace=False)
+        for _ in range(30):
+            m, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + np.diag(np.square(floors))
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            near = np.argsort(d)[:h]
+        best = min(best, np.linalg.slogdet(np.cov(x[near].T, bias=True) + np.diag(np.square(floors)))[1])
+    return best
+
+
+def test_quality_statistics_equal_plain_python(spark, docs, empty):
     got = quality.judged(docs).collect()
     want = Counter((r[0], *plain_statistics(r[1])) for r in corpus())
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert Counter(tuple(r[k] for k in names) for r in got) == want
-    assert all(r["kept"] == (not r["base_failed"]) for r in got)  # too few for an estimate
+    assert not any(r["kept"] for r in got if r["base_failed"]) and all((r["distance"] is None) == r["base_failed"] for r in got)
     assert quality.judged(empty).count() == 0
-    rng = random.Random(8)
-    rows = [(i, prose(rng.randint(20, 400), rng), "en", f"s{i % 2}") for i in range(300)]
-    rows += [(1000 + i, " ".join(w + "$$$" for w in prose(100, rng).split()), "en", "s0") for i in range(9)]
+
+
+def test_quality_finds_the_determinant_and_the_outliers(spark):
+    """Contaminated groups: a fifth of them is alike and far from the rest."""
+    rng, gen = random.Random(8), np.random.default_rng(5)
+    mark = lambda n: " ".join(w + "$$$" for w in prose(n, rng).split())
+    rows = [(i, prose(rng.randint(20, 400), rng), "en", f"s{i % 2}") for i in range(240)]
+    rows += [(1000 + i, mark(rng.randint(80, 120)), "en", "s0") for i in range(40)] + [(2000, prose(90, rng), "en", "few"), (2001, mark(90), "en", "few")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    vec = quality.vector(quality.statistics(frame)).collect()
-    res = {r["doc_id"]: r for r in quality.judged(frame).collect()}
+    good = quality.vector(quality.statistics(frame)).where("not base_failed").cache()
+    found = {r["grp"]: r for r in quality.estimates(good.where("source <> 'few'").withColumn("grp", F.col("source"))).collect()}
     for s in ("s0", "s1"):
-        mine = [r for r in vec if r["source"] == s and not r["base_failed"]]
-        d = plain_mcd(np.array([[r[x] for x in quality.DIMS] for r in mine], float), quality.FLOORS)
-        assert np.allclose(d, [res[r["doc_id"]]["distance"] for r in mine], rtol=1e-6)
-    assert all(res[i]["kept"] for i in range(300)) and not any(res[1000 + i]["kept"] for i in range(9))
+        x = np.array([[r[k] for k in quality.DIMS] for r in good.where(F.col("source") == s).collect()], float) / 1000
+        cov = np.array([[found[s][f"v{min(i, j)}{max(i, j)}"] for j in range(5)] for i in range(5)])
+        assert np.linalg.slogdet(cov)[1] <= random_mcd(x, quality.FLOORS, gen) + 0.05
+    res = {r["doc_id"]: r["kept"] for r in quality.judged(frame).collect()}
+    assert all(res[i] for i in range(240)) and not any(res[1000 + i] for i in range(40))
+    assert res[2000] and not res[2001]  # two texts are judged mostly by their language
+
+
+def test_quality_shrinks_by_one_formula(spark):
+    """Means of the narrowest groups, by hand from the plain estimates."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng.randint(20, 300), rng), lang, source) for i, (lang, source) in enumerate([("en", "a")] * 80 + [("en", None)] * 7 + [(None, "a")] * 3 + [(None, None)])]
+    good = quality.vector(quality.statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).where("not base_failed").cache()
+    name = lambda *c: F.concat_ws("/", *(F.coalesce(F.col(x), F.lit("-")) for x in c))
+    level = [{r["grp"]: r for r in quality.estimates(good.withColumn("grp", g)).collect()} for g in (F.lit("all"), name("lang"), name("lang", "source"))]
+    size = Counter(k for r in good.collect() for k in (r["lang"] or "-", f"{r['lang'] or '-'}/{r['source'] or '-'}"))
+    drawn = lambda own, wide, n: n / (n + 50) * own + 50 / (n + 50) * wide
+    for r in quality.fitted(good).collect():
+        lang, pair = r["lang"] or "-", f"{r['lang'] or '-'}/{r['source'] or '-'}"
+        wide = drawn(level[1][lang]["m0"], level[0]["all"]["m0"], size[lang])
+        assert abs(r["m0"] - drawn(level[2][pair]["m0"], wide, size[pair])) < 1e-9
 
 
 def test_ann_equals_brute_force(spark):
