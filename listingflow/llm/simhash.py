@@ -248,11 +248,11 @@ def _near(a: str, b: str, distance: int, similarity: float) -> str:
     return f"bit_count({a}.fp ^ {b}.fp) <= {distance} and {wide} <= {most} and {a}.n >= {similarity} * {b}.n - 1e-6 and {b}.n >= {similarity} * {a}.n - 1e-6"
 
 
-def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int = 3) -> DataFrame:
+def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int = 16) -> DataFrame:
     """Pairs (a, b) of ids that are near and close in order of their prints.
 
     Prints are sorted under five rotations, by range over all tasks, and each is
-    compared with the few before it: a row for each text and rotation, however
+    compared with some before it: a row for each text and rotation, however
     large a group of like texts is. These pairs are only the first.
     """
     turns = F.array(*(F.struct(F.lit(r).alias("turn"), F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})" if r else "fp").alias("key")) for r in (0, 12, 25, 38, 51)))
