@@ -9,7 +9,9 @@ windows are alone, and that is seen at less cost: the window's *anchor* is the
 least hash among its 10-word grams. Equal windows have equal anchors, and a
 document has only some 5 anchors for 100 words. So first anchors are counted;
 only windows whose anchor lies in two documents are then counted themselves.
-Nothing is lost: a repeated window has a repeated anchor.
+Nothing is lost: a repeated window has a repeated anchor. This counted filter is
+a parameter; without it every window is counted, with the same result. Windows
+are compared by 64 bits of their own hash and 31 of their anchor's.
 
 Copies of a whole word sequence are found first, by one digest for each text:
 all windows of the larger doc_ids repeat, so they need no window at all.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listingflow.functions.lineage import cut
-from listingflow.llm.text import word_blocks
+from listingflow.llm.text import give_back, text_slices, word_blocks
 
 WINDOW, GRAM = 50, 10
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -69,34 +71,36 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-            n, sha, found = [], [], []
-            for text in part.column("text").to_pylist():
-                words = words_of(text)
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                found.append(np.unique(anchors(_hashes(words))).view(np.int64) if len(words) >= WINDOW else [])
-            cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "sha", "anchors"])
+    for b in text_slices(batches):
+        n, sha, found = [], [], []
+        for text in b.column("text"):
+            words = words_of(text.as_py())
+            n.append(len(words))
+            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            found.append(np.unique(anchors(_hashes(words))).view(np.int64) if len(words) >= WINDOW else np.zeros(0, np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.ListArray.from_arrays(ends, np.concatenate(found))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "sha", "anchors"])
+    give_back()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows whose anchor is among the row's shared ones."""
-    for b in batches:
-        for part in (b.slice(i, 64) for i in range(0, b.num_rows, 64)):
-            ids, parts, at, h, a = [], [], [], [], []
-            for i, p, text, shared in zip(*(part.column(c).to_pylist() for c in ("doc_id", "part", "text", "shared")), strict=True):
-                words = _hashes(words_of(text))
-                mins = anchors(words)
-                hit = np.flatnonzero(np.isin(mins, np.array(shared, np.int64).view(np.uint64)))
-                ids.append(np.full(len(hit), i, np.int64))
-                parts.append(np.full(len(hit), p, np.int64))
-                at.append(hit.astype(np.int32))
-                h.append(rolling(words, WINDOW)[hit].view(np.int64))
-                a.append((mins[hit] >> np.uint64(33)).astype(np.int32))
-            cols = [pa.array(np.concatenate(x)) for x in (ids, parts, at, h, a)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "at", "h", "a"])
+    """Windows whose anchor is among the row's shared ones (null: all windows)."""
+    for part in text_slices(batches, 1 << 20):
+        ids, parts, at, h, a = [], [], [], [], []
+        for i, p, text, shared in zip(*(part.column(c) for c in ("doc_id", "part", "text", "shared")), strict=True):
+            words = _hashes(words_of(text.as_py()))
+            mins = anchors(words)
+            known = shared.values.to_numpy() if shared.is_valid else None
+            hit = np.flatnonzero(np.isin(mins, known.view(np.uint64))) if known is not None else np.arange(len(mins))
+            ids.append(np.full(len(hit), i.as_py(), np.int64))
+            parts.append(np.full(len(hit), p.as_py(), np.int64))
+            at.append(hit.astype(np.int32))
+            h.append(rolling(words, WINDOW)[hit].view(np.int64))
+            a.append((mins[hit] >> np.uint64(33)).astype(np.int32))
+        cols = [pa.array(np.concatenate(x)) for x in (ids, parts, at, h, a)]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "at", "h", "a"])
+    give_back()
 
 
 def intervals(starts: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -118,42 +122,54 @@ def cut_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     return kept + words[at:]
 
 
-def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, prefilter: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The digests of all rows, the texts that may lose words, and their windows.
 
     The second is (doc_id, text, part), the third (doc_id, part, starts) with the
-    starts of the windows to remove; part is a hash of the text. Rows that repeat a doc_id with another text count as
-    parts of one document: equal ids never remove each other's words.
+    starts of the windows to remove; part is a hash of the text. Rows that repeat
+    a doc_id with another text count as parts of one document: equal ids never
+    remove each other's words. Without prefilter every window is counted.
+
+    A hot anchor or window is counted by partial sums; what repeats is written
+    out, so that the joins have two plain exchanges and Spark can split them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = cut(rows.mapInArrow(_digest, "doc_id long, n_words long, sha string, anchors array<long>"))
     known = digests.where(f"doc_id is not null and n_words >= {WINDOW}")
     first = known.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    lead = known.join(first, "sha").where("doc_id = first").select("doc_id", "sha", "anchors")
-    marks = lead.select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    per_doc = marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+    if prefilter:
+        lead = known.join(first, "sha").where("doc_id = first").select("doc_id", "anchors")
+        marks = lead.select("doc_id", F.explode("anchors").alias("anchor"))
+        shared = cut(marks.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
+        per_doc = marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
+    else:
+        per_doc = known.select("doc_id", F.lit(None).cast("array<long>").alias("shared")).distinct()
     texts = cut(rows.join(per_doc, "doc_id").withColumn("part", F.xxhash64("text")))
     windows = texts.mapInArrow(_windows, "doc_id long, part long, at int, h long, a int")
-    firsts = windows.groupBy("h", "a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "a", "lo")
+    firsts = windows.groupBy("h", "a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    firsts = cut(firsts.select("h", "a", "lo"))
     gone = windows.join(firsts, ["h", "a"]).where("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("at").alias("starts"))
-    return digests, texts, gone
+    return digests, texts.drop("shared"), gone
 
 
-def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, keep_text: bool = False, prefilter: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, spans, kept]) for every row.
 
     Null, empty and short texts lose nothing. A row without doc_id neither
-    loses words nor makes others lose them. keep_text adds the removed spans
-    (from, to) in words, and the words left joined by a space.
+    loses words nor makes others lose them. Of equal windows the least doc_id
+    keeps its words; windows of one document, and of rows with one doc_id, do
+    not count against each other. An empty table gives no rows, other columns
+    play no part, and texts may be of any length: one text and its starts are
+    what a task holds at least. keep_text adds the removed spans (from, to) in
+    words, and the words left joined by a space.
     """
-    digests, texts, gone = repeated_windows(docs)
+    digests, texts, gone = repeated_windows(docs, prefilter)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in text_slices(batches):
             out: list[list] = [[], [], [], [], [], []]
-            for i, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("starts").to_pylist(), strict=True):
-                words = words_of(text)
+            for i, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("starts"), strict=True):
+                words, starts = words_of(text.as_py()), starts.values.to_numpy().tolist()
                 spans = [(x, min(y, len(words))) for x, y in intervals(starts) if x < len(words)]
                 left = b" ".join(cut_words(words, spans))
                 row = i, hashlib.sha256(b" ".join(words)).hexdigest(), sum(y - x for x, y in spans), hashlib.sha256(left).hexdigest()
@@ -163,7 +179,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), span, pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "sha", "n_removed", "kept_sha256", "spans", "kept"])
 
-    cuts = texts.drop("shared").join(gone, ["doc_id", "part"]).mapInArrow(apply, "doc_id long, sha string, n_removed long, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>, kept string")
+    cuts = texts.join(gone, ["doc_id", "part"]).mapInArrow(apply, "doc_id long, sha string, n_removed long, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>, kept string")
     cuts = cuts.dropDuplicates(["doc_id", "sha"])
     # A copy of a whole text takes the place of its first; its own windows all go.
     first = digests.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
