@@ -15,6 +15,7 @@ The bounds hold for every pair, so the result is exact: recall is one.
 """
 
 import heapq
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -126,22 +127,39 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") ->
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = TOP, block: int = 2048, lanes: int = 32) -> DataFrame:
+def grid(queries: int, candidates: int, most_queries: int, pairs: int, least_tasks: int) -> tuple[int, int]:
+    """(query blocks, lanes): a grid of tasks that sends the fewest vectors.
+
+    A task sees queries / blocks of the ones and candidates / lanes of the
+    others, so queries x lanes + candidates x blocks vectors are sent. For a
+    number of tasks (no more than pairs products each, least_tasks at least)
+    that is least where both terms are equal: 2 sqrt(queries x candidates x
+    tasks). No block holds more than about most_queries.
+    """
+    if not queries or not candidates:
+        return 1, 1
+    tasks = max(least_tasks, -(-queries * candidates // pairs))
+    blocks = max(1, -(-queries // most_queries), round(math.sqrt(queries * tasks / candidates)))
+    return blocks, max(1, -(-tasks // blocks))
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = TOP, block: int = 8192, pairs: int = 1 << 34, least_tasks: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products.
 
     Both sides are (vec_id, embedding) as from ``valid``. A query is no candidate
     of its own id. Ties go to the smaller vec_id; vectors of different length do
-    not meet. Rows repeating an id are candidates each, a query id asks once.
+    not meet. Rows repeating an id are candidates each, a query id asks once,
+    with its least vector. Empty tables give no rows; other columns play no part.
 
     block is about how many queries a task holds; candidates are streamed, so
-    that a lane may have any length. There are query blocks x lanes tasks, and
-    the vectors sent are queries x lanes + candidates x query blocks.
+    that a lane may have any length. See grid() for how tasks are laid out.
     """
-    n_blocks = max(1, -(-queries.count() // block))
+    queries = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n_blocks, lanes = grid(queries.count(), candidates.count(), block, pairs, least_tasks)
     dim = F.size("embedding").alias("dim")
     fan = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     mine = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-    asking = queries.dropDuplicates(["vec_id"]).select(dim, mine(n_blocks, "vec_id").alias("qb"), fan(lanes, "lane"), F.lit(0).alias("side"), "vec_id", "embedding")
+    asking = queries.select(dim, mine(n_blocks, "vec_id").alias("qb"), fan(lanes, "lane"), F.lit(0).alias("side"), "vec_id", "embedding")
     passing = candidates.select(dim, fan(n_blocks, "qb"), mine(lanes, "vec_id", "embedding").alias("lane"), F.lit(1).alias("side"), "vec_id", "embedding")
     dealt = asking.unionByName(passing).repartitionById(n_blocks * lanes, F.col("qb") * lanes + F.col("lane"))
     tops = dealt.sortWithinPartitions("dim", "qb", "lane", "side").mapInArrow(partial(lanes_top, k=k), "query_id long, vec_id long, score double")
