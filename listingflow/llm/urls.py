@@ -108,7 +108,9 @@ def judged(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = No
     carry. A page without a rule is blocked if any url of its component has a
     block rule, be it a page of the table or only the target of a link; `via`
     is then the component's least url. A null url or one without `://` is in no
-    component and allowed. Repeated rows are judged each.
+    component and allowed. Repeated rows are judged each; a page_id may be null,
+    urls and pages of any length. An empty table gives no rows, and columns
+    besides page_id, url and html play no part.
     """
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), node(F.col("url")).alias("node"))
@@ -122,7 +124,9 @@ def judged(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = No
     blocks = fitting_rule(rules, *host_and_path(url))["verdict"] == "block"
     bad = comp.where(blocks).select("root").distinct()
     aliases = comp.join(bad, "root").select("node", F.col("root").alias("via")).distinct()
-    out = rows.join(aliases, "node", "left")
+    # Pages without a node would all meet in one task of the join.
+    out = rows.where("node is not null").join(aliases, "node", "left")
+    out = out.unionByName(rows.where("node is null").withColumn("via", F.lit(None).cast("string")))
     free = F.col("rule").isNull()
     verdict = F.when(~free, F.col("rule.verdict")).when(F.col("via").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("rule.name").alias("rule"), verdict.alias("verdict"), F.when(free, F.col("via")).alias("via"))
