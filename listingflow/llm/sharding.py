@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from listingflow.functions.lineage import cut
 
 SHARDS, BLOCKS = 24, 4096
+#: Most old shards: with the blocks they bound the table that the driver sees.
+MOST_OLD = 256
+NOWHERE = -1
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: Callable[[int, int], int]) -> dict[tuple[int, int], int]:
@@ -72,6 +75,9 @@ def min_cost_flow(supply: list[int], demand: list[int], cost: Callable[[int, int
 def place_blocks(blocks: list[tuple[int, int, int]], flow: dict[tuple[int, int], int], shards: int) -> dict[tuple[int, int], int]:
     """(old shard, block) -> new shard for (old shard, block, bytes) rows.
 
+    Whole blocks cannot carry the flow exactly: a target may get up to one
+    block too much for each pair of shards of the flow, so the bytes moved exceed
+    the optimum by no more than the pairs of the flow times the largest block.
     The largest block goes where most of its shard's flow is still open, its own
     shard first; what overshoots is made good by smaller blocks. The last word
     goes to the open capacity of the whole target, so that sizes end near equal.
@@ -94,11 +100,14 @@ def place_blocks(blocks: list[tuple[int, int, int]], flow: dict[tuple[int, int],
 
 
 def block_table(docs: DataFrame, old_shard, blocks: int = BLOCKS) -> DataFrame:
-    """Rows with size, text_crc32, old shard and block; the text stays behind."""
+    """Rows with size, text_crc32, old shard and block; the text stays behind.
+
+    A null old shard is one of its own, from which everything moves.
+    """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
     crc = F.crc32(F.coalesce("text", F.lit("")))
     block = F.pmod(F.xxhash64("doc_id", crc), F.lit(blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), old_shard.cast("int").alias("old"), block.alias("block"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.coalesce(old_shard.cast("int"), F.lit(NOWHERE)).alias("old"), block.alias("block"))
 
 
 def resharding(rows: DataFrame, shards: int = SHARDS, cost: Callable[[int, int], int] = lambda i, j: int(i != j)) -> DataFrame:
@@ -107,6 +116,8 @@ def resharding(rows: DataFrame, shards: int = SHARDS, cost: Callable[[int, int],
     start is the first slot of the block's documents in the new shard.
     """
     spark = rows.sparkSession
+    if rows.select("old").distinct().limit(MOST_OLD + 1).count() > MOST_OLD:
+        raise ValueError(f"more than {MOST_OLD} old shards: the plan would outgrow the driver")
     sums = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
     sums.sort(key=lambda r: (r["old"], r["block"]))
     olds = sorted({r["old"] for r in sums})
@@ -126,12 +137,15 @@ def resharding(rows: DataFrame, shards: int = SHARDS, cost: Callable[[int, int],
 def resharded(docs: DataFrame, old_shard, shards: int = SHARDS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row.
 
-    The law is `bytes`. Slots count from 0 without gaps in each shard: blocks
+    The law is `bytes`, and it binds: equal texts are a group in no other sense
+    than that of the size, a group of a third of all rows could not stay together
+    in a shard of its share. Blocks are cut by doc_id and checksum. Slots count from 0 without gaps in each shard: blocks
     have their first slot from the plan, documents their place in the block by
     doc_id, checksum and size. A null text has 8 bytes; rows without doc_id or
     repeated rows are placed like any other. old_shard is a column of small
-    numbers, 0 to a few dozens; the plan has at most old shards x blocks rows
-    and is broadcast.
+    numbers; the plan has at most MOST_OLD x blocks rows of 25 bytes and is
+    broadcast. An empty table gives no rows; other columns play no part; a text's
+    length matters for its size alone.
     """
     rows = cut(block_table(docs, old_shard, blocks))
     plan = resharding(rows, shards)
@@ -154,14 +168,19 @@ def rewrite(spark: SparkSession, old_path: str, new_path: str, shards: int = SHA
 
     Only shards that give or take a block are read in full and written again,
     under new_path; the rest stay valid where they are. The returned plan has
-    the moved blocks, and with its ``old`` and ``shard`` the list of both.
+    the moved blocks, and with its ``old`` and ``shard`` the list of both (rows
+    of a null shard come from NOWHERE). All columns of the dataset stay, whatever
+    their names. Empty datasets and rows that repeat or lack values are moved
+    like any other.
     """
     docs = spark.read.parquet(old_path)
-    marked = docs.withColumns({"__crc": F.crc32(F.coalesce("text", F.lit("")))})
     rows = cut(block_table(docs, F.col("shard"), blocks))
-    plan = resharding(rows, shards)
+    plan = cut(resharding(rows, shards))
     touched = sorted({r[k] for r in plan.where("moved").select("old", "shard").distinct().collect() for k in ("old", "shard")})
-    key = F.pmod(F.xxhash64(F.col("doc_id"), "__crc"), F.lit(blocks)).cast("int")
-    out = marked.withColumn("block", key).withColumnRenamed("shard", "old").join(F.broadcast(plan.select("old", "block", "shard")), ["old", "block"])
-    out.where(F.col("shard").isin(touched)).drop("old", "block", "__crc").write.partitionBy("shard").mode("errorifexists").parquet(new_path)
+    to = plan.select(F.col("old").alias("__from"), F.col("block").alias("__at"), F.col("shard").alias("__to"))
+    key = F.pmod(F.xxhash64(F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")))), F.lit(blocks)).cast("int")
+    marked = docs.withColumns({"__old": F.coalesce(F.col("shard").cast("int"), F.lit(NOWHERE)), "__block": key})
+    out = marked.join(F.broadcast(to), (F.col("__old") == F.col("__from")) & (F.col("__block") == F.col("__at"))).where(F.col("__to").isin(touched))
+    names = [c for c in docs.columns if c != "shard"]
+    out.select(*names, F.col("__to").alias("shard")).write.partitionBy("shard").mode("errorifexists").parquet(new_path)
     return plan
