@@ -1,5 +1,6 @@
 """Cutting lineage, so that a lost executor does not replay a whole job."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,15 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary one is set.
+    Where the session names none, a local one gets a temporary folder; a cluster
+    has no folder that could stand in for it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
