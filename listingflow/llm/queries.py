@@ -84,4 +84,28 @@ _MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(tex
  r AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS repeats FROM g),
  x AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.repeats, r.target - r.repeats * r.source_size AS budget, (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h))::BIGINT AS upto, (sum(d.size) OVER (PARTITION BY d.source, d.h))::BIGINT AS own FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
  SELECT doc_id, size, source_size, target, (size * least(3, repeats + CASE WHEN upto - own / 2 < budget THEN 1 ELSE 0 END))::BIGINT AS taken FROM x"""
-ORACLES: dict[str, str] = {"op10_hash_threshold_mix": _MIX}
+#: Rules as expressions; propagation is a closure over the links of pages.
+_RULES = """CASE WHEN ({h} = 'www.example.com' OR {h} LIKE '%.www.example.com') AND starts_with({p}, '/en/') THEN 'www.example.com/en/' WHEN ({h} = 'example.com' OR {h} LIKE '%.example.com') AND starts_with({p}, '/en/') THEN 'example.com/en/'
+ WHEN ({h} = 'net' OR {h} LIKE '%.net') AND starts_with({p}, '/es/') THEN 'net/es/' WHEN ({h} = 'net' OR {h} LIKE '%.net') AND starts_with({p}, '/fr/') THEN 'net/fr/' WHEN ({h} = 'com' OR {h} LIKE '%.com') AND starts_with({p}, '/') THEN 'com/' END"""
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_URLS = rf"""WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ p AS (SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), {_LETTERS}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path,
+  CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(rest, '^[^/?#]*', 0, 's'), {_LETTERS}) || coalesce(nullif(regexp_replace(regexp_replace(rest, '#.*$', '', 's'), '^[^/?]*', '', 's'), ''), '/') END AS node FROM u),
+ l AS (SELECT DISTINCT node AS a, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?(?:[a-z]+://)([^"''\s>#]+)', 1) AS b FROM (SELECT node, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM p WHERE html ILIKE '%canonical%') WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?\s*canonical\b')),
+ e AS (SELECT a, b FROM l WHERE a <> b AND b <> '' UNION SELECT b, a FROM l WHERE a <> b AND b <> ''),
+ c AS (SELECT a AS node, a AS other FROM e UNION SELECT c.node, e.b FROM c JOIN e ON c.other = e.a),
+ r AS (SELECT page_id, host, path, node, {_RULES.format(h="host", p="path")} AS rule FROM p),
+ b AS (SELECT c.node, min(c.other) AS via FROM c GROUP BY c.node HAVING bool_or({_RULES.format(h="split_part(c.other, '/', 1)", p="substr(c.other, instr(c.other, '/'))")} IN ('example.com/en/', 'net/es/', 'net/fr/')))
+ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR via IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN rule IS NULL THEN via END AS via FROM r LEFT JOIN b USING (node)"""
+#: Sums from left to right, as the query's.
+_NEAREST = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]), lambda a, b: a + b) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 20"""
+_PASSAGES = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+ s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: {'i': i, 'h': md5(array_to_string(w[i:i + 49], ' '))})) AS win FROM d WHERE len(w) >= 50),
+ f AS (SELECT win.h AS h, min(doc_id) AS lo FROM s GROUP BY 1),
+ g AS (SELECT DISTINCT s.doc_id, s.win.i + k.k AS j FROM s JOIN f ON s.win.h = f.h AND s.doc_id > f.lo, range(0, 50) k(k)),
+ u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+ k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY j) FILTER (g.j IS NULL) AS kept, count(g.j) AS n_removed FROM u LEFT JOIN g USING (doc_id, j) GROUP BY u.doc_id)
+ SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+ORACLES: dict[str, str] = {"op5_url_redirect_filter": _URLS, "op7_ann_block_join": _NEAREST, "op8_substring_dedup": _PASSAGES, "op10_hash_threshold_mix": _MIX}
