@@ -2,7 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns rows that are written as
 Parquet and read again as the next stage's docs. All but the last return the
-columns of documents.
+columns of documents; other columns that documents may have are left behind.
+
+Odd rows, stage by stage: an empty table gives an empty one. A null, empty or
+blank text is clean; all such texts are one group of near copies; it has no
+entities, no words to mix (it is taken as often as its hash says) and no tokens.
+Rows without doc_id are in groups like any other, and one stays of a group that
+has no doc_id at all. Equal rows under one doc_id are one row from the second
+stage on; another text under that doc_id stays. Texts may be of any length:
+workers hold slices of a few megabytes, or one text. Folders of the stages lie
+under the shared folder and are left for a rerun to look at.
 """
 
 import uuid
