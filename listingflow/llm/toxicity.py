@@ -59,23 +59,27 @@ def sentences(text: str | None) -> list[str]:
 
 
 class Scorer:
-    """Scores texts; remembers which words carry no known feature."""
+    """Scores texts. Most words are told by their first four letters to carry
+    no feature of the model; what the others carry is remembered."""
 
     def __init__(self, model: Model, cache: int = 100_000):
         self.model, self.cache, self.words = model, cache, {}
+        self.heads = {f[: min(PREFIXES)] for f in model.weights}
 
     def known(self, word: str) -> tuple[str, ...]:
-        got = self.words.get(word)
-        if got is None:
-            got = tuple(f for f in word_features(word) if f in self.model.weights)
-            if len(word) <= 64:
-                if len(self.words) >= self.cache:
-                    self.words.clear()
-                self.words[word] = got
+        got = tuple(f for f in word_features(word) if f in self.model.weights)
+        if len(word) <= 64:
+            if len(self.words) >= self.cache:
+                self.words.clear()
+            self.words[word] = got
         return got
 
     def sentence(self, s: str) -> float:
-        found = {f for w in _WORD.findall(s.lower()) for f in self.known(w)}
+        heads, known, k = self.heads, self.words, min(PREFIXES)
+        found: set[str] = set()
+        for w in _WORD.findall(s.lower()):
+            if w[:k] in heads:
+                found.update(known[w] if w in known else self.known(w))
         if not found:
             return 0.0
         z = self.model.bias + math.fsum(self.model.weights[f] for f in found)
