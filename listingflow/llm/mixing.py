@@ -27,7 +27,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats:
     shared by weight; a target stops at max_repeats times its source's size and
     the excess is shared again. That is a water level: with the sources in order
     of cap over weight, the first k are capped where the level of the rest is
-    under their ratio. The rows are one for each source, already aggregated.
+    under their ratio. The rows are one for each source, already aggregated, and
+    their windows are one task: made for up to some millions of sources.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
     slot = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
@@ -87,8 +88,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: in
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
     taken is the size times the number of copies (0 to max_repeats). Rows of the
-    same doc_id share their hash and so their fate. A null text has size 0 and
-    takes 0. Reruns agree: nothing depends on the order of rows.
+    same doc_id share their hash and so their fate; rows without one go by their
+    text. A null text has size 0 and takes 0; texts of any length are counted
+    whole. An empty table gives no rows, other columns play no part. Reruns
+    agree: nothing depends on the order of rows.
     """
     rows = cut(sized(docs))
     goal = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats))
