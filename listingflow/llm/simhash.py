@@ -234,31 +234,38 @@ def _entries(nodes: DataFrame, similarity: float, ball: bool) -> DataFrame:
     return rows if ball else rows.withColumn("own", F.expr(f"shiftright(slot, 40) = {size}"))
 
 
-def _near(a: str, b: str, distance: int, similarity: float) -> str:
-    """SQL: prints and sizes of a and b allow the similarity.
+def _wide_bits(similarity: float) -> int:
+    """In how many bits the wide prints of similar texts may differ.
 
     At similarity s a bit of two prints differs with probability
-    acos(2s / (1 + s)) / pi; the wide print may differ in as many bits as that
-    gives, and 2.33 standard deviations more.
+    acos(2s / (1 + s)) / pi; this is as many bits as that gives, and two
+    standard deviations more.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * len(WIDE)
-    most = math.ceil(bits * p + 2.33 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def _near(a: str, b: str, distance: int, similarity: float) -> str:
+    """SQL: prints and sizes of a and b allow the similarity.
+
+    """
     wide = " + ".join(f"bit_count({a}.{g} ^ {b}.{g})" for g in WIDE)
-    return f"bit_count({a}.fp ^ {b}.fp) <= {distance} and {wide} <= {most} and {a}.n >= {similarity} * {b}.n - 1e-6 and {b}.n >= {similarity} * {a}.n - 1e-6"
+    return f"bit_count({a}.fp ^ {b}.fp) <= {distance} and {wide} <= {_wide_bits(similarity)} and {a}.n >= {similarity} * {b}.n - 1e-6 and {b}.n >= {similarity} * {a}.n - 1e-6"
 
 
-def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int = 16) -> DataFrame:
-    """Pairs (a, b) of ids that are near and close in order of their prints.
+def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int) -> DataFrame:
+    """Pairs (a, b) of ids of different components that are near and close in
+    the order of their prints.
 
     Prints are sorted under five rotations, by range over all tasks, and each is
     compared with some before it: a row for each text and rotation, however
     large a group of like texts is. These pairs are only the first.
     """
     turns = F.array(*(F.struct(F.lit(r).alias("turn"), F.expr(f"shiftleft(fp, {r}) | shiftrightunsigned(fp, {64 - r})" if r else "fp").alias("key")) for r in (0, 12, 25, 38, 51)))
-    rows = nodes.select("id", "fp", *WIDE, "n", F.explode(turns).alias("t")).select("*", "t.turn", "t.key").drop("t")
+    rows = nodes.select("id", "fp", *WIDE, "n", "c", F.explode(turns).alias("t")).select("*", "t.turn", "t.key").drop("t")
     rows = rows.repartitionByRange("turn", "key").sortWithinPartitions("turn", "key", "id")
-    names = ["id", "fp", *WIDE, "n", "turn"]
+    names, most = ["id", "fp", *WIDE, "n", "c", "turn"], _wide_bits(similarity)
     before = rows.select(F.struct(*names).alias("b"), "turn", "key")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +279,9 @@ def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int
             for step in range(1, around + 1):
                 x = np.arange(max(old, step), len(table["id"]))
                 y = x - step
-                ok = table["turn"][x] == table["turn"][y]
-                ok &= np.bitwise_count(table["fp"][x].view(np.uint64) ^ table["fp"][y].view(np.uint64)) <= distance
+                ok = (table["turn"][x] == table["turn"][y]) & (table["c"][x] != table["c"][y])
+                off = {g: np.bitwise_count((table[g][x] ^ table[g][y]).view(np.uint64)) for g in ("fp", *WIDE)}
+                ok &= (off["fp"] <= distance) & (sum(off[g].astype(int) for g in WIDE) <= most)
                 small, large = np.minimum(table["n"][x], table["n"][y]), np.maximum(table["n"][x], table["n"][y])
                 ok &= small >= similarity * large - 1e-6
                 found.append((table["id"][x[ok]], table["id"][y[ok]]))
@@ -285,7 +293,7 @@ def _neighbours(nodes: DataFrame, distance: int, similarity: float, around: int
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of ids those whose sets of shingles are similar enough."""
+    """Pairs (a, b) of ids, with ok if their sets of shingles are similar enough."""
     pairs = cut(pairs)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     wanted = cut(nodes.join(ids, "id", "left_semi").select("id", "node"))
@@ -294,7 +302,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, si
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
-    return cut(joined.where((union == 0) | (both / union >= similarity)).select("a", "b"))
+    return cut(joined.select("a", "b", ((union == 0) | (both / union >= similarity)).alias("ok")))
 
 
 def _node() -> Column:
@@ -310,23 +318,39 @@ def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float)
     propose within distance bits. Nulls and texts without a word are alike, and
     a shorter text is one shingle.
 
-    Neighbours in the order of the prints are verified first, so that a large
-    group of copies is one component, by a link or two a text, before the tables
-    are asked; they only give pairs of texts of different components, each pair
-    once (in the first segment in which the two meet).
+    Neighbours in the order of the prints are verified first, near ones and then
+    more, so that a large group of copies is one component, by few links a text,
+    before the tables are asked; they only give pairs of texts of different
+    components. No pair is verified twice.
     """
-    nodes = _nodes(docs, size)
-    links = _verified(_neighbours(nodes, distance, similarity), nodes, docs, size, similarity)
-    comp = connected_components(links).select(F.col("node").alias("id"), "root")
-    placed = cut(nodes.drop("node", "least").join(comp, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root"))
+    nodes, tried = _nodes(docs, size), None
+    for around in (3, 16, 0):
+        placed = _placed(nodes, tried)
+        pairs = _neighbours(placed, distance, similarity, around) if around else _table_pairs(placed, distance, similarity)
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        more = _verified(pairs, nodes, docs, size, similarity)
+        tried = more if tried is None else tried.unionByName(more)
+    return _placed(nodes, tried).select("node", "least", F.col("c").alias("root"))
+
+
+def _placed(nodes: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """nodes with c, the component that the pairs found similar put them in."""
+    if tried is None:
+        return nodes.withColumn("c", F.col("id"))
+    comp = connected_components(tried.where("ok")).select(F.col("node").alias("id"), "root")
+    return cut(nodes.join(comp, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root"))
+
+
+def _table_pairs(placed: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ids that the tables propose, of different components and
+    near, each once: in the first segment in which the two meet."""
     q, t = _entries(placed, similarity, True).alias("q"), _entries(placed, similarity, False).alias("t")
     masks = [((1 << width) - 1) << at for at, width in _segments(SEGMENTS)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     first = " and ".join(f"(shiftrightunsigned(q.slot, 33) & 7 <= {j} or bit_count((q.fp ^ t.fp) & {m}L) > 1)" for j, m in enumerate(signed[:-1]))
     met = q.join(t, "slot").where(f"q.c <> t.c and (not t.own or q.id < t.id) and {_near('q', 't', distance, similarity)} and {first}")
-    more = _verified(met.select(F.col("q.id").alias("a"), F.col("t.id").alias("b")), nodes, docs, size, similarity)
-    comp = connected_components(links.unionByName(more)).select(F.col("node").alias("id"), "root")
-    return cut(nodes.join(comp, "id", "left").select("node", "least", F.coalesce("root", "id").alias("root")))
+    return met.select(F.least("q.id", "t.id").alias("a"), F.greatest("q.id", "t.id").alias("b"))
 
 
 def _keep(docs: DataFrame, nodes: DataFrame) -> DataFrame:
