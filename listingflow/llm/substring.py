@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,12 +85,33 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that have a window, compressed: they travel twice."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for b in text_slices(batches):
+        ids, parts, packed = [], [], []
+        for i, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            if len(data) >= 2 * WINDOW - 1:
+                ids.append(i)
+                parts.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
+                packed.append(squeeze(data))
+        cols = [pa.array(ids, pa.int64()), pa.array(parts, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "packed"])
+    give_back()
+
+
+def _unpacked(packed: pa.BinaryScalar) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(packed.as_py())
+    return [w for block in word_blocks(data) for w in block]
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows whose anchor is among the row's shared ones (null: all windows)."""
-    for part in text_slices(batches, 1 << 20):
+    for part in text_slices(batches, 1 << 18, "packed"):
         ids, parts, at, h, a = [], [], [], [], []
-        for i, p, text, shared in zip(*(part.column(c) for c in ("doc_id", "part", "text", "shared")), strict=True):
-            words = _hashes(words_of(text.as_py()))
+        for i, p, packed, shared in zip(*(part.column(c) for c in ("doc_id", "part", "packed", "shared")), strict=True):
+            words = _hashes(_unpacked(packed))
             mins = anchors(words)
             known = shared.values.to_numpy() if shared.is_valid else None
             hit = np.flatnonzero(np.isin(mins, known.view(np.uint64))) if known is not None else np.arange(len(mins))
@@ -122,11 +144,12 @@ def cut_words(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
     return kept + words[at:]
 
 
-def repeated_windows(docs: DataFrame, prefilter: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The digests of all rows, the texts that may lose words, and their windows.
+def repeated_windows(docs: DataFrame, prefilter: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The digests of all rows, the first document of each whole text, the texts
+    that may lose words, and their windows.
 
-    The second is (doc_id, text, part), the third (doc_id, part, starts) with the
-    starts of the windows to remove; part is a hash of the text. Rows that repeat
+    The third is (doc_id, part, packed text), the fourth (doc_id, part, starts)
+    with the starts of the windows to remove; part is a hash of the text. Rows that repeat
     a doc_id with another text count as parts of one document: equal ids never
     remove each other's words. Without prefilter every window is counted.
 
@@ -136,7 +159,7 @@ def repeated_windows(docs: DataFrame, prefilter: bool = True) -> tuple[DataFrame
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = cut(rows.mapInArrow(_digest, "doc_id long, n_words long, sha string, anchors array<long>"))
     known = digests.where(f"doc_id is not null and n_words >= {WINDOW}")
-    first = known.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    first = cut(known.groupBy("sha").agg(F.min("doc_id").alias("first")))
     if prefilter:
         lead = known.join(first, "sha").where("doc_id = first").select("doc_id", "anchors")
         marks = lead.select("doc_id", F.explode("anchors").alias("anchor"))
@@ -144,12 +167,13 @@ def repeated_windows(docs: DataFrame, prefilter: bool = True) -> tuple[DataFrame
         per_doc = marks.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"))
     else:
         per_doc = known.select("doc_id", F.lit(None).cast("array<long>").alias("shared")).distinct()
-    texts = cut(rows.join(per_doc, "doc_id").withColumn("part", F.xxhash64("text")))
+    packed = rows.where("doc_id is not null").mapInArrow(_packed, "doc_id long, part long, packed binary")
+    texts = cut(packed.join(per_doc, "doc_id"))
     windows = texts.mapInArrow(_windows, "doc_id long, part long, at int, h long, a int")
     firsts = windows.groupBy("h", "a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     firsts = cut(firsts.select("h", "a", "lo"))
     gone = windows.join(firsts, ["h", "a"]).where("doc_id > lo").groupBy("doc_id", "part").agg(F.collect_set("at").alias("starts"))
-    return digests, texts.drop("shared"), gone
+    return digests, first, texts.drop("shared"), gone
 
 
 def deduplicated(docs: DataFrame, keep_text: bool = False, prefilter: bool = True) -> DataFrame:
@@ -163,13 +187,13 @@ def deduplicated(docs: DataFrame, keep_text: bool = False, prefilter: bool = Tru
     what a task holds at least. keep_text adds the removed spans (from, to) in
     words, and the words left joined by a space.
     """
-    digests, texts, gone = repeated_windows(docs, prefilter)
+    digests, first, texts, gone = repeated_windows(docs, prefilter)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches):
+        for b in text_slices(batches, 1 << 20, "packed"):
             out: list[list] = [[], [], [], [], [], []]
-            for i, text, starts in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("starts"), strict=True):
-                words, starts = words_of(text.as_py()), starts.values.to_numpy().tolist()
+            for i, packed, starts in zip(b.column("doc_id").to_pylist(), b.column("packed"), b.column("starts"), strict=True):
+                words, starts = _unpacked(packed), starts.values.to_numpy().tolist()
                 spans = [(x, min(y, len(words))) for x, y in intervals(starts) if x < len(words)]
                 left = b" ".join(cut_words(words, spans))
                 row = i, hashlib.sha256(b" ".join(words)).hexdigest(), sum(y - x for x, y in spans), hashlib.sha256(left).hexdigest()
@@ -182,7 +206,6 @@ def deduplicated(docs: DataFrame, keep_text: bool = False, prefilter: bool = Tru
     cuts = texts.join(gone, ["doc_id", "part"]).mapInArrow(apply, "doc_id long, sha string, n_removed long, kept_sha256 string, spans array<struct<`from`:int,`to`:int>>, kept string")
     cuts = cuts.dropDuplicates(["doc_id", "sha"])
     # A copy of a whole text takes the place of its first; its own windows all go.
-    first = digests.where(f"doc_id is not null and n_words >= {WINDOW}").groupBy("sha").agg(F.min("doc_id").alias("first"))
     base = digests.select("doc_id", "n_words", "sha").join(first, "sha", "left").alias("d").join(cuts.alias("c"), ["doc_id", "sha"], "left")
     copy = F.col("d.first") < F.col("doc_id")
     none = hashlib.sha256(b"").hexdigest()
