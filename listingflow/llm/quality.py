@@ -7,7 +7,7 @@ not odd for its shortness. For every (lang, source) the minimum covariance
 determinant is sought: mean and covariance of the three quarters of texts that
 lie closest together, by C-steps from two deterministic starts (nearest to the
 medians by median absolute deviation; nearest by mean and covariance of all)
-until nothing changes; the smaller determinant is taken.
+until no determinant falls; the smaller one is taken.
 
 Small groups know little, so estimates are shrunk: those of a (lang, source)
 towards its language's, those of a language towards all texts', each with the
@@ -161,27 +161,28 @@ def _near_medians(rows: DataFrame, by: list[str], small: Callable[[DataFrame], D
     return mad.select(*by, "n", *((F.col(f"c{i}") / UNIT).alias(f"m{i}") for i in range(len(DIMS))), *(c.alias(k) for k, c in var.items()))
 
 
-def estimates(rows: DataFrame, share: float = 0.75, most_steps: int = 100, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
+def estimates(rows: DataFrame, share: float = 0.75, tolerance: float = 0.01, small: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """(grp, m.., v..): the minimum covariance determinant of each group.
 
     rows has grp and x0..x4. small hints at a broadcast of tables with a narrow
     row for each group; the caller knows that they are few, or passes another.
-    C-steps go on for all groups until no sum changes; they cannot go back, but
-    for the floors and ties of whole distances, which is what most_steps is for.
+    C-steps go on for all groups until none has a determinant that falls by more
+    than tolerance (of its logarithm).
     """
     by = ["start", "grp"]
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     shape = cut(_near_medians(rows, ["grp"], small).withColumn("start", F.lit(0)).unionByName(_shape(rows, ["grp"]).withColumn("start", F.lit(1))))
-    mark, seen = F.bit_xor(F.xxhash64(*by, *SHAPE)), None
-    for _ in range(most_steps):
-        near = both.join(small(_inverse(shape)), by).select(*by, *DIMS, _whole(_distance()).alias("d"))
+    inverse = cut(_inverse(shape))
+    while True:
+        near = both.join(small(inverse), by).select(*by, *DIMS, _whole(_distance()).alias("d"))
         least = near.groupBy(*by).agg(F.expr(f"percentile(d, {share})").alias("most"))
         shape = cut(_shape(near.join(small(least), by).where("d <= most"), by))
-        now = shape.agg(mark).first()[0]
-        if now == seen:
+        before, inverse = inverse, cut(_inverse(shape))
+        both_dets = before.select(*by, F.col("logdet").alias("old")).join(small(inverse.select(*by, F.col("logdet").alias("new"))), by)
+        most, total = both_dets.agg(F.max(F.col("old") - F.col("new")), F.sum(F.col("old") - F.col("new"))).first()
+        if most is None or most <= tolerance or total <= 0:  # the sum falls, so this ends
             break
-        seen = now
-    best = _inverse(shape).groupBy("grp").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("b"))
+    best = inverse.groupBy("grp").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("b"))
     return cut(best.select("grp", "b.*"))
 
 
