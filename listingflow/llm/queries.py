@@ -6,7 +6,7 @@ Each query applies one operator with production parameters to its whole table.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listingflow.llm import ann, bpe, mixing, pii, quality, sharding, simhash, substring, toxicity, urls
+from listingflow.llm import ann, bpe, chat, mixing, negatives, pii, quality, resample, sharding, simhash, substring, toxicity, urls
 from listingflow.llm.text import table
 
 RULES = [
@@ -71,7 +71,28 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_encode_decode, op3_toxicity_mil, op4_pii_surrogates, op5_url_redirect_filter, op6_quality_mcd, op7_ann_block_join, op8_substring_dedup, op9_min_cost_resharding, op10_hash_threshold_mix)}
+def op11_threshold_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh row are moved on by one before mining."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.valid(table(spark, sf_dir, "embeddings").withColumn("label", label))
+    return negatives.mined(rows.where("vec_id % 100 = 0"), rows)
+
+
+#: A conversation whose texts look like the template itself.
+FORGED = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    forged = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.formatted(turns.unionByName(forged)))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_bpe_encode_decode, op3_toxicity_mil, op4_pii_surrogates, op5_url_redirect_filter, op6_quality_mcd, op7_ann_block_join, op8_substring_dedup, op9_min_cost_resharding, op10_hash_threshold_mix, op11_threshold_hard_negatives, op12_chat_formatting, op13_importance_resampling)}
 
 #: The mix by sorting: the running sum over the hashes against the budget.
 _MIX = r"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS h FROM documents),
@@ -108,4 +129,28 @@ _PASSAGES = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\
  u AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
  k AS (SELECT u.doc_id, string_agg(x, ' ' ORDER BY j) FILTER (g.j IS NULL) AS kept, count(g.j) AS n_removed FROM u LEFT JOIN g USING (doc_id, j) GROUP BY u.doc_id)
  SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
-ORACLES: dict[str, str] = {"op5_url_redirect_filter": _URLS, "op7_ann_block_join": _NEAREST, "op8_substring_dedup": _PASSAGES, "op10_hash_threshold_mix": _MIX}
+_HARD = """WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) AS score FROM r a JOIN r c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+ SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id AS negative_id, CAST(positive_score AS BIGINT) AS positive_score, CAST(score AS BIGINT) AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10"""
+#: Lengths of header and end mark (14 together, 15 for another role), and one more for each escape.
+_CHAT = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) f(k, r)),
+ n AS (SELECT *, length(role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 14 ELSE 15 END + length(regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g')) AS size FROM t)
+ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(size) AS BIGINT) AS formatted_chars FROM n GROUP BY conv_id"""
+#: The checksum byte by byte over each distinct feature, with its table from the rule.
+_CRC = "list_reduce(list_prepend(4294967295::UBIGINT, CAST(list_transform(range(0, strlen(f)), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(2 * i + 1 AS INT), 2) AS UBIGINT)) AS UBIGINT[])), lambda a, b: xor(a >> 8, k[CAST(xor(a & 255, b) AS BIGINT) + 1]))"
+_RESAMPLED = rf"""WITH c AS (SELECT list(v ORDER BY i) AS k FROM (SELECT i, list_reduce(list_prepend(i::UBIGINT, range(0, 8)::UBIGINT[]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(0, 256) r(i))),
+ d AS (SELECT row_number() OVER () AS r, * FROM (SELECT doc_id, text, true AS doc FROM documents UNION ALL SELECT NULL, text, false FROM benchmark)),
+ w AS (SELECT r, doc_id, doc, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM d),
+ u AS (SELECT r, doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+ m AS (SELECT r, doc, f, count(*) AS n FROM u GROUP BY ALL),
+ h AS (SELECT f, CAST(xor({_CRC}, 4294967295) % 10000 AS BIGINT) AS b FROM (SELECT DISTINCT f FROM m), c),
+ g AS (SELECT b, CAST(floor(1000 * ln((coalesce(sum(n) FILTER (NOT doc), 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM m WHERE doc)::DOUBLE + 10000) / ((coalesce(sum(n) FILTER (doc), 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM m WHERE NOT doc)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM m JOIN h USING (f) GROUP BY b),
+ s AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight FROM m JOIN h USING (f) JOIN g USING (b) WHERE doc GROUP BY r),
+ e AS (SELECT doc_id, len(w) AS n_words, CAST(3 * len(w) - least(len(w), 1) - least(len(w), 2) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM w LEFT JOIN s USING (r) WHERE doc),
+ o AS (SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id NULLS LAST) AS place FROM e)
+ SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM e WHERE n_words >= 20) THEN place END AS rank FROM o"""
+ORACLES: dict[str, str] = {"op13_importance_resampling": _RESAMPLED, "op11_threshold_hard_negatives": _HARD, "op12_chat_formatting": _CHAT, "op5_url_redirect_filter": _URLS, "op7_ann_block_join": _NEAREST, "op8_substring_dedup": _PASSAGES, "op10_hash_threshold_mix": _MIX}
