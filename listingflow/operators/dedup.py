@@ -11,17 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listingflow.functions.lineage import cut
+from listingflow.functions.lineage import broadcast_if_small, cut
 from listingflow.operators.graph import connected_components
-from listingflow.sources.sinks import SCHEMA_COLUMNS
 
-# Tolerances, and the hash's start and factor.
+# Tolerances, the hash's start and factor, and the facts of a flat.
 AREA_TOLERANCE, PRICE_TOLERANCE, MAX_DISTANCE, MIN_CHARS = 1.0, 0.03, 3, 200
 HASH_START, HASH_FACTOR = 1469598103934665603, 1099511628211
 _WORD = re.compile(r"[0-9a-ząćęłńóśźż]+")
-#: Listings' columns that do not count as facts about the flat.
-_NOT_RICH = {"id", "source", "source_id", "url", "deal_type", "city", "title", "content_hash", "seller_type", "agency_score", "dedup_group", "first_seen_at", "last_seen_at", "is_active"}
-FIELDS = tuple(c for c in SCHEMA_COLUMNS if c not in _NOT_RICH)
+FIELDS = ("phone_e164", "price", "area_m2", "rooms", "floor", "street", "district", "description")
 
 
 def shingles(text: Column) -> Column:
@@ -117,15 +114,59 @@ def phone_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
     return _pairs(df, ["deal_type", "phone_e164"], F.lit(True), later)
 
 
-def street_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
+def _by_street(df: DataFrame) -> tuple[DataFrame, list[str], Column]:
     """Same street, unless both have a phone (then phones decide)."""
     rows = df.withColumn("street_key", F.nullif(F.lower(F.trim("street")), F.lit("")))
-    return _pairs(rows, ["deal_type", "street_key"], F.col("x.phone_e164").isNull() | F.col("y.phone_e164").isNull(), later)
+    return rows, ["deal_type", "street_key"], F.col("x.phone_e164").isNull() | F.col("y.phone_e164").isNull()
 
 
-def _near_prints(kinds: DataFrame, max_distance: int) -> DataFrame:
-    """(deal_type, fp, other) of distinct fingerprints that are near, both ways
-    and each with itself.
+def street_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
+    """As _by_street says."""
+    return _pairs(*_by_street(df), later)
+
+
+def _links(df: DataFrame, keys: list[str], extra: Column, later: Column | None, inside: Column) -> DataFrame:
+    """(a, b) with a < b, all of them among _pairs', in a number that grows with the
+    rows and not with the square of a group of like ones.
+
+    Rows of equal keys, area, price and city, with or without phone, are a class;
+    classes are paired, each by its least member. A row is linked to the least of
+    all members of its class and of near ones. That is its least earlier match, if
+    it has one; else the link goes the other way. Without later the least members
+    of near classes are linked too: what pairs connect stays connected.
+
+    inside says whether two rows of one class match.
+    """
+    kind = [*keys, "area_m2", "price", "city", "known"]
+    rows = df.where(" and ".join(f"{k} is not null" for k in keys) + " and area_m2 is not null and price is not null")
+    rows = rows.withColumn("known", F.col("phone_e164").isNotNull())
+    phone = [] if "phone_e164" in keys else [F.min("phone_e164").alias("phone_e164")]
+    classes = rows.groupBy(*kind).agg(F.min("id").alias("id"), *phone)
+    near = _pairs(classes, keys, extra)
+    near = near if later is not None else cut(near)
+    ways = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("w"))
+    least = ways.groupBy("w.id").agg(F.min("w.other").alias("other"))
+    to = classes.join(least, "id", "left").select(*kind, F.when(inside, F.coalesce(F.least("id", "other"), "id")).otherwise(F.col("other")).alias("m"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in kind]
+    mine = (rows if later is None else rows.where(later)).select(*kind, "id").alias("r")
+    ends = mine.join(to.where("m is not null").alias("t"), same).where("m <> id").select("m", "id")
+    if later is not None:
+        return ends.where("m < id").select(F.col("m").alias("a"), F.col("id").alias("b"))
+    return ends.select(F.least("m", "id").alias("a"), F.greatest("m", "id").alias("b")).unionByName(near).distinct()
+
+
+def phone_links(df: DataFrame, later: Column | None = None) -> DataFrame:
+    """phone_pairs without all pairs of a group of like adverts."""
+    return _links(df, ["deal_type", "phone_e164"], F.lit(True), later, F.lit(True))
+
+
+def street_links(df: DataFrame, later: Column | None = None) -> DataFrame:
+    """street_pairs without all pairs of a group of like adverts."""
+    return _links(*_by_street(df), later, ~F.col("known"))
+
+
+def slots(kinds: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(deal_type, fp, key): the keys of which near fingerprints share one.
 
     If at most d bits differ, d + 3 blocks have three that are equal: a key is
     three whole blocks, about 32 bits, and few fingerprints share one by chance.
@@ -134,33 +175,54 @@ def _near_prints(kinds: DataFrame, max_distance: int) -> DataFrame:
     at = [64 * i // n for i in range(n + 1)]
     blocks = [F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)) for a, z in zip(at, at[1:], strict=False)]
     keys = F.array(*(F.xxhash64(F.lit(i), *(blocks[k] for k in c)) for i, c in enumerate(itertools.combinations(range(n), 3))))
-    slots = kinds.select("deal_type", "fp", F.explode(keys).alias("key"))
-    met = slots.alias("x").join(slots.alias("y"), ["deal_type", "key"]).where(f"x.fp <= y.fp and bit_count(x.fp ^ y.fp) <= {max_distance}")
+    return kinds.select("deal_type", "fp", F.explode(keys).alias("key"))
+
+
+def near_prints(asked: DataFrame, among: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(deal_type, fp, other): the fingerprints near those asked, in a table of slots.
+
+    A small batch's slots are broadcast (they are counted first), so nothing of
+    the table moves but what meets them.
+    """
+    mine = broadcast_if_small(cut(slots(asked, max_distance).withColumnRenamed("fp", "asked")), 100_000)
+    met = among.join(mine, ["deal_type", "key"]).where(f"bit_count(fp ^ asked) <= {max_distance}")
+    return met.select("deal_type", F.col("asked").alias("fp"), F.col("fp").alias("other")).distinct()
+
+
+def _near_prints(kinds: DataFrame, max_distance: int) -> DataFrame:
+    """near_prints of distinct fingerprints among themselves, each pair met once."""
+    cells = slots(kinds, max_distance)
+    met = cells.alias("x").join(cells.alias("y"), ["deal_type", "key"]).where(f"x.fp <= y.fp and bit_count(x.fp ^ y.fp) <= {max_distance}")
     ways = F.array(F.struct(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other")), F.struct(F.col("y.fp").alias("fp"), F.col("x.fp").alias("other")))
     return met.select("deal_type", F.explode(ways).alias("w")).select("deal_type", "w.fp", "w.other").distinct()
 
 
-def simhash_links(df: DataFrame, max_distance: int = MAX_DISTANCE, later: Column | None = None) -> DataFrame:
+def simhash_links(df: DataFrame, max_distance: int = MAX_DISTANCE, later: Column | None = None, near: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: each listing b with the least listing a of every class of
     one city (or none) and one fingerprint (column fp, signed) that is near.
 
     A class of copies has a link for each member, not for each pair; the least
     match of every listing is among its links, and what is connected stays so.
+    near is what near_prints finds for those fulfilling later, if it is known; else
+    only their fingerprints are looked up.
     """
     rows = df.where("fp is not null")
-    homes = cut(rows.groupBy("deal_type", "fp", "city").agg(F.min("id").alias("a")))
-    near = _near_prints(homes.select("deal_type", "fp").distinct(), max_distance)
-    to = cut(near.join(homes.select("deal_type", F.col("fp").alias("other"), F.col("city").alias("there"), "a"), ["deal_type", "other"]).select("deal_type", "fp", "there", "a"))
+    homes = rows.groupBy("deal_type", "fp", "city").agg(F.min("id").alias("a"))
+    if near is None:
+        homes = cut(homes)
+        kinds = homes.select("deal_type", "fp").distinct()
+        near = _near_prints(kinds, max_distance) if later is None else near_prints(rows.where(later).select("deal_type", "fp").distinct(), slots(kinds, max_distance), max_distance)
+    to = near.join(homes.select("deal_type", F.col("fp").alias("other"), F.col("city").alias("there"), "a"), ["deal_type", "other"]).select("deal_type", "fp", "there", "a")
     mine = (rows if later is None else rows.where(later)).select("deal_type", "fp", "city", F.col("id").alias("b"))
     here = F.coalesce(F.col("there") == F.col("city"), F.lit(True))
     return mine.join(to, ["deal_type", "fp"]).where((F.col("a") < F.col("b")) & here).select("a", "b").distinct()
 
 
-def same_object_pairs(df: DataFrame, later: Column | None = None) -> DataFrame:
-    """Links of active listings that are one flat by phone, street or text (for
-    texts with the least of each class of copies only)."""
+def same_object_pairs(df: DataFrame, later: Column | None = None, near: DataFrame | None = None) -> DataFrame:
+    """Links of active listings that are one flat by phone, street or text."""
     rows = df.where("is_active")
-    return phone_pairs(rows, later).unionByName(street_pairs(rows, later)).unionByName(simhash_links(rows, later=later)).distinct()
+    links = phone_links(rows, later).unionByName(street_links(rows, later))
+    return links.unionByName(simhash_links(rows, later=later, near=near)).distinct()
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:

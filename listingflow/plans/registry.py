@@ -4,6 +4,7 @@ The queries read the generic tables through the derived views; each has the
 SQL with the same rows for DuckDB, unless SQL cannot say it.
 """
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,10 +97,14 @@ _HITS = "(" + " + ".join(f"CAST(t.f LIKE '%{w}%' AS INT)" for w in ("the", "and"
 
 
 def _free_hits(words: tuple[str, ...]) -> str:
-    """SQL for how many words occur in t.f without a negation before them."""
-    negated = " OR ".join(f"substr(t.f, greatest(1, CAST(p AS INT) - 14), least(14, CAST(p AS INT) - 1)) LIKE '%{x}%'" for x in NOT_WORDS)
-    one = "CAST(EXISTS (SELECT 1 FROM generate_series(1, length(t.f)) g(p) WHERE substr(t.f, p, {n}) = '{w}' AND NOT ({x})) AS INT)"
-    return "(" + " + ".join(one.format(n=len(w), w=w, x=negated) for w in words) + ")"
+    """SQL for how many words occur in t.f without a negation before them.
+
+    The text is split at the word; what came before an occurrence is the end of
+    the parts until then, of which six hold fourteen characters.
+    """
+    negated = " OR ".join(f"right(array_to_string(s[greatest(1, i - 5):i], '{{w}}'), 14) LIKE '%{x}%'" for x in NOT_WORDS)
+    one = "CAST(len(list_filter([string_split(t.f, '{w}')], lambda s: len(list_filter(range(1, len(s)), lambda i: NOT (" + negated + "))) > 0)) AS INT)"
+    return "(" + " + ".join(one.format(w=w) for w in words) + ")"
 
 
 _POSITIONS = _free_hits(("the", "and", "fur", "pour"))
@@ -125,6 +130,11 @@ _SCORE = f"""WITH c AS ({_CONTEXT}),
  SELECT id, agency_score, CASE WHEN agency_score >= 0.6 THEN 'agency' WHEN agency_score <= 0.3 THEN 'private' ELSE 'unknown' END AS seller_type FROM s"""
 
 
+def _hits_of(keywords: tuple[str, ...]) -> str:
+    """SQL for how many of real keywords occur in t.f; the test texts negate none."""
+    return "(" + " + ".join(f"CAST(contains(t.f, lower(strip_accents(replace('{k}', 'ł', 'l')))) AS INT)" for k in keywords) + ")"
+
+
 @query("v_listings", sql=_SCORE)
 def classify_listings(listings):
     return cl.classify_listings(listings.drop("seller_type"), listings, _CFG).select("id", "agency_score", "seller_type")
@@ -159,17 +169,15 @@ def content_hashes(docs):
 
 
 _docs(shingle_counts, _SHINGLES)
-_docs(
-    content_hashes,
-    """WITH t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-ząćęłńóśźż]+') AS w FROM documents),
+#: Fingerprints of documents: words and pairs, hashed with 64-bit wrapping products.
+_PRINTS = """t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[0-9a-ząćęłńóśźż]+') AS w FROM documents),
  s AS (SELECT doc_id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS tok FROM t WHERE length(text) >= 200),
  k AS (SELECT DISTINCT tok FROM s),
  h AS (SELECT tok, list_reduce(list_prepend(1469598103934665603::HUGEINT, list_transform(range(0, CAST(length(hex(encode(tok))) / 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode(tok)), CAST(2 * i + 1 AS INT), 2) AS HUGEINT))),
    lambda a, b: (xor(a, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS v FROM k),
  b AS (SELECT s.doc_id, g.i, sum(CAST((h.v // (1::HUGEINT << g.i)) % 2 AS INT)) AS ones, count(*) AS n FROM s JOIN h USING (tok), (SELECT unnest(range(0, 64))::INT AS i) g GROUP BY 1, 2),
- f AS (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN 1::HUGEINT << i ELSE 0::HUGEINT END) AS v FROM b GROUP BY doc_id)
- SELECT d.doc_id, CASE WHEN f.v IS NOT NULL THEN lpad(lower(to_hex(CAST(f.v AS UBIGINT))), 16, '0') END AS content_hash FROM documents d LEFT JOIN f USING (doc_id)""",
-)
+ f AS (SELECT doc_id, sum(CASE WHEN 2 * ones > n THEN 1::HUGEINT << i ELSE 0::HUGEINT END) AS v FROM b GROUP BY doc_id)"""
+_docs(content_hashes, f"WITH {_PRINTS} SELECT d.doc_id, CASE WHEN f.v IS NOT NULL THEN lpad(lower(to_hex(CAST(f.v AS UBIGINT))), 16, '0') END AS content_hash FROM documents d LEFT JOIN f USING (doc_id)")
 
 @query("v_listings", sql="SELECT id, CAST(bit_count(xor(id * 2654435761, coalesce(price, 0) * 40503)) AS INT) AS bits FROM v_listings")
 def hamming(listings):
@@ -193,14 +201,37 @@ def street_pairs(listings):
     return dd.street_pairs(listings.where("is_active"))
 
 
-#: Pairs of fingerprints of equal deal types, at most three bits apart.
-@query("v_listings")
+#: Listings with the fingerprints of their texts, and near classes of copies.
+_HASHED = f"{_PRINTS}, lh AS (SELECT l.*, CAST(f.v AS UBIGINT) AS fp FROM v_listings l LEFT JOIN f ON f.doc_id = l.id - 1 AND l.description IS NOT NULL)"
+_NEAR_PRINTS = "near AS (SELECT x.deal_type, x.fp, y.fp AS other FROM (SELECT DISTINCT deal_type, fp FROM {t} WHERE fp IS NOT NULL) x JOIN (SELECT DISTINCT deal_type, fp FROM {t} WHERE fp IS NOT NULL) y ON x.deal_type = y.deal_type AND bit_count(xor(x.fp, y.fp)) <= 3)"
+
+
+@query("v_listings", sql=f"""WITH {_HASHED}, act AS (SELECT * FROM lh WHERE is_active), {_NEAR_PRINTS.format(t="act")},
+ c AS (SELECT deal_type, fp, city, min(id) AS a FROM act WHERE fp IS NOT NULL GROUP BY ALL)
+ SELECT DISTINCT c.a, x.id AS b FROM act x JOIN near n ON n.deal_type = x.deal_type AND n.fp = x.fp JOIN c ON c.deal_type = n.deal_type AND c.fp = n.other AND coalesce(c.city = x.city, true) AND c.a < x.id""")
 def simhash_pairs(listings):
     """Each listing with the least listing of every near class of copies."""
     return dd.simhash_links(dd.with_fingerprint(listings.where("is_active")))
 
 
-@query("v_listings")
+_OBJECTS = f"""WITH RECURSIVE {_HASHED}, {_NEAR_PRINTS.format(t="lh")},
+ p AS ({_PHONE_PAIRS} UNION {_STREET_PAIRS} UNION SELECT x.id, y.id FROM lh x JOIN near n ON n.deal_type = x.deal_type AND n.fp = x.fp JOIN lh y ON y.deal_type = n.deal_type AND y.fp = n.other AND x.id < y.id AND coalesce(x.city = y.city, true) WHERE x.is_active AND y.is_active),
+ up AS (SELECT b AS id, min(a) AS up FROM p GROUP BY b),
+ r AS (SELECT l.id, l.id AS root FROM v_listings l WHERE l.id NOT IN (SELECT id FROM up) UNION ALL SELECT up.id, r.root FROM up JOIN r ON up.up = r.id) SELECT id, root FROM r"""
+
+
+@query("v_listings", sql=f"SELECT b, min(a) AS a FROM ({_PHONE_PAIRS}) GROUP BY b")
+def phone_links(listings):
+    """The least earlier match of each listing, from the linear links."""
+    return dd.phone_links(listings.where("is_active")).groupBy("b").agg(F.min("a").alias("a"))
+
+
+@query("v_listings", sql=f"SELECT b, min(a) AS a FROM ({_STREET_PAIRS}) GROUP BY b")
+def street_links(listings):
+    return dd.street_links(listings.where("is_active")).groupBy("b").agg(F.min("a").alias("a"))
+
+
+@query("v_listings", sql=_OBJECTS)
 def same_object_groups(listings):
     return dd.assign_groups(dd.with_fingerprint(listings))
 
@@ -242,12 +273,12 @@ def _all_of(merged: DataFrame) -> DataFrame:
 
 @query("v_listings", sql=_MERGED.format("coalesce(b.url, s.url)", "true"))
 def merge_listings(listings):
-    return _all_of(mg.merge_listings(*_halves(listings)))
+    return _all_of(mg.merge_listings(*_halves(listings), "id"))
 
 
 @query("v_listings", sql=_MERGED.format("CASE WHEN b.id IS NOT NULL THEN b.url ELSE s.url END", "is_active"))
 def merge_ingest(listings):
-    return _all_of(mg.merge_ingest(*_halves(listings)))
+    return _all_of(mg.merge_ingest(*_halves(listings), "id"))
 
 
 _ELIGIBLE = "phone_e164 IS NOT NULL AND seller_type <> 'agency' AND is_active"
@@ -303,7 +334,7 @@ _SUMMARY = f"""SELECT f.source, f.found, f.new, coalesce(r.pages, 0) AS pages, c
 
 def _summary(raw, listings, log):
     runs = log.where("source <> 'gratka'").groupBy("source").agg((F.count(F.lit(1)) % 100).cast("int").alias("pages"), F.max_by("status", "id").alias("status"), F.lit("as the log says").alias("detail"))
-    return sl.scan_summary(raw, mg.merge_listings(*_halves(listings)), log, runs)
+    return sl.scan_summary(raw, mg.merge_listings(*_halves(listings), "id"), log, runs)
 
 
 @query("v_raw_listings", "v_listings", "v_scan_log", sql=_SUMMARY)
@@ -375,6 +406,14 @@ def daily_counters(calls):
     return ev.daily_counters(calls)
 
 
+@query("v_call_log", sql="""SELECT day, CAST(sum(n) AS INT) AS calls_made, CASE WHEN bool_or(old) THEN 7 ELSE 10 END AS target, CAST(sum(m) AS INT) AS meetings_booked
+ FROM (SELECT CAST(called_at AS DATE) AS day, id % 2 = 0 AND CAST(called_at AS DATE) < DATE '2024-01-20' AS old, count(*) AS n, count(*) FILTER (outcome = 'meeting') AS m FROM v_call_log GROUP BY 1, 2) GROUP BY day""")
+def upsert_daily_stats(calls):
+    """Half of the earlier calls are counted already, with another target."""
+    old = F.expr("id % 2 = 0 and to_date(called_at) < date'2024-01-20'")
+    return ev.upsert_daily_stats(ev.daily_counters(calls.where(old), 7), calls.where(~old))
+
+
 @query("v_call_log", sql=f"SELECT * FROM ({_DAYS}) WHERE day > DATE '2024-01-31' - 14 ORDER BY day")
 def daily_stats_between(calls):
     return ld.daily_stats_between(ev.daily_counters(calls), 14, now())
@@ -420,7 +459,18 @@ def replay_lead_status(leads, events):
     return ev.replay_lead_events(leads, events).select("id", "status", "flagged")
 
 
-@query("v_leads", "v_lead_events")
+#: The replay as a fold, one event of every lead a step.
+_FOLD = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY seq) AS k FROM ({_SPREAD})),
+ r AS (SELECT id, contact_id, listing_id, status, next_step, CAST(next_step_at AS TIMESTAMP) AS next_step_at, lost_reason, false AS flagged, NULL::TIMESTAMP AS contract_ends_at, created_at, updated_at, 0::BIGINT AS k FROM v_leads
+ UNION ALL SELECT r.id, r.contact_id, r.listing_id, CASE e.kind WHEN 'call' THEN CASE e.outcome WHEN 'no_answer' THEN 'called_no_answer' WHEN 'refused' THEN 'lost' ELSE e.outcome END WHEN 'status' THEN e.status WHEN 'do_not_call' THEN 'dnc' ELSE 'meeting' END,
+  CASE e.kind WHEN 'status' THEN NULL WHEN 'meeting_booked' THEN 'spotkanie' ELSE r.next_step END,
+  CASE WHEN e.kind = 'call' THEN CASE WHEN e.outcome = 'callback' THEN coalesce(r.next_step_at, e.at + INTERVAL 2 DAY) END WHEN e.kind = 'do_not_call' THEN CASE WHEN r.status = 'dnc' THEN r.next_step_at END ELSE e.next_step_at END,
+  CASE WHEN e.kind = 'call' AND e.outcome = 'refused' THEN coalesce(e.reason, 'odmowa w rozmowie') WHEN e.kind = 'status' THEN e.reason ELSE r.lost_reason END,
+  r.flagged OR e.kind = 'do_not_call', r.contract_ends_at, r.created_at, CASE WHEN e.kind = 'do_not_call' AND r.status = 'dnc' THEN r.updated_at ELSE e.at END, e.k FROM r JOIN e ON e.lead_id = r.id AND e.k = r.k + 1)
+ SELECT * EXCLUDE (k) FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1"""
+
+
+@query("v_leads", "v_lead_events", sql=_FOLD)
 def replay_lead_events(leads, events):
     return ev.replay_lead_events(leads, events)
 
@@ -492,10 +542,35 @@ def validate_ingest(listings):
     return sinks.validate_ingest(batch, now())[1].select("source_id", F.col("reasons")[0].alias("reason"))
 
 
-@query("v_raw_listings", "v_listings")
+#: The scan: all adverts of known cities are the batch (the others are read as
+#: Warszawa), those of even id are stored, without fingerprints and groups. l: the
+#: table afterwards. Stored ones come first in the order of the batch.
+_SCAN_SCORE = re.sub(r"\bv_listings\b", "l", _SCORE.replace(_CONTEXT, "SELECT phone_e164, count(*) AS active_listings, count(DISTINCT district) AS districts FROM l WHERE is_active AND phone_e164 IS NOT NULL GROUP BY phone_e164"))
+for _own, _real in ((_free_hits(("the", "and")), _hits_of(cl.KEYWORDS_AGENCY)), ("CAST(t.f LIKE '%fur%' AS INT) + CAST(t.f LIKE '%pour%' AS INT)", _hits_of(cl.KEYWORDS_PRIVATE))):
+    assert _own in _SCAN_SCORE
+    _SCAN_SCORE = _SCAN_SCORE.replace(_own, _real)
+_SCAN = f"""WITH RECURSIVE {_HASHED}, l AS (SELECT * REPLACE (is_active OR city IS NOT NULL AS is_active), city IS NOT NULL AS batch, id % 2 <> 0 AS fresh FROM lh WHERE city IS NOT NULL OR id % 2 = 0),
+ o AS (SELECT *, CASE WHEN batch THEN fp END AS print, row_number() OVER (ORDER BY fresh, first_seen_at, source, source_id) AS n FROM l), {_NEAR_PRINTS.format(t="o").replace("fp IS NOT NULL", "print IS NOT NULL").replace("deal_type, fp FROM", "deal_type, print AS fp FROM")},
+ p AS ({{pairs}}),
+ up AS (SELECT b AS n, min(a) AS up FROM p GROUP BY b),
+ r AS (SELECT n, n AS root FROM o WHERE n NOT IN (SELECT n FROM up) UNION ALL SELECT up.n, r.root FROM up JOIN r ON up.up = r.n),
+ sc AS ({_SCAN_SCORE})
+ SELECT o.source, o.source_id, o.price, CASE WHEN o.batch THEN sc.seller_type ELSE o.seller_type END AS seller_type, CASE WHEN o.batch THEN sc.agency_score ELSE 0.5 END AS agency_score, o.fresh AS is_new,
+  CASE WHEN o.batch OR r.n IN (SELECT root FROM r WHERE n <> root) THEN g.source || ':' || g.source_id END AS first FROM o JOIN r USING (n) JOIN o g ON g.n = r.root LEFT JOIN sc ON sc.id = o.id"""
+_MATCH = "x.n < y.n AND y.batch AND x.deal_type = y.deal_type AND x.is_active AND y.is_active AND coalesce(x.city = y.city, true)"
+_CLOSE = "abs(x.area_m2 - y.area_m2) <= 1.0 AND abs(x.price - y.price) <= 0.03::DOUBLE * greatest(x.price, y.price)"
+_SCAN_PAIRS = f"""SELECT x.n AS a, y.n AS b FROM o x JOIN o y ON x.phone_e164 = y.phone_e164 WHERE {_MATCH} AND {_CLOSE}
+ UNION SELECT x.n, y.n FROM o x JOIN o y ON lower(trim(x.street)) = lower(trim(y.street)) WHERE (x.phone_e164 IS NULL OR y.phone_e164 IS NULL) AND {_MATCH} AND {_CLOSE}
+ UNION SELECT x.n, y.n FROM o x JOIN near c ON c.deal_type = x.deal_type AND c.fp = x.print JOIN o y ON y.deal_type = c.deal_type AND y.print = c.other WHERE {_MATCH}"""
+
+
+@query("v_raw_listings", "v_listings", sql=_SCAN.replace("{pairs}", _SCAN_PAIRS))
 def scan_job(raw, listings):
+    """A scan over a stored half; groups are named by their first listing."""
     stored = listings.where("id % 2 = 0").withColumns({"content_hash": F.lit(None).cast("string"), "agency_score": F.lit(0.5)})
-    return scan(raw, stored, ("Gdańsk", "Sopot", "Gdynia")).select("source", "source_id", "price", "seller_type", "agency_score", "is_new", "dedup_group")
+    done = scan(raw, stored, ("Gdańsk", "Sopot", "Gdynia"), arrival="id")
+    first = done.select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("dedup_group"), F.concat_ws(":", "source", "source_id").alias("first"))
+    return done.join(first, "dedup_group", "left").select("source", "source_id", "price", "seller_type", "agency_score", "is_new", "first")
 
 
 _PAGE_ADS = "SELECT source, source_id, 'https://example.test/d/' || source_id || '.html' AS url, deal_type, title, price_raw, location_raw, phone_raw, seller_label FROM v_raw_listings"

@@ -288,8 +288,9 @@ def offers_to_visit(raw: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def first_seen_per_source_id(raw: DataFrame, arrival: str) -> DataFrame:
-    """The first row of each (source, source_id) in order of arrival."""
-    w = Window.partitionBy("source", "source_id").orderBy(arrival)
+    """The first row of each (source, source_id) in order of arrival; what that
+    leaves open is decided by a hash of the row, never by chance."""
+    w = Window.partitionBy("source", "source_id").orderBy(arrival, F.xxhash64(*raw.columns))
     return raw.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
