@@ -118,6 +118,23 @@ def keyword_hits(listings):
     return listings.where("description is not null").select("id", cl.keyword_hits(f, WORDS).alias("hits"), cl.keyword_hits_not_negated(f, WORDS, NOT_WORDS).alias("free_hits"), cl.looks_like_brochure(F.col("description")).alias("brochure"))
 
 
+_LONG_LIST = f"""WITH k AS (SELECT DISTINCT trim(lower(strip_accents(replace(replace(x, 'ł', 'l'), 'Ł', 'L')))) AS w FROM (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}'))) AS x FROM benchmark)),
+ o AS (SELECT t.id, len(string_split(t.f, k.w)) > 1 AS hit, len(list_filter([string_split(t.f, k.w)], lambda s: len(list_filter(range(1, len(s)), lambda i: NOT ({" OR ".join(f"right(list_reduce(s[greatest(1, i - 5):i], lambda a, b: a || k.w || b), 14) LIKE '%{x}%'" for x in NOT_WORDS)}))) > 0)) > 0 AS free FROM {_FOLDED}, k)
+ SELECT id, CAST(count(*) FILTER (hit) AS INT) AS hits, CAST(count(*) FILTER (free) AS INT) AS free_hits FROM o GROUP BY id"""
+
+
+def keyword_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's words of five letters or more as one long list of keywords."""
+    texts = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), F.lit(1))).alias("w"))
+    words = cl.folded_literals(spark, [r["w"] for r in texts.select(F.lower("w").alias("w")).distinct().collect()])
+    rows = views(spark, sf_dir, "v_listings")[0].where("description is not null")
+    hits = cl.automaton_hits(nz.fold(F.col("description")), words, NOT_WORDS)
+    return rows.select("id", hits.alias("h")).select("id", "h.hits", F.col("h.free").alias("free_hits"))
+
+
+QUERIES["keyword_automaton"], ORACLES["keyword_automaton"] = keyword_automaton, with_views(_LONG_LIST)
+
+
 #: The scoring of the test: words of the corpus in place of the real ones.
 _CFG = cl.Scoring(keywords_agency=("the", "and"), keywords_private=("für", "pour"), negations=NOT_WORDS)
 _SCORE = f"""WITH c AS ({_CONTEXT}),
@@ -460,8 +477,9 @@ def replay_lead_status(leads, events):
 
 
 #: The replay as a fold, one event of every lead a step.
+_BEGIN = "status, next_step, CAST(next_step_at AS TIMESTAMP) AS next_step_at, lost_reason"
 _FOLD = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY seq) AS k FROM ({_SPREAD})),
- r AS (SELECT id, contact_id, listing_id, status, next_step, CAST(next_step_at AS TIMESTAMP) AS next_step_at, lost_reason, false AS flagged, NULL::TIMESTAMP AS contract_ends_at, created_at, updated_at, 0::BIGINT AS k FROM v_leads
+ r AS (SELECT id, contact_id, listing_id, {_BEGIN}, false AS flagged, NULL::TIMESTAMP AS contract_ends_at, created_at, updated_at, 0::BIGINT AS k FROM v_leads
  UNION ALL SELECT r.id, r.contact_id, r.listing_id, CASE e.kind WHEN 'call' THEN CASE e.outcome WHEN 'no_answer' THEN 'called_no_answer' WHEN 'refused' THEN 'lost' ELSE e.outcome END WHEN 'status' THEN e.status WHEN 'do_not_call' THEN 'dnc' ELSE 'meeting' END,
   CASE e.kind WHEN 'status' THEN NULL WHEN 'meeting_booked' THEN 'spotkanie' ELSE r.next_step END,
   CASE WHEN e.kind = 'call' THEN CASE WHEN e.outcome = 'callback' THEN coalesce(r.next_step_at, e.at + INTERVAL 2 DAY) END WHEN e.kind = 'do_not_call' THEN CASE WHEN r.status = 'dnc' THEN r.next_step_at END ELSE e.next_step_at END,
@@ -564,7 +582,10 @@ _SCAN_PAIRS = f"""SELECT x.n AS a, y.n AS b FROM o x JOIN o y ON x.phone_e164 =
  UNION SELECT x.n, y.n FROM o x JOIN near c ON c.deal_type = x.deal_type AND c.fp = x.print JOIN o y ON y.deal_type = c.deal_type AND y.print = c.other WHERE {_MATCH}"""
 
 
-@query("v_raw_listings", "v_listings", sql=_SCAN.replace("{pairs}", _SCAN_PAIRS))
+SCAN_SQL = _SCAN.replace("{pairs}", _SCAN_PAIRS)
+
+
+@query("v_raw_listings", "v_listings", sql=SCAN_SQL)
 def scan_job(raw, listings):
     """A scan over a stored half; groups are named by their first listing."""
     stored = listings.where("id % 2 = 0").withColumns({"content_hash": F.lit(None).cast("string"), "agency_score": F.lit(0.5)})
@@ -665,3 +686,7 @@ def raw_pages(pages):
 
 
 _pages(raw_pages, "SELECT page_id, false AS has_offer, 0::BIGINT AS adverts FROM pages")
+
+
+# What writes and streams registers itself in the same tables.
+from listingflow.plans import stored  # noqa: E402, F401
