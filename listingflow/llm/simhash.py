@@ -318,13 +318,13 @@ def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float)
     propose within distance bits. Nulls and texts without a word are alike, and
     a shorter text is one shingle.
 
-    Neighbours in the order of the prints are verified first, near ones and then
-    more, so that a large group of copies is one component, by few links a text,
-    before the tables are asked; they only give pairs of texts of different
-    components. No pair is verified twice.
+    Neighbours in the order of the prints are verified first, so that a large
+    group of copies is one component, by few links a text, before the tables are
+    asked; they only give pairs of texts of different components. No pair is
+    verified twice.
     """
     nodes, tried = _nodes(docs, size), None
-    for around in (3, 16, 0):
+    for around in (16, 0):
         placed = _placed(nodes, tried)
         pairs = _neighbours(placed, distance, similarity, around) if around else _table_pairs(placed, distance, similarity)
         if tried is not None:
@@ -362,10 +362,12 @@ def _keep(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     another text under the same doc_id stays if it is in another group.
     """
     best = F.min(F.struct(F.col("least").isNull().alias("lacks"), "least", "node")).alias("w")
-    won = nodes.groupBy("root").agg(best).select(F.col("w.least").alias("__id"), F.col("w.node").alias("__won"))
-    rows = docs.withColumn("__node", _node())
-    same = rows["doc_id"].cast("long").eqNullSafe(won["__id"]) & (rows["__node"] == won["__won"])
-    return rows.join(won, same, "left_semi").dropDuplicates(["doc_id", "__node"]).select(*docs.columns)
+    # One key of text and doc_id, so that texts are dealt once for both steps, and
+    # rows that repeat are one before they move.
+    key = lambda node, doc: F.md5(F.concat(node, F.lit(":"), F.coalesce(doc.cast("long").cast("string"), F.lit(""))))
+    won = nodes.groupBy("root").agg(best).select(key(F.col("w.node"), F.col("w.least")).alias("__key"))
+    rows = docs.withColumn("__key", key(_node(), F.col("doc_id"))).dropDuplicates(["__key"])
+    return rows.join(won, "__key", "left_semi").select(*docs.columns)
 
 
 def keep_similar(docs: DataFrame, size: int, distance: int, similarity: float) -> DataFrame:
