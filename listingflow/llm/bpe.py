@@ -30,6 +30,8 @@ _GAPS = re.compile(f"[{''.join(map(chr, _SPACES))}]+")
 _ASCII_WORDS = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: About how many bytes of encoded words a task keeps from slice to slice.
 CACHE = 32 << 20
+#: Bytes of text that a worker has in hand at once; its places take ten times that.
+SLICE = 2 << 20
 
 
 class WordBpe:
@@ -336,7 +338,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep_text: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
         try:
-            for part in text_slices(batches):
+            for part in text_slices(batches, SLICE):
                 line, ends = bpe.encode_all(part.column("text"))
                 ids, decoded = _joined(bpe.numbers, line, ends), _joined(bpe.spaced, line, ends)
                 out = [part.column("doc_id"), pa.array(np.diff(ends, prepend=0), pa.int64()), _sha256(ids), _sha256(decoded)]

@@ -1,5 +1,6 @@
 """Small helpers shared by the text operators."""
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -48,5 +49,10 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column:
 
 
 def give_back() -> None:
-    """Return the memory that Arrow keeps to the system, at the end of a task."""
+    """Return the memory that Arrow and the allocator keep to the system, at the
+    end of a task: the worker may wait for its next one beside others."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
