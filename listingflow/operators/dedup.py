@@ -96,14 +96,22 @@ def _pairs(df: DataFrame, keys: list[str], extra: Column, later: Column | None =
     and meets no row twice. later keeps only pairs whose b fulfils it.
     """
     rows = df.where(" and ".join(f"{k} is not null" for k in keys) + " and area_m2 is not null and price is not null")
-    area, level = F.floor(F.col("area_m2") / AREA_TOLERANCE), F.floor(F.log(F.greatest("price", F.lit(1))) / (-math.log(1 - PRICE_TOLERANCE) * (1 + 1e-9)))
+    area, level = F.floor(F.col("area_m2") / AREA_TOLERANCE), F.floor(
+        F.log(F.greatest("price", F.lit(1))) / (-math.log(1 - PRICE_TOLERANCE) * (1 + 1e-9))
+    )
     around = lambda c: F.array(c - 1, c, c + 1)
     cols = ["id", "city", "phone_e164", "area_m2", "price", *[k for k in keys if k not in ("phone_e164",)]]
     left = rows.select(*cols, area.alias("area"), level.alias("level")).alias("x")
-    right = (rows if later is None else rows.where(later)).select(*cols, F.explode(around(area)).alias("area"), level.alias("at")).select("*", F.explode(around(F.col("at"))).alias("level")).alias("y")
+    right = (rows if later is None else rows.where(later)).select(
+        *cols, F.explode(around(area)).alias("area"), level.alias("at"),
+    ).select("*", F.explode(around(F.col("at"))).alias("level")).alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in [*keys, "area", "level"]]
-    near = (F.abs(F.col("x.area_m2") - F.col("y.area_m2")) <= AREA_TOLERANCE) & (F.abs(F.col("x.price") - F.col("y.price")) <= PRICE_TOLERANCE * F.greatest("x.price", "y.price"))
-    return left.join(right, on).where((F.col("x.id") < F.col("y.id")) & near & _same_city() & extra).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    near = (F.abs(F.col("x.area_m2") - F.col("y.area_m2")) <= AREA_TOLERANCE) & (
+        F.abs(F.col("x.price") - F.col("y.price")) <= PRICE_TOLERANCE * F.greatest("x.price", "y.price")
+    )
+    return left.join(right, on).where(
+        (F.col("x.id") < F.col("y.id")) & near & _same_city() & extra
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def _same_city() -> Column:
@@ -144,9 +152,13 @@ def _links(df: DataFrame, keys: list[str], extra: Column, later: Column | None,
     classes = rows.groupBy(*kind).agg(F.min("id").alias("id"), *phone)
     near = _pairs(classes, keys, extra)
     near = near if later is not None else cut(near)
-    ways = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("w"))
+    ways = near.select(
+        F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("w")
+    )
     least = ways.groupBy("w.id").agg(F.min("w.other").alias("other"))
-    to = classes.join(least, "id", "left").select(*kind, F.when(inside, F.coalesce(F.least("id", "other"), "id")).otherwise(F.col("other")).alias("m"))
+    to = classes.join(least, "id", "left").select(
+        *kind, F.when(inside, F.coalesce(F.least("id", "other"), "id")).otherwise(F.col("other")).alias("m"),
+    )
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in kind]
     mine = (rows if later is None else rows.where(later)).select(*kind, "id").alias("r")
     ends = mine.join(to.where("m is not null").alias("t"), same).where("m <> id").select("m", "id")
@@ -193,7 +205,9 @@ def _near_prints(kinds: DataFrame, max_distance: int) -> DataFrame:
     """near_prints of distinct fingerprints among themselves, each pair met once."""
     cells = slots(kinds, max_distance)
     met = cells.alias("x").join(cells.alias("y"), ["deal_type", "key"]).where(f"x.fp <= y.fp and bit_count(x.fp ^ y.fp) <= {max_distance}")
-    ways = F.array(F.struct(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other")), F.struct(F.col("y.fp").alias("fp"), F.col("x.fp").alias("other")))
+    ways = F.array(
+        F.struct(F.col("x.fp").alias("fp"), F.col("y.fp").alias("other")), F.struct(F.col("y.fp").alias("fp"), F.col("x.fp").alias("other")),
+    )
     return met.select("deal_type", F.explode(ways).alias("w")).select("deal_type", "w.fp", "w.other").distinct()
 
 
@@ -211,8 +225,12 @@ def simhash_links(df: DataFrame, max_distance: int = MAX_DISTANCE, later: Column
     if near is None:
         homes = cut(homes)
         kinds = homes.select("deal_type", "fp").distinct()
-        near = _near_prints(kinds, max_distance) if later is None else near_prints(rows.where(later).select("deal_type", "fp").distinct(), slots(kinds, max_distance), max_distance)
-    to = near.join(homes.select("deal_type", F.col("fp").alias("other"), F.col("city").alias("there"), "a"), ["deal_type", "other"]).select("deal_type", "fp", "there", "a")
+        near = _near_prints(kinds, max_distance) if later is None else near_prints(
+            rows.where(later).select("deal_type", "fp").distinct(), slots(kinds, max_distance), max_distance,
+        )
+    to = near.join(
+        homes.select("deal_type", F.col("fp").alias("other"), F.col("city").alias("there"), "a"), ["deal_type", "other"],
+    ).select("deal_type", "fp", "there", "a")
     mine = (rows if later is None else rows.where(later)).select("deal_type", "fp", "city", F.col("id").alias("b"))
     here = F.coalesce(F.col("there") == F.col("city"), F.lit(True))
     return mine.join(to, ["deal_type", "fp"]).where((F.col("a") < F.col("b")) & here).select("a", "b").distinct()
@@ -227,7 +245,9 @@ def same_object_pairs(df: DataFrame, later: Column | None = None, near: DataFram
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
     """What grouping needs of listings, and fp, once computed: no texts."""
-    return cut(df.select("id", "deal_type", "city", "phone_e164", "street", "area_m2", "price", "is_active", F.conv(content_hash(F.col("description")), 16, -10).cast("long").alias("fp")))
+    return cut(
+        df.select("id", "deal_type", "city", "phone_e164", "street", "area_m2", "price", "is_active", F.conv(content_hash(F.col("description")), 16, -10).cast("long").alias("fp"))
+    )
 
 
 def assign_groups(df: DataFrame, mode: str = "first_match", pairs: DataFrame | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ from listingflow.operators import dedup as dd
 from listingflow.operators import events as ev
 from listingflow.operators.merge import KEY
 from listingflow.plans import registry as rg
-from listingflow.plans.jobs import fingerprint, listing_store, scan_into
+from listingflow.plans.jobs import fingerprint, listing_store
+from listingflow.plans.jobs import scan_source_runs as runs_of
 from listingflow.plans.views import AS_OF, views, with_views
 from listingflow.sources import portals, sinks
 from listingflow.streaming import contacts as sc
@@ -197,3 +198,23 @@ def offer_phones(spark: SparkSession, folder: str, raw: DataFrame) -> DataFrame:
     flag = F.to_json(F.struct(F.col("source_id").alias("id"), "url", F.struct((F.col("id") % 3 == 1).alias("phone")).alias("contact")))
     ads = raw.select("source", "deal_type", F.concat(F.lit('{"data":['), F.when(F.col("id") % 3 == 0, text).otherwise(flag), F.lit("]}")).alias("payload"))
     return portals.parse_offers_api(ads).select("source_id", "phone_raw", "has_phone")
+
+
+@query("v_raw_listings", sql="SELECT source, source_id, url, deal_type, title, price_raw, phone_raw FROM v_raw_listings")
+def payload_folder(spark: SparkSession, folder: str, raw: DataFrame) -> DataFrame:
+    """Batches of offers as files, read and parsed by their kind."""
+    ad = F.struct(F.col("source_id").alias("id"), "url", "title", F.struct(F.col("price_raw").alias("displayValue")).alias("price"), F.struct(F.col("phone_raw").alias("phone")).alias("contact"))
+    batches = raw.groupBy("source", "deal_type", F.floor(F.col("id") / 200).alias("batch")).agg(F.to_json(F.struct(F.collect_list(ad).alias("data"))).alias("payload"))
+    batches.drop("batch").write.partitionBy("source", "deal_type").option("maxRecordsPerFile", 1).text(folder)
+    found = portals.read_payloads(spark, "olx_api", folder)
+    return found.select("source", "source_id", "url", "deal_type", "title", "price_raw", "phone_raw")
+
+
+_WAITS = "SELECT source, max_by(started_at, id) FILTER (status = 'blocked') + INTERVAL 3000 MINUTE AS until FROM v_scan_log GROUP BY source"
+
+
+@query("v_raw_listings", "v_listings", "v_scan_log", sql=f"""SELECT r.source, CAST(CASE WHEN until > {AS_OF} THEN 0 ELSE count(*) END AS BIGINT) AS found, CAST(CASE WHEN until > {AS_OF} THEN 0 ELSE count(*) FILTER (r.id % 2 <> 0 AND NOT starts_with(r.location_raw, 'Warszawa')) END AS BIGINT) AS new,
+ 0 AS pages, CASE WHEN until > {AS_OF} THEN 'cooldown' ELSE 'ok' END AS status, CASE WHEN until > {AS_OF} THEN 'cooldown until ' || strftime(until, '%Y-%m-%dT%H:%M:%SZ') END AS detail FROM v_raw_listings r LEFT JOIN ({_WAITS}) w USING (source) GROUP BY r.source, until""")
+def scan_source_runs(spark: SparkSession, folder: str, raw: DataFrame, listings: DataFrame, log: DataFrame) -> DataFrame:
+    """The summary of the whole job: who waits, what is found and what is new."""
+    return runs_of(raw, _stored_half(listings), log, rg.now(), CITIES, arrival="id", cooldown_minutes=3000)["summary"]

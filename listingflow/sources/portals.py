@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listingflow.functions.lineage import broadcast_if_small
@@ -17,9 +17,15 @@ STATE_MARKERS = ("window.__PRERENDERED_STATE__=", "__PRERENDERED_STATE__ =", "__
 PRIVATE_WORDS = ("osoba prywatna", "prywatne", "private")
 BUSINESS_WORDS = ("firma", "business", "biuro", "deweloper")
 ROOMS = {"ONE": 1, "TWO": 2, "THREE": 3, "FOUR": 4, "FIVE": 5, "SIX": 6, "SEVEN": 7, "EIGHT": 8, "NINE": 9, "TEN": 10}
-FLOORS = {"CELLAR": -1, "GROUND": 0, "FIRST": 1, "SECOND": 2, "THIRD": 3, "FOURTH": 4, "FIFTH": 5, "SIXTH": 6, "SEVENTH": 7, "EIGHTH": 8, "NINTH": 9, "TENTH": 10}
+FLOORS = {
+    "CELLAR": -1, "GROUND": 0, "FIRST": 1, "SECOND": 2, "THIRD": 3, "FOURTH": 4, "FIFTH": 5, "SIXTH": 6, "SEVENTH": 7, "EIGHTH": 8, "NINTH": 9,
+    "TENTH": 10
+}
 RAW = "source string, source_id string, url string, deal_type string, title string, description string, price_raw string, area_raw string, rooms_raw string, floor_raw string, location_raw string, phone_raw string, seller_label string, posted_at_raw string, has_phone boolean"
-HINTS = {"area": re.compile(r"\d+(?:[.,]\d+)?\s*m", re.I), "rooms": re.compile(r"\bpoko|kawalerka", re.I), "floor": re.compile("piętro|parter|suterena", re.I)}
+HINTS = {
+    "area": re.compile(r"\d+(?:[.,]\d+)?\s*m", re.I), "rooms": re.compile(r"\bpoko|kawalerka", re.I),
+    "floor": re.compile("piętro|parter|suterena", re.I)
+}
 NEXT_DATA = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 
 
@@ -52,8 +58,12 @@ def offer_fields(ads: DataFrame) -> DataFrame:
     price = [_text(f"$.price.{a}{b}") for a in ("displayValue", "value", "regularPrice", "amount") for b in ("", ".value", ".amount")]
     scalar = F.when(~_shape("$.price").startswith("OBJECT"), _text("$.price"))
     flag = lambda path, yes, no: F.when(_shape(path) == "BOOLEAN", F.when(_v(path, "boolean"), yes).otherwise(no))
-    label = F.coalesce(*(F.coalesce(flag(f"$.{k}", F.lit("firma"), F.lit("osoba prywatna")), _text(f"$.{k}")) for k in ("business", "sellerType", "seller_type", "user_label")))
-    label = F.coalesce(label, flag("$.user.isBusiness", F.lit("firma"), F.lit("osoba prywatna")), F.when(_text("$.user.company_name").isNotNull(), "firma"))
+    label = F.coalesce(
+        *(F.coalesce(flag(f"$.{k}", F.lit("firma"), F.lit("osoba prywatna")), _text(f"$.{k}")) for k in ("business", "sellerType", "seller_type", "user_label"))
+    )
+    label = F.coalesce(
+        label, flag("$.user.isBusiness", F.lit("firma"), F.lit("osoba prywatna")), F.when(_text("$.user.company_name").isNotNull(), "firma"),
+    )
     phone = F.when(_shape("$.contact.phone") == "BOOLEAN", None).otherwise(_text("$.contact.phone"))
     has_phone = F.coalesce(F.when(_shape("$.contact.phone") == "BOOLEAN", _v("$.contact.phone", "boolean")), phone.isNotNull())
     url = _text("$.url")
@@ -73,7 +83,9 @@ def parse_offers_api(payloads: DataFrame) -> DataFrame:
 
     A payload that is no object, or whose data is no list, gives no rows.
     """
-    ads = payloads.select("source", "deal_type", F.explode(F.expr("try_variant_get(try_parse_json(payload), '$.data', 'array<variant>')")).alias("ad"))
+    ads = payloads.select(
+        "source", "deal_type", F.explode(F.expr("try_variant_get(try_parse_json(payload), '$.data', 'array<variant>')")).alias("ad"),
+    )
     return offer_fields(ads.where(F.expr("schema_of_variant(ad)").startswith("OBJECT")))
 
 
@@ -132,8 +144,12 @@ _ITEM = "struct<id:string,slug:string,title:string,isPrivateOwner:boolean,areaIn
 def parse_next_data_search(pages: DataFrame) -> DataFrame:
     """Private offers of (source, deal_type, html) search pages, and the page count."""
     schema = f"struct<props:struct<pageProps:struct<data:struct<searchAds:struct<items:array<{_ITEM}>,pagination:struct<totalPages:int>>>>>>"
-    state = pages.select("source", "deal_type", F.from_json(F.regexp_extract("html", NEXT_DATA, 1), schema)["props"]["pageProps"]["data"]["searchAds"].alias("s"))
-    ads = state.select("source", "deal_type", F.col("s.pagination.totalPages").alias("total_pages"), F.explode("s.items").alias("i")).where("i.isPrivateOwner and i.slug <> '' and i.id <> ''")
+    state = pages.select(
+        "source", "deal_type", F.from_json(F.regexp_extract("html", NEXT_DATA, 1), schema)["props"]["pageProps"]["data"]["searchAds"].alias("s"),
+    )
+    ads = state.select(
+        "source", "deal_type", F.col("s.pagination.totalPages").alias("total_pages"), F.explode("s.items").alias("i"),
+    ).where("i.isPrivateOwner and i.slug <> '' and i.id <> ''")
     pick = lambda table, c: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.col(c))
     # A total price of zero or less does not fall back to the rent.
     amount = F.when(F.col("i.totalPrice").isNotNull(), F.col("i.totalPrice.value")).otherwise(F.col("i.rentPrice.value"))
@@ -154,7 +170,10 @@ def parse_next_data_offer(pages: DataFrame) -> DataFrame:
     ad = pages.select("source", "source_id", F.from_json(F.regexp_extract("html", NEXT_DATA, 1), schema)["props"]["pageProps"]["ad"].alias("ad"))
     text = F.trim(F.regexp_replace(F.regexp_replace("ad.description", "<[^>]*>", " "), r"[\s ]+", " "))
     label = F.when(F.col("ad.contactDetails.type") == "private", "osoba prywatna").otherwise(F.col("ad.contactDetails.type"))
-    return ad.select("source", "source_id", F.try_element_at("ad.contactDetails.phones", F.lit(1)).alias("phone"), F.nullif(text, F.lit("")).alias("description"), label.alias("label"))
+    return ad.select(
+        "source", "source_id", F.try_element_at("ad.contactDetails.phones", F.lit(1)).alias("phone"), F.nullif(text, F.lit("")).alias("description"),
+        label.alias("label"),
+    )
 
 
 class _Nodes(HTMLParser):
@@ -233,10 +252,15 @@ def parse_listing_cards(pages: DataFrame) -> DataFrame:
                     first = lambda test, c=card: _node_text(next(_find([c], test), None))
                     place = first(_marked("location-date")) or ""
                     where, *later = place.split(" - ")
-                    rows.append((r.source, number[1], url, r.deal_type, first(lambda n: n["tag"] in ("h4", "h6") or n["attrs"].get("data-cy") == "ad-card-title"), first(_marked("ad-price")), where.strip() or None, later[-1].strip() if later else None))
+                    rows.append(
+                        (r.source, number[1], url, r.deal_type, first(lambda n: n["tag"] in ("h4", "h6") or n["attrs"].get("data-cy") == "ad-card-title"), first(_marked("ad-price")), where.strip() or None, later[-1].strip() if later else None)
+                    )
             yield pd.DataFrame(rows, columns=["source", "source_id", "url", "deal_type", "title", "price_raw", "location_raw", "posted_at_raw"])
 
-    return pages.select("source", "deal_type", "html").mapInPandas(cards, "source string, source_id string, url string, deal_type string, title string, price_raw string, location_raw string, posted_at_raw string")
+    return pages.select("source", "deal_type", "html").mapInPandas(
+        cards,
+        "source string, source_id string, url string, deal_type string, title string, price_raw string, location_raw string, posted_at_raw string",
+    )
 
 
 def parse_offer_page(pages: DataFrame) -> DataFrame:
@@ -266,18 +290,40 @@ def parse_offer_page(pages: DataFrame) -> DataFrame:
                 rows.append((i, first(_marked("ad_description")), label, phone, area, rooms, floor))
             yield pd.DataFrame(rows, columns=["page_id", "description", "label", "phone", "area_raw", "rooms_raw", "floor_raw"])
 
-    return pages.select("page_id", "html").mapInPandas(offers, "page_id long, description string, label string, phone string, area_raw string, rooms_raw string, floor_raw string")
+    return pages.select("page_id", "html").mapInPandas(
+        offers, "page_id long, description string, label string, phone string, area_raw string, rooms_raw string, floor_raw string",
+    )
 
 
-#: The parser of each source.
+#: The parser of each kind of payload, and the column that it reads.
 PARSERS = {"olx_api": parse_offers_api, "olx_page": extract_page_state, "olx_cards": parse_listing_cards, "otodom": parse_next_data_search}
+_READS = {"olx_api": "payload"}
+
+
+def read_payloads(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Raw listings of a folder of payloads, parsed as their kind's.
+
+    A payload is a file below source=.../deal_type=.../, which name its source and
+    deal type; Spark lists and reads the files, so they may be in any store that
+    it reads. One that holds no listings gives no rows. Further kinds are entries
+    of PARSERS.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", False).text(path)
+    named = files.select(F.col("source").cast("string"), F.col("deal_type").cast("string"), F.col("value").alias(_READS.get(kind, "html")))
+    return PARSERS[kind](named)
 
 
 def enrich_with_offer_pages(raw: DataFrame, details: DataFrame) -> DataFrame:
     """Raw listings with what their offer pages say; the page's phone decides."""
-    d = details.select("source", "source_id", F.col("phone").alias("__p"), F.col("description").alias("__d"), F.col("label").alias("__l"), F.lit(True).alias("__hit"))
+    d = details.select(
+        "source", "source_id", F.col("phone").alias("__p"), F.col("description").alias("__d"), F.col("label").alias("__l"),
+        F.lit(True).alias("__hit"),
+    )
     out = raw.join(d, ["source", "source_id"], "left")
-    put = {"phone_raw": F.when(F.col("__hit"), F.col("__p")).otherwise(F.col("phone_raw")), "description": F.coalesce("__d", "description"), "seller_label": F.coalesce("__l", "seller_label")}
+    put = {
+        "phone_raw": F.when(F.col("__hit"), F.col("__p")).otherwise(F.col("phone_raw")), "description": F.coalesce("__d", "description"),
+        "seller_label": F.coalesce("__l", "seller_label")
+    }
     return out.withColumns(put).drop("__p", "__d", "__l", "__hit")
 
 
@@ -302,5 +348,7 @@ def search_filter(listings: DataFrame, filters: DataFrame) -> DataFrame:
     """
     f = broadcast_if_small(filters).alias("f")
     hit = (F.col("l.deal_type") == F.col("f.deal_type")) & (F.col("l.city") == F.col("f.city"))
-    hit = hit & F.col("l.price").between(F.col("f.price_min"), F.col("f.price_max")) & F.col("l.area_m2").between(F.col("f.area_min").cast("int"), F.col("f.area_max").cast("int"))
+    hit = hit & F.col("l.price").between(F.col("f.price_min"), F.col("f.price_max")) & F.col("l.area_m2").between(
+        F.col("f.area_min").cast("int"), F.col("f.area_max").cast("int"),
+    )
     return listings.alias("l").join(f, hit, "left_semi")
