@@ -188,7 +188,26 @@ def formatted(raw: Column, what: Column, core: Column, title: Column) -> Column:
     return F.when(what.isin("ssn", "card", "phone"), spread).when((what == "email") & upper, F.upper(core)).when(what == "secret", F.concat(F.regexp_extract(raw, f"^(?:{_NAMED})?", 0), core)).when(what.isin("given", "surname"), name).otherwise(core)
 
 
-def assigned(entities: DataFrame, key: str) -> DataFrame:
+def _exchanged(left: DataFrame, real: DataFrame, key: str) -> DataFrame:
+    """(kind, canon, core, attempt) for canons that no draw has room for.
+
+    Those of one kind and length take each other's values in a keyed ring. No
+    surrogate drawn is a real value, so these are distinct from all and from
+    each other, and none is its own. Where one is alone, it takes a settled
+    canon's value of its kind and length, or keeps its last draw if there is
+    none. Only spaces that are full have such canons, so a ring is a small one.
+    """
+    size, place = F.length("canon"), F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "canon"), 256)
+    ring = Window.partitionBy("kind", size).orderBy(place, "canon")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turned = left.withColumn("next", F.coalesce(F.lead("canon").over(ring), F.first("canon").over(whole)))
+    alone = turned.where("next = canon").select("kind", "canon", "attempt", "core", size.alias("size"))
+    others = real.join(left.select("kind", "canon"), ["kind", "canon"], "left_anti").groupBy("kind", size.alias("size")).agg(F.min("canon").alias("other"))
+    lent = alone.join(others, ["kind", "size"], "left").select("kind", "canon", F.coalesce("other", "core").alias("core"), "attempt")
+    return turned.where("next <> canon").select("kind", "canon", F.col("next").alias("core"), "attempt").unionByName(lent)
+
+
+def assigned(entities: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """(kind, canon, core, attempt) for distinct (kind, canon): collision-free.
 
     Each round counts canons by surrogate, and surrogates that are a real canon
@@ -204,7 +223,7 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
 
     real = cut(entities.select("kind", "canon").distinct())
     state = cut(draw(real.withColumn("attempt", F.lit(0))))
-    for _ in range(50):
+    for _ in range(rounds):
         clash = state.groupBy("kind", "core").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "canon")).alias("first")).where("n > 1")
         lost = state.join(clash.select("kind", "core", F.col("first.canon").alias("winner")), ["kind", "core"]).where("canon <> winner").select("kind", "canon")
         taken = state.join(real.select("kind", F.col("canon").alias("core")), ["kind", "core"], "left_semi").select("kind", "canon")
@@ -213,7 +232,8 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
             return state
         redo = draw(state.join(again, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1))
         state = cut(state.join(again, ["kind", "canon"], "left_anti").unionByName(redo))
-    raise RuntimeError("surrogates still collide after 50 rounds: the space of a kind is full")
+    left = state.join(again, ["kind", "canon"], "left_semi")
+    return cut(state.join(again, ["kind", "canon"], "left_anti").unionByName(_exchanged(left, real, key)))
 
 
 def _lists(matched: DataFrame, key: str) -> DataFrame:

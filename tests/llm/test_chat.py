@@ -46,7 +46,15 @@ def odd():
     return [*rows, (70, 0, "user", None), (70, 1, "assistant", ""), (71, None, "assistant", "no turn"), (71, 2, "user", "x"), (None, 0, "user", "no id"), (None, 1, "assistant", "none")]
 
 
-def test_round_trip_of_odd_texts(spark, odd):
+@pytest.fixture
+def many(spark):
+    """Small partitions stay apart, so that conversations are cut."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_round_trip_of_odd_texts(spark, odd, many):
     frame = spark.createDataFrame(odd, SCHEMA).withColumns({c: F.lit("own") for c in ("h", "part", "formatted", "n_turns", "loss_start")})
     for n in (1, 3, 17):
         spark.conf.set("spark.sql.shuffle.partitions", n)
@@ -64,7 +72,7 @@ def test_ties_and_repeated_rows(spark):
     assert got[2] == plain(rows)[2]
 
 
-def test_one_conversation_of_nearly_all_rows(spark):
+def test_one_conversation_of_nearly_all_rows(spark, many):
     """It is spread over partitions, and long turns are whole."""
     rows = [(5, t, ("user", "assistant")[t % 2], f"</turn> {t} \\") for t in range(3000)] + [(c, 0, "assistant", "x") for c in range(10) if c != 5]
     rows += [(5, 4000, "assistant", "### y" * 1_200_000), (5, 4001, "user", "end")]

@@ -46,3 +46,15 @@ def test_hint_covers_the_pattern(spark, texts):
     bare = spark.createDataFrame([(w,) for w in WHOLE], "text string").union(texts.select("text"))
     assert bare.where(F.col("text").rlike(pii.PATTERN)).count() == 2 * len(WHOLE)
     assert bare.where(F.col("text").rlike(pii.PATTERN) & ~F.col("text").rlike(pii._HINT)).count() == 0
+
+
+def test_a_full_space_ends_with_distinct_surrogates(spark):
+    """Every number of four digits occurs: no draw can miss a real one."""
+    full = [("phone", f"{n:04d}") for n in range(10_000)] + [("phone", "31"), ("given", "anna"), ("given", "ola")]
+    got = pii.assigned(spark.createDataFrame(full, "kind string, canon string").repartition(4), "k", rounds=3).collect()
+    of = {(r["kind"], r["canon"]): r["core"] for r in got}
+    assert len(got) == len(full) == len(of) and set(of) == set(full)
+    assert len(set(zip([k for k, _ in of], of.values(), strict=True))) == len(full)
+    assert all(len(core) == 4 and core != canon for (kind, canon), core in of.items() if len(canon) == 4 and kind == "phone")
+    again = pii.assigned(spark.createDataFrame(full[::-1], "kind string, canon string"), "k", rounds=3).collect()
+    assert {(r["kind"], r["canon"]): r["core"] for r in again} == of
