@@ -22,6 +22,7 @@ null, which is a value; rows may repeat; an empty table gives no rows.
 """
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,22 +167,26 @@ def estimates(rows: DataFrame, share: float = 0.75, tolerance: float = 0.01, sma
 
     rows has grp and x0..x4. small hints at a broadcast of tables with a narrow
     row for each group; the caller knows that they are few, or passes another.
-    C-steps go on for all groups until none has a determinant that falls by more
-    than tolerance (of its logarithm).
+    A group (from one of two starts) takes C-steps until its determinant falls by
+    no more than tolerance (of its logarithm); it then leaves, and its rows with
+    it, so that slow groups do not keep the others at work.
     """
     by = ["start", "grp"]
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
     shape = cut(_near_medians(rows, ["grp"], small).withColumn("start", F.lit(0)).unionByName(_shape(rows, ["grp"]).withColumn("start", F.lit(1))))
-    inverse = cut(_inverse(shape))
-    while True:
-        near = both.join(small(inverse), by).select(*by, *DIMS, _whole(_distance()).alias("d"))
+    going, ended = cut(_inverse(shape)), []
+    while not going.isEmpty():
+        near = both.join(small(going), by).select(*by, *DIMS, _whole(_distance()).alias("d"))
         least = near.groupBy(*by).agg(F.expr(f"percentile(d, {share})").alias("most"))
         shape = cut(_shape(near.join(small(least), by).where("d <= most"), by))
-        before, inverse = inverse, cut(_inverse(shape))
-        both_dets = before.select(*by, F.col("logdet").alias("old")).join(small(inverse.select(*by, F.col("logdet").alias("new"))), by)
-        most, total = both_dets.agg(F.max(F.col("old") - F.col("new")), F.sum(F.col("old") - F.col("new"))).first()
-        if most is None or most <= tolerance or total <= 0:  # the sum falls, so this ends
-            break
+        old = small(going.select(*by, F.col("logdet").alias("old")))
+        now = cut(_inverse(shape).join(old, by))
+        fell = F.col("old") - F.col("logdet") > tolerance  # no determinant falls for ever
+        ended.append(now.where(~fell).drop("old"))
+        going = now.where(fell).drop("old")
+    if not ended:
+        ended.append(going)
+    inverse = reduce(DataFrame.unionByName, ended)
     best = inverse.groupBy("grp").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "start")).alias("b"))
     return cut(best.select("grp", "b.*"))
 
