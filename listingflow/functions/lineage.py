@@ -1,5 +1,6 @@
 """Cutting lineage, so that a lost executor does not replay a whole job."""
 
+import gc
 import re
 import tempfile
 
@@ -28,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing needs any more.
+
+    Its cleaner acts on what the driver has collected as garbage, which a quiet
+    driver does not do for a long time. Between the rounds of a job of many, that
+    keeps disks from holding all rounds at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """df with a broadcast hint if it has at most so many (narrow) rows.
 
