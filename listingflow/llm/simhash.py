@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from listingflow.functions.lineage import broadcast_if_small, cut
+from listingflow.functions.lineage import broadcast_if_small, cut, sweep
 from listingflow.llm.text import give_back, text_slices, word_blocks
 from listingflow.operators.graph import connected_components
 
@@ -331,6 +331,8 @@ def similar_nodes(docs: DataFrame, size: int, distance: int, similarity: float)
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         more = _verified(pairs, nodes, docs, size, similarity)
         tried = more if tried is None else tried.unionByName(more)
+        del placed, pairs, more
+        sweep(docs.sparkSession)
     return _placed(nodes, tried).select("node", "least", F.col("c").alias("root"))
 
 
@@ -339,7 +341,10 @@ def _placed(nodes: DataFrame, tried: DataFrame | None) -> DataFrame:
     if tried is None:
         return nodes.withColumn("c", F.col("id"))
     comp = connected_components(tried.where("ok")).select(F.col("node").alias("id"), "root")
-    return cut(nodes.join(comp, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root"))
+    out = cut(nodes.join(comp, "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root"))
+    del comp
+    sweep(nodes.sparkSession)
+    return out
 
 
 def _table_pairs(placed: DataFrame, distance: int, similarity: float) -> DataFrame:
