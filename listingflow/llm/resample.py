@@ -112,7 +112,8 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_
     last), then by what else the row shows; rows that show the same are drawn
     one by one. All others have a null rank.
     """
-    rows = weighed(docs, fit(docs, target, buckets), seed).withColumn("late", F.col("n_words") < least_words)
+    # Written out, as dealing by ranges reads its rows twice.
+    rows = cut(weighed(docs, fit(docs, target, buckets), seed).withColumn("late", F.col("n_words") < least_words))
     order = ("late", F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "weight")
     at = F.monotonically_increasing_id()  # the partition, and 33 bits for the place in it
     placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", at))
